@@ -1,0 +1,177 @@
+"""Column statistics, measures, health and checks."""
+
+from pyspark.sql import functions as F
+
+import tableprep as tp
+from checks import check, table
+from checks.viewing import CUSTOMER_NULLS, customers_with_nulls
+
+LINEITEM_TEXT = {"l_returnflag": "l_returnflag", "l_linestatus": "l_linestatus", "l_shipdate": "l_shipdate"}
+LINEITEM_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _stats_sql():
+    parts = []
+    for c in LINEITEM_NUMBERS:
+        parts.append(f"""SELECT '{c}' AS column, count(*) AS rows, count(*) - count({c}) AS null_count,
+            (count(*) - count({c})) * 100.0::DOUBLE / count(*) AS null_percent, min({c})::DOUBLE AS min_number, max({c})::DOUBLE AS max_number,
+            NULL::VARCHAR AS min_text, NULL::VARCHAR AS max_text, round(sum({c}::DOUBLE), 1) AS sum, round(avg({c}), 6) AS avg,
+            count(DISTINCT {c}) AS distinct_count FROM lineitem""")
+    for c in LINEITEM_TEXT:
+        parts.append(f"""SELECT '{c}', count(*), count(*) - count({c}), (count(*) - count({c})) * 100.0::DOUBLE / count(*),
+            NULL, NULL, min({c})::VARCHAR, max({c})::VARCHAR, NULL, NULL, count(DISTINCT {c}) FROM lineitem""")
+    return " UNION ALL ".join(parts)
+
+
+def _rounded(stats):
+    return stats.withColumns({"sum": F.round("sum", 1), "avg": F.round("avg", 6)})
+
+
+@check("column_stats", _stats_sql())
+def column_stats(spark, sf):
+    return _rounded(tp.column_stats(table(spark, sf, "lineitem")))
+
+
+@check("column_stats_one", f"""
+    SELECT 'c_mktsegment' AS column, count(*) AS rows, count(*) - count(c_mktsegment) AS null_count,
+      round((count(*) - count(c_mktsegment)) * 100.0::DOUBLE / count(*), 9) AS null_percent, NULL::DOUBLE AS min_number, NULL::DOUBLE AS max_number,
+      min(c_mktsegment) AS min_text, max(c_mktsegment) AS max_text, NULL::DOUBLE AS sum, NULL::DOUBLE AS avg,
+      count(DISTINCT c_mktsegment) AS distinct_count FROM ({CUSTOMER_NULLS})""")
+def column_stats_one(spark, sf):
+    stats = tp.column_stats(customers_with_nulls(spark, sf), ["c_mktsegment"])
+    return stats.withColumn("null_percent", F.round("null_percent", 9))
+
+
+@check("distinct_counts", """
+    SELECT 'lang' AS column, count(DISTINCT lang) AS distinct_count FROM documents UNION ALL
+    SELECT 'source', count(DISTINCT source) FROM documents UNION ALL SELECT 'text', count(DISTINCT text) FROM documents UNION ALL
+    SELECT 'n_chars', count(DISTINCT n_chars) FROM documents""")
+def distinct_counts(spark, sf):
+    return tp.distinct_counts(table(spark, sf, "documents").select("lang", "source", "text", "n_chars"))
+
+
+@check("top_values", """
+    SELECT p_brand AS value, count(*) AS count, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM part), 9) AS percent
+    FROM part GROUP BY p_brand ORDER BY count DESC, value LIMIT 5""")
+def top_values(spark, sf):
+    return tp.top_values(table(spark, sf, "part"), "p_brand").withColumn("percent", F.round("percent", 9))
+
+
+@check("top_values_nulls", f"""
+    SELECT c_mktsegment AS value, count(*) AS count, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM customer), 9) AS percent
+    FROM ({CUSTOMER_NULLS}) WHERE c_mktsegment IS NOT NULL GROUP BY c_mktsegment ORDER BY count DESC, value LIMIT 3""")
+def top_values_nulls(spark, sf):
+    return tp.top_values(customers_with_nulls(spark, sf), "c_mktsegment", 3).withColumn("percent", F.round("percent", 9))
+
+
+@check("default_measures", """
+    SELECT 'o_orderkey' AS column, 'sum' AS measure, round(sum(o_orderkey::DOUBLE), 4) AS value FROM orders UNION ALL
+    SELECT 'o_orderkey', 'avg', round(avg(o_orderkey), 4) FROM orders UNION ALL
+    SELECT 'o_totalprice', 'sum', round(round(sum(o_totalprice), 1), 4) FROM orders UNION ALL
+    SELECT 'o_totalprice', 'avg', round(avg(o_totalprice), 4) FROM orders UNION ALL
+    SELECT 'o_orderdate', 'count', count(o_orderdate)::DOUBLE FROM orders UNION ALL
+    SELECT 'o_orderstatus', 'distinct', count(DISTINCT o_orderstatus)::DOUBLE FROM orders UNION ALL
+    SELECT 'o_orderpriority', 'distinct', count(DISTINCT o_orderpriority)::DOUBLE FROM orders""")
+def default_measures(spark, sf):
+    measures = tp.default_measures(table(spark, sf, "orders").drop("o_custkey"))
+    return measures.withColumn("value", F.when(F.col("measure") == "sum", F.round("value", 1)).otherwise(F.round("value", 4)))
+
+
+# A table with NULLs, constants, outliers and patterns, made from the customers and their documents.
+HEALTH = """SELECT nullif(c_mktsegment, 'BUILDING') AS segment, CASE WHEN c_mktsegment = 'MACHINERY' THEN c_name END AS who,
+    CASE WHEN c_nationkey = 3 THEN c_acctbal * 1000 ELSE c_acctbal END AS balance, 5 AS five,
+    lpad(CAST(c_custkey AS VARCHAR), 14, '1') AS company, lower(c_mktsegment) || c_custkey || '@example.com' AS mail,
+    CASE WHEN c_nationkey < 15 THEN 'FR76' || lpad(CAST(c_custkey AS VARCHAR), 23, '0') ELSE c_name END AS account FROM customer"""
+HEALTH_NUMBERS, HEALTH_TEXT = ["balance", "five"], ["segment", "who", "company", "mail", "account"]
+
+
+def health_table(spark, sf):
+    return table(spark, sf, "customer").selectExpr(
+        "nullif(c_mktsegment, 'BUILDING') AS segment", "CASE WHEN c_mktsegment = 'MACHINERY' THEN c_name END AS who",
+        "CASE WHEN c_nationkey = 3 THEN c_acctbal * 1000 ELSE c_acctbal END AS balance", "5 AS five",
+        "lpad(CAST(c_custkey AS STRING), 14, '1') AS company", "concat(lower(c_mktsegment), c_custkey, '@example.com') AS mail",
+        "CASE WHEN c_nationkey < 15 THEN concat('FR76', lpad(CAST(c_custkey AS STRING), 23, '0')) ELSE c_name END AS account",
+    )
+
+
+def _health_sql():
+    patterns = {
+        "EMAIL": r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$", "SIRET": r"^\d{14}$",
+        "NIR": r"^[12]\d{12}(\d{2})?$", "IBAN": r"^[A-Z]{2}\d{2}[A-Z0-9]{11,30}$",
+    }
+    parts = []
+    for c in HEALTH_NUMBERS + HEALTH_TEXT:
+        number = c in HEALTH_NUMBERS
+        outliers = f"count(*) FILTER (sd_{c} > 0 AND abs({c} - m_{c}) > 3 * sd_{c})" if number else "0::BIGINT"
+        labels = " ".join(f"WHEN count(*) FILTER (regexp_matches({c}, '{p}')) > 0.7 * count({c}) THEN '{n}'" for n, p in patterns.items())
+        pattern = "NULL::VARCHAR" if number else f"CASE {labels} END"
+        kind = {"balance": "double", "five": "int"}.get(c, "string")
+        parts.append(f"""SELECT '{c}' AS column, '{kind}' AS type, count(*) AS rows, count(*) - count({c}) AS null_count,
+            (count(*) - count({c})) * 100.0::DOUBLE / count(*) AS null_percent, {outliers} AS outliers, {pattern} AS pattern,
+            count(DISTINCT {c}) AS unique_count FROM h, s""")
+    moments = ", ".join(f"avg({c}) AS m_{c}, stddev({c}) AS sd_{c}" for c in HEALTH_NUMBERS)
+    return f"""WITH h AS ({HEALTH}), s AS (SELECT {moments} FROM h), r AS ({' UNION ALL '.join(parts)})
+        SELECT "column", type, rows, null_count, round(null_percent, 9) AS null_percent, outliers, pattern, unique_count,
+          CAST(100 - CASE WHEN null_percent > 10 THEN 10 ELSE 0 END - CASE WHEN null_percent > 50 THEN 30 ELSE 0 END
+            - least(outliers, 10) AS INTEGER) AS score FROM r"""
+
+
+@check("health_columns", _health_sql())
+def health_columns(spark, sf):
+    return tp.health_columns(health_table(spark, sf)).withColumn("null_percent", F.round("null_percent", 9))
+
+
+@check("health_score", f"SELECT CAST(floor(avg(score) + 0.5) AS INTEGER) AS overall_score, max(rows) AS rows FROM ({_health_sql()})")
+def health_score(spark, sf):
+    return tp.health_score(tp.health_columns(health_table(spark, sf)))
+
+
+@check("health_issues", f"""
+    SELECT 'warning' AS severity, "column", 'column ' || "column" || ': ' || outliers || ' outliers (z-score > 3)' AS message
+    FROM ({_health_sql()}) WHERE outliers > 0""")
+def health_issues(spark, sf):
+    return tp.health_issues(tp.health_columns(health_table(spark, sf)))
+
+
+@check("sensitive_columns", """
+    SELECT 'user_password' AS column, count(*) AS filled FROM customer UNION ALL
+    SELECT 'API_KEY_2', count(nullif(c_mktsegment, 'BUILDING')) FROM customer""")
+def sensitive_columns(spark, sf):
+    rows = customers_with_nulls(spark, sf)
+    return tp.sensitive_columns(tp.rename(rows, {"c_name": "user_password", "c_mktsegment": "API_KEY_2"}))
+
+
+ODD_TEXT = "SELECT doc_id, CASE WHEN lang = 'fr' THEN replace(text, 'le ', 'le → ') ELSE text END AS contenu_du_document_en_entier_long, lang, n_chars AS \"n chars\" FROM documents"
+NOT_CP1252 = r"[^\x00-\x7F\x{A0}-\x{FF}€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]"
+
+
+def odd_documents(spark, sf):
+    text = F.expr("CASE WHEN lang = 'fr' THEN replace(text, 'le ', 'le → ') ELSE text END")
+    return table(spark, sf, "documents").select(
+        "doc_id", text.alias("contenu_du_document_en_entier_long"), "lang", F.col("n_chars").alias("n chars")
+    )
+
+
+def _mainframe_sql():
+    parts = []
+    for c in ("doc_id", "contenu_du_document_en_entier_long", "lang", "n chars"):
+        text = c not in ("doc_id", "n chars")
+        parts.append(f"SELECT 'headers' AS section, '{c}' AS column, {int(len(c) > 30 or ' ' in c)}::BIGINT AS errors")
+        for section, pattern in (("encoding", NOT_CP1252), ("structure", r"[\r\n\t]")):
+            errors = f"count(*) FILTER (regexp_matches({c}, '{pattern}'))" if text else "0 * count(*)"
+            parts.append(f"SELECT '{section}', '{c}', {errors} FROM d")
+    return f"WITH d AS ({ODD_TEXT}) SELECT *, errors = 0 AS valid FROM ({' UNION ALL '.join(parts)})"
+
+
+@check("mainframe_report", _mainframe_sql())
+def mainframe_report(spark, sf):
+    return tp.mainframe_report(odd_documents(spark, sf))
+
+
+@check("mainframe_errors", f"""
+    SELECT doc_id, "column", regexp_extract(value, '{NOT_CP1252}') AS char, md5(value) AS digest
+    FROM (SELECT doc_id, 'body' AS column, contenu_du_document_en_entier_long AS value FROM ({ODD_TEXT})
+      UNION ALL SELECT doc_id, 'lang', lang FROM documents) WHERE regexp_matches(value, '{NOT_CP1252}')""")
+def mainframe_errors(spark, sf):
+    rows = tp.rename(odd_documents(spark, sf), {"contenu_du_document_en_entier_long": "body"})
+    return tp.mainframe_errors(rows, "doc_id").select("doc_id", "column", "char", F.md5("value").alias("digest"))

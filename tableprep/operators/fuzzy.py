@@ -109,15 +109,9 @@ def _candidates(left: DataFrame, right: DataFrame, d: int, same: bool, bucket_li
     found = []
     while True:
         index, probe = _index_keys(left, d), _probe_keys(right, d, same)
-        sizes = (
-            index.select("key", "can_split", F.lit(1).alias("l"), F.lit(0).alias("r"))
-            .unionAll(probe.select("key", "can_split", F.lit(0).alias("l"), F.lit(1).alias("r")))
-            .groupBy("key").agg(F.sum("l").alias("l"), F.sum("r").alias("r"), F.min("can_split").alias("can_split"))
-        )
-        large = written(sizes.where(F.col("can_split") & (F.least("l", "r") > bucket_limit)).select("key"), "large")
-        last = large.isEmpty()
+        large = _large_buckets(left, right, index, probe, bucket_limit)
         a, b = index, probe
-        if not last:
+        if large is not None:
             a, b = (side.join(large, "key", "left_anti") for side in (index, probe))
         pairs = a.select("key", F.col("value").alias("v1")).join(b.select("key", F.col("value").alias("v2")), "key")
         near = pairs.withColumn("distance", F.levenshtein("v1", "v2", d)).where("distance >= 0")
@@ -126,7 +120,7 @@ def _candidates(left: DataFrame, right: DataFrame, d: int, same: bool, bucket_li
                 F.least("v1", "v2").alias("v1"), F.greatest("v1", "v2").alias("v2"), "distance"
             )
         found.append(near.select("v1", "v2", "distance"))
-        if last:
+        if large is None:
             return reduce(DataFrame.unionAll, found).distinct()
         left, right = (
             written(side.join(large, "key", "left_semi").select("value", "rest", F.col("key").alias("ctx")).distinct())
@@ -134,6 +128,21 @@ def _candidates(left: DataFrame, right: DataFrame, d: int, same: bool, bucket_li
         )
 
 
+def _large_buckets(
+    left: DataFrame, right: DataFrame, index: DataFrame, probe: DataFrame, bucket_limit: int
+) -> DataFrame | None:
+    """Keys of buckets that must be cut further; None when there are none."""
+    if min(side.count() for side in (left, right)) <= bucket_limit:
+        return None
+    sizes = (
+        index.select("key", "can_split", F.lit(1).alias("l"), F.lit(0).alias("r"))
+        .unionAll(probe.select("key", "can_split", F.lit(0).alias("l"), F.lit(1).alias("r")))
+        .groupBy("key").agg(F.sum("l").alias("l"), F.sum("r").alias("r"), F.min("can_split").alias("can_split"))
+    )
+    large = written(sizes.where(F.col("can_split") & (F.least("l", "r") > bucket_limit)).select("key"), "large")
+    return None if large.isEmpty() else large
+
+
 def _start(df: DataFrame, col: str) -> DataFrame:
     values = df.select(F.col(col).cast("string").alias("value")).where("value is not null").distinct()
     return written(values.select("value", F.col("value").alias("rest"), F.lit(0).cast("bigint").alias("ctx")), "values")
@@ -216,4 +225,4 @@ def fingerprint_clusters(df: DataFrame, col: str) -> DataFrame:
 def merge_clusters(df: DataFrame, col: str, clusters: DataFrame) -> DataFrame:
     """Replace each value by the ``canonical`` value of its cluster."""
     mapping = clusters.select(F.col("value").alias("old"), F.col("canonical").alias("new"))
-    return map_values(df, col, mapping)
+    return map_values(df, col, mapping, known_unique=True)

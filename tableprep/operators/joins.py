@@ -63,14 +63,20 @@ def mapping_frame(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
 
 
 def map_values(
-    df: DataFrame, col: str, mapping: DataFrame | Mapping[str, str], to: str | None = None
+    df: DataFrame,
+    col: str,
+    mapping: DataFrame | Mapping[str, str],
+    to: str | None = None,
+    known_unique: bool = False,
 ) -> DataFrame:
     """Replace values by a map with columns ``old`` and ``new``; others stay.
 
-    With ``to`` the result goes to that column, and unmapped values are NULL there.
+    With ``to`` the result goes to that column, and unmapped values are NULL there. An ``old`` value
+    that occurs twice raises; ``known_unique`` saves the pass that checks this.
     """
     table = mapping if isinstance(mapping, DataFrame) else mapping_frame(df, mapping)
-    require_unique(table, "old", "map_values")
+    if isinstance(mapping, DataFrame) and not known_unique:
+        require_unique(table, "old", "map_values")
     right = table.select(table["old"].alias("__old"), table["new"].alias("__new"))
     joined = df.join(right, df[col].cast("string") == right["__old"], "left")
     if to is not None:

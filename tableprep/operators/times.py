@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tableprep.functions.dates import calendar_parts, local_time_in
 from tableprep.operators.fuzzy import near_match
 from tableprep.operators.joins import map_values, mapping_frame
+from tableprep.scratch import written
 
 
 def date_bounds(df: DataFrame, col: str) -> DataFrame:
@@ -40,7 +41,8 @@ def resolve_zones(
     name) or ``unresolved`` with a NULL zone.
     """
     norm = lambda c: F.trim(F.lower(c))
-    places = df.select(F.col(place).alias("place")).where(F.col(place) != "").distinct()
+    # One pass over the table; all that follows works on its distinct places.
+    places = written(df.select(F.col(place).alias("place")).where(F.col("place") != "").distinct(), "places")
     cities = (
         gazetteer.where("city is not null").groupBy(norm(F.col("city")).alias("city")).agg(F.min("zone").alias("zone"))
     )
@@ -57,7 +59,8 @@ def resolve_zones(
         F.when(F.col("manual_zone").isNotNull(), "manual").when(F.col("zone").isNotNull(), "exact")
         .when(F.col("near_zone").isNotNull(), "near").otherwise("unresolved")
     )
-    return full.select("place", F.coalesce("manual_zone", "zone", "near_zone").alias("zone"), how.alias("how"))
+    zones = full.select("place", F.coalesce("manual_zone", "zone", "near_zone").alias("zone"), how.alias("how"))
+    return written(zones, "zones")
 
 
 def to_zone(
@@ -71,11 +74,11 @@ def to_zone(
 ) -> DataFrame:
     """Local times of each row's place as ``yyyy-MM-dd HH:mm:ss`` in the target zone.
 
-    ``zones`` is the result of :func:`resolve_zones`. A row with an unknown place or an unreadable
+    ``zones`` is the result of :func:`resolve_zones`, each place once. A row with an unknown place or an unreadable
     time gets NULL in the new column, or keeps its text with ``overwrite``.
     """
     known = zones.where("zone is not null").select(F.col("place").alias("old"), F.col("zone").alias("new"))
-    with_zone = map_values(df, place, known, to="__zone")
+    with_zone = map_values(df, place, known, to="__zone", known_unique=True)
     moved = local_time_in(F.col(time), F.col("__zone"), target)
     if overwrite:
         result = with_zone.withColumn(time, F.coalesce(moved, F.col(time).cast("string")))

@@ -51,13 +51,13 @@ class Recipe:
         self.steps = list(steps or [])
         self.source = source
 
-    def add(self, op: str, kind: str = "TRANSFORM", description: str = "", **args: Any) -> Recipe:
+    def add(self, op: str, /, *, step_kind: str = "TRANSFORM", description: str = "", **args: Any) -> Recipe:
         """A new recipe with one more step."""
         find(op)
-        if kind not in KINDS:
-            raise ValueError(f"kind must be one of {', '.join(KINDS)}")
+        if step_kind not in KINDS:
+            raise ValueError(f"step_kind must be one of {', '.join(KINDS)}")
         now = dt.datetime.now(dt.timezone.utc).isoformat(timespec="seconds")
-        return Recipe([*self.steps, Step(op, args, kind, description or op, now)], self.source)
+        return Recipe([*self.steps, Step(op, args, step_kind, description or op, now)], self.source)
 
     def apply(self, df: DataFrame, tables: Mapping[str, DataFrame] | None = None) -> DataFrame:
         """Replay all steps on ``df``."""

@@ -24,13 +24,17 @@ def read_delimited(
     schema: T.StructType | None = None,
     header: bool = True,
     normalize: bool = True,
+    multiline: bool = False,
 ) -> DataFrame:
     """Text with a delimiter; what is not given is detected, types included.
 
     Rows with too few or too many fields, or with a value of another type, are bad: ``drop`` leaves
     them out, ``keep`` adds ``_corrupt_record`` with their text (NULL in good rows), ``only`` returns
-    just their text, so nothing is lost unseen. Give ``schema`` for large inputs: detection of types
-    reads the files once more.
+    just the bad ones, so nothing is lost unseen. (Spark refuses a query on ``_corrupt_record`` alone;
+    select another column with it.) Give ``schema`` for large inputs: detection of types reads the
+    files once more.
+
+    ``multiline`` accepts line breaks inside quotes. Such files cannot be split: one task reads each.
     """
     encoding = encoding or detect_encoding(spark, path)
     allow_java_charsets(spark)
@@ -38,6 +42,7 @@ def read_delimited(
     # Without column pruning each row is parsed in full, so bad rows are found in every query.
     options = {
         "header": header, "sep": sep, "encoding": encoding, "quote": '"', "escape": '"', "columnPruning": False,
+        "multiLine": multiline,
     }
     if schema is None:
         schema = spark.read.options(inferSchema=True, **options).csv(path).schema
@@ -49,9 +54,7 @@ def read_delimited(
     if bad_rows == "keep":
         return rows
     if bad_rows == "only":
-        # A filter on the corrupt text alone is refused; the struct names the other columns as well.
-        whole = rows.select(F.struct(*rows.columns).alias("r")).where(F.col(f"r.{CORRUPT}").isNotNull())
-        return whole.select(F.col(f"r.{CORRUPT}").alias("line"))
+        return rows.where(F.col(CORRUPT).isNotNull())
     if bad_rows == "drop":
         return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
     raise ValueError("bad_rows must be 'drop', 'keep' or 'only'")
