@@ -2,30 +2,46 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Date formats in the order in which ties are decided, each with its lenient form.
-DATE_FORMATS = {
-    "dd/MM/yyyy": "d/M/yyyy",
-    "MM/dd/yyyy": "M/d/yyyy",
-    "yyyy-MM-dd": "yyyy-M-d",
-    "yyyyMMdd": "yyyyMMdd",
-}
+# Date formats in the order in which ties are decided.
+DATE_FORMATS = ("dd/MM/yyyy", "MM/dd/yyyy", "yyyy-MM-dd", "yyyyMMdd")
+
+_YEAR = "(?<y>[0-9]{4})"
+# By strictness: two digits, or one where a two-digit number would have a leading zero.
+_DAY = {True: "(?<d>0[1-9]|[12][0-9]|3[01])", False: "(?<d>0?[1-9]|[12][0-9]|3[01])"}
+_MONTH = {True: "(?<m>0[1-9]|1[0-2])", False: "(?<m>0?[1-9]|1[0-2])"}
+
+
+def _shape(fmt: str, strict: bool) -> str:
+    strict = strict or fmt == "yyyyMMdd"
+    parts = {"yyyy": _YEAR, "MM": _MONTH[strict], "dd": _DAY[strict]}
+    return "^" + re.sub("yyyy|MM|dd", lambda part: parts[part.group()], fmt) + "\\z"
+
+
+def parsed_date(column: Column, fmt: str, strict: bool = True) -> Column:
+    """The date, or NULL.
+
+    The known formats are matched by shape and cast: a failing date parser costs an exception per
+    value, a failing match does not. Other formats go through the parser.
+    """
+    if fmt not in DATE_FORMATS:
+        return F.try_to_timestamp(column, F.lit(fmt)).cast("date")
+    shape = _shape(fmt, strict)
+    return F.when(column.rlike(shape), F.regexp_replace(column, shape, "${y}-${m}-${d}").try_cast("date"))
 
 
 def matches_format(column: Column, fmt: str) -> Column:
     """True when the text is a real date in exactly this format."""
-    return F.try_to_timestamp(column, F.lit(fmt)).isNotNull()
+    return parsed_date(column, fmt).isNotNull()
 
 
 def iso_date(column: Column, fmt: str) -> Column:
-    """``yyyy-MM-dd`` text; NULL when the value is no date in this format."""
-    parsed = F.try_to_timestamp(column, F.lit(fmt))
-    lenient = DATE_FORMATS.get(fmt, fmt)
-    if lenient != fmt:
-        parsed = F.coalesce(parsed, F.try_to_timestamp(column, F.lit(lenient)))
-    return F.date_format(parsed, "yyyy-MM-dd")
+    """``yyyy-MM-dd`` text; NULL when the value is no date in this format (leading zeros optional)."""
+    return parsed_date(column, fmt, strict=False).cast("string")
 
 
 def calendar_parts(day: Column) -> dict[str, Column]:

@@ -28,6 +28,7 @@ DAMAGED_ALONE = {"Ã": "À"}
 # The characters of windows-1252 outside ASCII and Latin-1.
 CP1252_EXTRA = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
 NOT_CP1252 = "[^\\x00-\\x7F\\xA0-\\xFF" + CP1252_EXTRA + "]"
+NOT_LATIN1 = "[^\\x00-\\x7F\\xA0-\\xFF]"
 
 
 def like_pattern(text: str, before: str = "%", after: str = "%") -> str:
@@ -88,6 +89,15 @@ def fingerprint(column: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(words)), " ")
 
 
+def outside_cp1252(column: Column) -> Column:
+    """True when the text has a character that windows-1252 lacks.
+
+    The cheap tests come first: most text is ASCII or Latin-1 throughout.
+    """
+    ascii_only = F.octet_length(column) == F.char_length(column)
+    return ~ascii_only & column.rlike(NOT_LATIN1) & column.rlike(NOT_CP1252)
+
+
 def cp1252_safe(column: Column) -> Column:
     """Characters that windows-1252 lacks become ``?``."""
-    return F.regexp_replace(column, NOT_CP1252, "?")
+    return F.when(outside_cp1252(column), F.regexp_replace(column, NOT_CP1252, "?")).otherwise(column)

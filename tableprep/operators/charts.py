@@ -22,7 +22,8 @@ def histogram(df: DataFrame, col: str, bins: int = 20, clamp_max: bool = False)
     The largest value falls into a bin of its own, number ``bins``; ``clamp_max`` puts it in the last.
     """
     value = F.col(col).cast("double")
-    low, high = (df.agg(f(value)).scalar() for f in (F.min, F.max))
+    bounds = df.agg(F.struct(F.min(value).alias("low"), F.max(value).alias("high"))).scalar()
+    low, high = bounds.getField("low"), bounds.getField("high")
     width = F.coalesce(F.nullif((high - low) / F.lit(bins), F.lit(0.0)), F.lit(1.0))
     number = F.floor((value - low) / width)
     if clamp_max:
@@ -34,7 +35,8 @@ def histogram(df: DataFrame, col: str, bins: int = 20, clamp_max: bool = False)
 def zscore_top(df: DataFrame, col: str, k: int = 200) -> DataFrame:
     """The ``k`` values furthest from the mean, in standard deviations; above 2 is an outlier."""
     value = F.col(col).cast("double")
-    mean, deviation = df.agg(F.avg(value)).scalar(), df.agg(F.stddev_samp(value)).scalar()
+    moments = df.agg(F.struct(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))).scalar()
+    mean, deviation = moments.getField("mean"), moments.getField("sd")
     scored = df.where(F.col(col).isNotNull()).select(
         F.col(col).alias("value"), ((value - mean) / F.nullif(deviation, F.lit(0.0))).alias("z_score")
     )

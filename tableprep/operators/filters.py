@@ -112,13 +112,21 @@ def apply_rules(df: DataFrame, rules: Iterable[dict]) -> DataFrame:
 
 
 def sort_rows(df: DataFrame, cols: str | Sequence[str], desc: bool | Sequence[bool] = False) -> DataFrame:
-    """Sort by one or more columns; NULLs come last in both directions."""
+    """Sort by one or more columns; NULLs come last in both directions.
+
+    Ties are ordered by a hash of the row. So rows that share one value can go to many tasks.
+    """
     cols = [cols] if isinstance(cols, str) else list(cols)
     flags = [desc] * len(cols) if isinstance(desc, bool) else list(desc)
     if len(flags) != len(cols):
         raise ValueError("one direction per column")
     keys = [F.desc_nulls_last(c) if down else F.asc_nulls_last(c) for c, down in zip(cols, flags)]
-    return df.orderBy(*keys)
+    return df.orderBy(*keys, *_tie_break(df))
+
+
+def _tie_break(df: DataFrame) -> list[Column]:
+    hashable = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return [F.xxhash64(*hashable)] if hashable else []
 
 
 def next_sort(current: tuple[str, bool] | None, column: str) -> tuple[str, bool] | None:

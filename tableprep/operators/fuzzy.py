@@ -171,6 +171,7 @@ def connected(pairs: DataFrame, a: str = "v1", b: str = "v2", max_rounds: int =
     """
     edges = pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
     edges = written(edges, "edges")
+    before = _digest(edges)
     for _ in range(max_rounds):
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both).where("v > u")
@@ -183,11 +184,12 @@ def connected(pairs: DataFrame, a: str = "v1", b: str = "v2", max_rounds: int =
             .where("u <> v").distinct()
         )
         linked = written(linked, "edges")
-        if _digest(linked) == _digest(edges):
+        after = _digest(linked)
+        if after == before:
             members = linked.groupBy("u").agg(F.min("v").alias("canonical")).select(F.col("u").alias("value"), "canonical")
             roots = linked.select(F.col("v").alias("value"), F.col("v").alias("canonical")).distinct()
             return members.unionAll(roots)
-        edges = linked
+        edges, before = linked, after
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 

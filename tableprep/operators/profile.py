@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableprep.functions.text import NOT_CP1252
+from tableprep.functions.text import NOT_CP1252, outside_cp1252
 
 # Patterns a text column is tested for, in this order, and the share that must match.
 PATTERNS = {
@@ -69,21 +69,33 @@ def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None, approx: bo
         seen = df.where(F.col(name).isNotNull()).groupBy(name).agg(F.lit(1))
         return seen.agg(F.lit(name).alias("column"), F.count("*").alias("distinct_count"))
     values = F.stack(
-        F.lit(len(fields)),
-        *[part for f in fields for part in (F.lit(f.name), _value_text(f))],
-    ).alias("column", "value")
-    seen = df.select(values).groupBy("column", "value").agg(F.lit(1))
-    return seen.groupBy("column").agg(F.count("value").alias("distinct_count"))
-
-
-def _value_text(field: T.StructField) -> Column:
-    """Text that is equal for equal values and different for different ones."""
-    column = F.col(field.name)
-    if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
-        return F.when(column == 0, F.lit("0.0")).otherwise(column.cast("string"))
-    if isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
-        return F.to_json(F.struct(column))
-    return column.cast("string")
+        F.lit(len(fields)), *[part for i, f in enumerate(fields) for part in (F.lit(i), *_typed_value(f))]
+    ).alias("i", "whole", "number", "text")
+    seen = df.select(values).groupBy("i", "whole", "number", "text").agg(F.lit(1))
+    # A group of NULLs only keeps its column in the result, with 0.
+    filled = F.count_if(F.expr("whole is not null or number is not null or text is not null"))
+    counts = seen.groupBy("i").agg(filled.alias("n"))
+    names = F.array(*[F.lit(f.name) for f in fields])
+    return counts.select(F.get(names, F.col("i")).alias("column"), F.col("n").alias("distinct_count"))
+
+
+def _typed_value(field: T.StructField) -> tuple[Column, Column, Column]:
+    """The value as a whole number, a double or a text, whichever keeps it exactly; others NULL."""
+    column, dtype = F.col(field.name), field.dataType
+    whole, number, text = (F.lit(None).cast(t) for t in ("bigint", "double", "string"))
+    if isinstance(dtype, (T.IntegralType, T.BooleanType)):
+        whole = column.cast("bigint")
+    elif isinstance(dtype, T.DateType):
+        whole = F.unix_date(column).cast("bigint")
+    elif isinstance(dtype, T.TimestampType):
+        whole = F.unix_micros(column)
+    elif isinstance(dtype, (T.FloatType, T.DoubleType)):
+        number = column.cast("double")
+    elif isinstance(dtype, (T.ArrayType, T.StructType, T.MapType)):
+        text = F.when(column.isNotNull(), F.to_json(F.struct(column)))
+    else:
+        text = column.cast("string")
+    return whole, number, text
 
 
 def column_stats(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
@@ -116,10 +128,11 @@ def column_stats(df: DataFrame, cols: Sequence[str] | None = None, approx: bool
 
 def top_values(df: DataFrame, col: str, k: int = 5) -> DataFrame:
     """The most frequent values with their count and their share of all rows, NULLs included there."""
-    counts = df.groupBy(F.col(col).alias("value")).agg(F.count("*").alias("count"))
-    total = counts.agg(F.sum("count")).scalar()
-    shown = counts.where("value is not null").orderBy(F.desc("count"), "value").limit(k)
-    return shown.withColumn("percent", F.col("count") * 100.0 / total)
+    filled = df.where(F.col(col).isNotNull())
+    counts = filled.groupBy(F.col(col).alias("value")).agg(F.count("*").alias("count"))
+    # The total needs no column: Parquet answers it from its footers.
+    total = df.agg(F.count("*")).scalar()
+    return counts.orderBy(F.desc("count"), "value").limit(k).withColumn("percent", F.col("count") * 100.0 / total)
 
 
 def default_measures(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -222,6 +235,10 @@ def sensitive_columns(df: DataFrame) -> DataFrame:
     return _long(df, hits, lambda f: {"filled": F.count(F.col(f.name))})
 
 
+def _broken(column: Column) -> Column:
+    return F.contains(column, F.lit("\n")) | F.contains(column, F.lit("\r")) | F.contains(column, F.lit("\t"))
+
+
 def mainframe_report(df: DataFrame, max_name: int = 30) -> DataFrame:
     """What an old mainframe would refuse, per column (all rows, one pass).
 
@@ -237,8 +254,8 @@ def mainframe_report(df: DataFrame, max_name: int = 30) -> DataFrame:
         none = F.lit(0).cast("bigint")
         for section, errors in (
             ("headers", F.lit(int(bad_name)).cast("bigint")),
-            ("encoding", F.count_if(F.col(name).rlike(NOT_CP1252)) if text else none),
-            ("structure", F.count_if(F.col(name).rlike("[\\r\\n\\t]")) if text else none),
+            ("encoding", F.count_if(outside_cp1252(F.col(name))) if text else none),
+            ("structure", F.count_if(_broken(F.col(name))) if text else none),
         ):
             rows.append(F.struct(F.lit(section).alias("section"), F.lit(name).alias("column"), errors.alias("errors")))
     report = df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
@@ -249,7 +266,7 @@ def mainframe_errors(df: DataFrame, key: str) -> DataFrame:
     """Each value outside windows-1252: key, column, first such character, value."""
     texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType) and f.name != key]
     long = df.unpivot(key, texts, "column", "value") if texts else df.select(key, F.lit("").alias("column"), F.lit(None).cast("string").alias("value"))
-    bad = long.where(F.col("value").rlike(NOT_CP1252))
+    bad = long.where(outside_cp1252(F.col("value")))
     return bad.select(key, "column", F.regexp_substr("value", F.lit(NOT_CP1252)).alias("char"), "value")
 
 

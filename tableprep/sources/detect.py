@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableprep.functions.text import quoted
+from tableprep.scratch import written
 from tableprep.session import allow_java_charsets
 
 # Delimiters that are tried, in the order in which ties are decided.
 DELIMITERS = (",", ";", "\t", "|")
 HEAD_LINES = 10
+# One row of about 200 bytes per file block: at most some 200 MB are broadcast.
+MAX_BROADCAST_BLOCKS = 1_000_000
 
 
 def _lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
@@ -69,12 +72,10 @@ def detect_format(spark: SparkSession, path: str) -> str:
 
 def detect_newline(spark: SparkSession, path: str) -> str:
     """The line end of the file: ``\\r\\n``, ``\\r`` or ``\\n``."""
-    with_feed = spark.read.option("lineSep", "\n").text(path)
-    first = with_feed.select(F.contains("value", F.lit("\r\n")), F.contains("value", F.lit("\r"))).first()
-    if first is None or not first[1]:
+    first = spark.read.option("lineSep", "\n").text(path).select(F.rtrim("value", F.lit("\r")), "value").first()
+    if first is None or "\r" not in first[1]:
         return "\n"
-    cut = with_feed.select(F.endswith("value", F.lit("\r"))).first()[0]
-    return "\r\n" if cut else "\r"
+    return "\r" if "\r" in first[0] else "\r\n"
 
 
 def jagged_rows(spark: SparkSession, path: str, sep: str | None = None, encoding: str = "UTF-8") -> DataFrame:
@@ -90,14 +91,18 @@ def jagged_rows(spark: SparkSession, path: str, sep: str | None = None, encoding
         _lines(spark, path, encoding)
         .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
         .where(F.trim(F.regexp_replace("value", "[\\t\\r]", " ")) != "")
-        .select("file", "block", "value", _fields(stripped, sep).alias("actual"), F.monotonically_increasing_id().alias("at"))
+        .select("file", "block", "value", F.monotonically_increasing_id().alias("at"))
     )
+    width = _fields(stripped, sep)
     # Line numbers without a global sort: ids rise within a block, and the few block sizes add up.
     blocks = lines.groupBy("file", "block").agg(
-        F.count("*").alias("n"), F.min("at").alias("first_at"), F.min_by("actual", "at").alias("width")
+        F.count("*").alias("n"), F.min("at").alias("first_at"),
+        F.min_by(F.when(F.col("block") == 0, width), "at").alias("width"),
     )
-    starts = _block_starts(blocks)
-    found = lines.join(starts, ["file", "block"]).where("actual <> expected")
+    starts = written(_block_starts(blocks), "blocks")
+    if starts.count() <= MAX_BROADCAST_BLOCKS:
+        starts = F.broadcast(starts)
+    found = lines.withColumn("actual", width).join(starts, ["file", "block"]).where("actual <> expected")
     shown = F.concat(F.substring("value", 1, 50), F.when(F.length("value") > 50, "...").otherwise(""))
     return found.select(
         F.element_at(F.split("file", "/"), -1).alias("file"),

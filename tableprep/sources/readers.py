@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableprep.functions.names import normalize_names
+from tableprep.scratch import written
 from tableprep.session import allow_java_charsets
 from tableprep.sources.detect import detect_delimiter, detect_encoding, detect_format
 
@@ -30,9 +31,8 @@ def read_delimited(
 
     Rows with too few or too many fields, or with a value of another type, are bad: ``drop`` leaves
     them out, ``keep`` adds ``_corrupt_record`` with their text (NULL in good rows), ``only`` returns
-    just the bad ones, so nothing is lost unseen. (Spark refuses a query on ``_corrupt_record`` alone;
-    select another column with it.) Give ``schema`` for large inputs: detection of types reads the
-    files once more.
+    just the bad ones, so nothing is lost unseen. Give ``schema`` for large inputs: detection of types
+    reads the files once more.
 
     ``multiline`` accepts line breaks inside quotes. Such files cannot be split: one task reads each.
     """
@@ -49,15 +49,14 @@ def read_delimited(
     if normalize:
         names = normalize_names(schema.names)
         schema = T.StructType([T.StructField(n, f.dataType, True) for n, f in zip(names, schema)])
+    if bad_rows == "drop":
+        return spark.read.options(mode="DROPMALFORMED", **options).schema(schema).csv(path)
+    if bad_rows not in ("keep", "only"):
+        raise ValueError("bad_rows must be 'drop', 'keep' or 'only'")
     marked = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     rows = spark.read.options(mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, **options).schema(marked).csv(path)
-    if bad_rows == "keep":
-        return rows
-    if bad_rows == "only":
-        return rows.where(F.col(CORRUPT).isNotNull())
-    if bad_rows == "drop":
-        return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    raise ValueError("bad_rows must be 'drop', 'keep' or 'only'")
+    # Written, because Spark refuses some queries on the corrupt text of a raw file.
+    return rows if bad_rows == "keep" else written(rows.where(F.col(CORRUPT).isNotNull()), "bad")
 
 
 def read_json(spark: SparkSession, path: str, multiline: bool = False, schema: T.StructType | None = None) -> DataFrame:
