@@ -15,7 +15,7 @@ def _stats_sql():
     for c in LINEITEM_NUMBERS:
         parts.append(f"""SELECT '{c}' AS column, count(*) AS rows, count(*) - count({c}) AS null_count,
             (count(*) - count({c})) * 100.0::DOUBLE / count(*) AS null_percent, min({c})::DOUBLE AS min_number, max({c})::DOUBLE AS max_number,
-            NULL::VARCHAR AS min_text, NULL::VARCHAR AS max_text, round(sum({c}::DOUBLE), 1) AS sum, round(avg({c}), 6) AS avg,
+            NULL::VARCHAR AS min_text, NULL::VARCHAR AS max_text, round(sum({c}::DOUBLE), 1) AS sum, round(avg({c}), 7) AS avg,
             count(DISTINCT {c}) AS distinct_count FROM lineitem""")
     for c in LINEITEM_TEXT:
         parts.append(f"""SELECT '{c}', count(*), count(*) - count({c}), (count(*) - count({c})) * 100.0::DOUBLE / count(*),
@@ -24,7 +24,7 @@ def _stats_sql():
 
 
 def _rounded(stats):
-    return stats.withColumns({"sum": F.round("sum", 1), "avg": F.round("avg", 6)})
+    return stats.withColumns({"sum": F.round("sum", 1), "avg": F.round("avg", 7)})
 
 
 @check("column_stats", _stats_sql())
@@ -50,6 +50,11 @@ def distinct_counts(spark, sf):
     return tp.distinct_counts(table(spark, sf, "documents").select("lang", "source", "text", "n_chars"))
 
 
+@check("row_count", "SELECT count(*) AS rows FROM lineitem")
+def row_count(spark, sf):
+    return table(spark, sf, "lineitem").agg(F.count("*").alias("rows"))
+
+
 @check("top_values", """
     SELECT p_brand AS value, count(*) AS count, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM part), 9) AS percent
     FROM part GROUP BY p_brand ORDER BY count DESC, value LIMIT 5""")

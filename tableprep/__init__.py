@@ -34,7 +34,8 @@ from tableprep.operators.times import calendar, date_bounds, resolve_zones, to_z
 from tableprep.plans.recipe import Recipe
 from tableprep.session import build_session
 from tableprep.sources.detect import (
-    delimiter_scores, detect_delimiter, detect_encoding, detect_format, detect_newline, jagged_rows,
+    delimiter_scores, detect_delimiter, detect_encoding, detect_format, detect_newline, file_info,
+    jagged_rows,
 )
 from tableprep.sources.readers import read_any, read_delimited, read_fixed_width, read_json
 from tableprep.sources.writers import (

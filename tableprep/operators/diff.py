@@ -20,8 +20,8 @@ def row_diff(a: DataFrame, b: DataFrame, mode: str = "set", key: str | None = No
     """Rows of ``b`` that ``a`` lacks (``added``) and the reverse (``removed``).
 
     Columns are aligned by name. ``set`` ignores how often a row occurs; ``bag`` gives each surplus
-    copy. Both are one aggregation over the two versions. With ``key`` the rows are matched by key,
-    and one that differs is ``changed``.
+    copy. With ``key`` the rows are matched by key, and one that differs is ``changed``; a key that
+    occurs twice in a version raises. Each is one aggregation over the two versions.
     """
     if set(a.columns) != set(b.columns):
         raise ValueError("the versions have different columns; see schema_diff")
@@ -46,25 +46,32 @@ def _status(sign):
 
 
 def _diff_by_key(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    # One aggregation with map-side combining, as in the other modes; an outer join could not split
+    # a hot key.
+    whole = F.struct(*a.columns)
+    nothing = F.lit(None).cast(a.select(whole).schema[0].dataType)
+    both = a.select(whole.alias("__old"), nothing.alias("__new")).unionAll(b.select(nothing, whole))
+    keyed = both.withColumn("__key", F.coalesce("__new", "__old").getField(key))
+    sides = keyed.groupBy("__key").agg(
+        F.any_value("__old", True).alias("__old"), F.any_value("__new", True).alias("__new"),
+        F.greatest(F.count("__old"), F.count("__new")).alias("__copies"),
+    )
+    old, new = F.col("__old"), F.col("__new")
     values = [c for c in a.columns if c != key]
-    left = a.select(F.col(key).alias("__a_key"), F.struct(*a.columns).alias("__a"))
-    right = b.select(F.col(key).alias("__b_key"), F.struct(*a.columns).alias("__b"))
-    joined = left.join(right, F.col("__a_key").eqNullSafe(F.col("__b_key")), "full")
-    old, new = F.col("__a"), F.col("__b")
     differs = [~old.getField(c).eqNullSafe(new.getField(c)) for c in values]
+    repeated = F.raise_error(F.concat(F.lit("row_diff: a key occurs more than once: "), F.col("__key").cast("string")))
     status = (
-        F.when(old.isNull(), "added").when(new.isNull(), "removed").when(reduce(or_, differs, F.lit(False)), "changed")
-    )
-    changed = F.filter(
-        F.array(*[F.when(d, F.lit(c)) for d, c in zip(differs, values)]), lambda c: c.isNotNull()
+        F.when(F.col("__copies") > 1, repeated.cast("string")).when(old.isNull(), "added").when(new.isNull(), "removed")
+        .when(reduce(or_, differs, F.lit(False)), "changed")
     )
-    fields = [F.coalesce(new.getField(c), F.when(new.isNull(), old.getField(c))).alias(c) for c in a.columns]
+    changed = F.filter(F.array(*[F.when(d, F.lit(c)) for d, c in zip(differs, values)]), lambda c: c.isNotNull())
+    shown = F.coalesce(new, old)
     return (
-        joined.withColumn("status", status)
+        sides.withColumn("status", status)
         .where(F.col("status").isNotNull())
         .select(
             "status",
-            *fields,
+            *[shown.getField(c).alias(c) for c in a.columns],
             F.when(F.col("status") == "changed", F.array_join(changed, ",")).alias("changed_columns"),
         )
     )

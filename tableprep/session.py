@@ -10,6 +10,8 @@ SETTINGS = {
     # Run-time choices: broadcast by measured size, split skewed join partitions, merge small ones.
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a hot key even where that costs one more shuffle after the join.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Needed to read and write windows-1252 files.
     "spark.sql.legacy.javaCharsets": "true",

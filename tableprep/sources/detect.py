@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,11 +81,17 @@ def detect_newline(spark: SparkSession, path: str) -> str:
     return "\r" if "\r" in first[0] else "\r\n"
 
 
+def file_info(spark: SparkSession, path: str) -> DataFrame:
+    """Name, size and time of change of the files; their content is not read."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), "modificationTime")
+
+
 def jagged_rows(spark: SparkSession, path: str, sep: str | None = None, encoding: str = "UTF-8") -> DataFrame:
     """Lines whose number of fields differs from the first line of their file.
 
     Columns ``file``, ``row`` (from 1, blank lines not counted), ``expected``, ``actual`` and
-    ``content`` (50 characters). All lines are read. Delimiters inside quotes do not count; a quoted
+    ``content`` (50 characters). All lines are read, and the bad ones written. Delimiters inside quotes do not count; a quoted
     line break does, as a new line.
     """
     sep = sep or detect_delimiter(spark, path, encoding)
@@ -99,16 +108,32 @@ def jagged_rows(spark: SparkSession, path: str, sep: str | None = None, encoding
         F.count("*").alias("n"), F.min("at").alias("first_at"),
         F.min_by(F.when(F.col("block") == 0, width), "at").alias("width"),
     )
-    starts = written(_block_starts(blocks), "blocks")
-    if starts.count() <= MAX_BROADCAST_BLOCKS:
-        starts = F.broadcast(starts)
-    found = lines.withColumn("actual", width).join(starts, ["file", "block"]).where("actual <> expected")
-    shown = F.concat(F.substring("value", 1, 50), F.when(F.length("value") > 50, "...").otherwise(""))
-    return found.select(
-        F.element_at(F.split("file", "/"), -1).alias("file"),
-        (F.col("at") - F.col("first_at") + F.col("before") + 1).alias("row"),
-        "expected", "actual", shown.alias("content"),
-    )
+    with _same_splits(spark):
+        starts = written(_block_starts(blocks), "blocks")
+        if starts.count() <= MAX_BROADCAST_BLOCKS:
+            starts = F.broadcast(starts)
+        found = lines.withColumn("actual", width).join(starts, ["file", "block"]).where("actual <> expected")
+        shown = F.concat(F.substring("value", 1, 50), F.when(F.length("value") > 50, "...").otherwise(""))
+        jagged = found.select(
+            F.element_at(F.split("file", "/"), -1).alias("file"),
+            (F.col("at") - F.col("first_at") + F.col("before") + 1).alias("row"),
+            "expected", "actual", shown.alias("content"),
+        )
+        return written(jagged, "jagged")
+
+
+@contextmanager
+def _same_splits(spark: SparkSession) -> Iterator[None]:
+    """Two scans of the same files cut them at the same places, though executors come and go."""
+    name = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(name, None):
+        yield
+        return
+    spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name)
 
 
 def _block_starts(blocks: DataFrame) -> DataFrame:

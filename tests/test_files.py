@@ -56,6 +56,11 @@ def test_format_and_newline(spark, tmp_path):
     assert tuple(tp.read_any(spark, text).first()) == (1, 2)
 
 
+def test_file_info(spark, tmp_path):
+    path = put(tmp_path, "five.txt", "12345")
+    assert [(r["name"], r["size"]) for r in tp.file_info(spark, path).collect()] == [("five.txt", 5)]
+
+
 def test_bad_rows_are_never_lost_unseen(spark, tmp_path):
     path = put(tmp_path, "bad.csv", "id,v\n1,a\n2\n3,c,x\n4,d\n")
     read = lambda mode: tp.read_delimited(spark, path, sep=",", bad_rows=mode)

@@ -98,6 +98,12 @@ def test_diff_by_key(spark, rows):
         [("added", 4, "d", None, None), ("removed", 3, "c", 3, None), ("changed", 2, "b", 5, "n")], key=repr)
 
 
+def test_diff_by_key_needs_unique_keys(spark):
+    a = spark.createDataFrame([(1, "a"), (1, "b")], "id int, s string")
+    with pytest.raises(Exception, match="more than once: 1"):
+        tp.row_diff(a, a, key="id").collect()
+
+
 DUPES = [(1, "a", "x", 1), (2, "a", "x", 2), (3, " A ", "x", 3), (4, None, "x", 4), (5, None, "x", 5), (6, "b", None, 6)]
 
 
