@@ -68,6 +68,19 @@ def formula_text(spark, sf):
     return tp.formula(table(spark, sf, "events"), "k", "regexp_extract(props, '[0-9]+', 0)").select("event_id", "k")
 
 
+@check("formula_math", """
+    SELECT c_custkey, floor(c_acctbal / 100) AS hundreds, abs(c_acctbal) AS size, CAST(c_acctbal BETWEEN 0 AND 1000 AS DOUBLE) AS small,
+      nullif(c_nationkey, 3)::DOUBLE AS nation FROM customer""")
+def formula_math(spark, sf):
+    rows = table(spark, sf, "customer")
+    for name, expression in {
+        "hundreds": "floor(c_acctbal / 100)", "size": "abs(c_acctbal)", "small": "c_acctbal BETWEEN 0 AND 1000",
+        "nation": "nullif(c_nationkey, 3)",
+    }.items():
+        rows = tp.formula(rows, name, expression)
+    return rows.select("c_custkey", "hundreds", "size", "small", "nation")
+
+
 @check("conditional", """
     SELECT o_orderkey, CASE WHEN nullif(o_totalprice, 100000) > 200000 THEN 'HIGH' ELSE 'LOW' END AS size_class FROM orders""")
 def conditional(spark, sf):

@@ -1,13 +1,18 @@
-"""Run queries against DuckDB: ``python -m checks.compare [folder] [name ...]``."""
+"""Run queries against DuckDB: ``python -m checks.compare [folder] [name ...]``.
+
+``PLAIN_SESSION=1`` uses a session without the library's settings.
+"""
 
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 import traceback
 
 import duckdb
+from pyspark.sql import SparkSession
 
 from checks import QUERIES, SQL
 from tableprep.session import build_session
@@ -55,7 +60,10 @@ def compare(spark, connection, folder, name):
 def main() -> int:
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     chosen = sys.argv[2:] or list(QUERIES)
-    spark = build_session(master="local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false")
+    if os.environ.get("PLAIN_SESSION"):
+        spark = SparkSession.builder.master("local[*]").getOrCreate()
+    else:
+        spark = build_session(master="local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false")
     spark.sparkContext.setLogLevel("OFF")
     connection, failed = oracle(folder), 0
     for name in chosen:

@@ -88,8 +88,8 @@ def date_bounds(spark, sf):
 
 
 @check("calendar", """
-    SELECT strftime(d, '%Y-%m-%d') AS "Date", year(d) AS "Year", month(d) AS "Month", day(d) AS "Day", dayname(d) AS "DayName",
-      quarter(d) AS "Quarter", week(d) AS "Week", dayofweek(d) IN (0, 6) AS "IsWeekend"
+    SELECT strftime(d, '%Y-%m-%d') AS "Date", year(d)::INTEGER AS "Year", month(d)::INTEGER AS "Month", day(d)::INTEGER AS "Day",
+      dayname(d) AS "DayName", quarter(d)::INTEGER AS "Quarter", week(d)::INTEGER AS "Week", dayofweek(d) IN (0, 6) AS "IsWeekend"
     FROM (SELECT unnest(generate_series(min(o_orderdate)::DATE, max(o_orderdate)::DATE, INTERVAL 1 DAY)) AS d FROM orders)""")
 def calendar(spark, sf):
     return tp.calendar(table(spark, sf, "orders"), "o_orderdate").withColumn("Date", F.col("Date").cast("string"))

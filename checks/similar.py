@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 import tableprep as tp
 from checks import check, table
 
-PAIRS = """SELECT a.v AS v1, b.v AS v2, levenshtein(a.v, b.v) AS distance FROM (SELECT DISTINCT {c} AS v FROM {t}) a
+PAIRS = """SELECT a.v AS v1, b.v AS v2, levenshtein(a.v, b.v)::INTEGER AS distance FROM (SELECT DISTINCT {c} AS v FROM {t}) a
     JOIN (SELECT DISTINCT {c} AS v FROM {t}) b ON a.v < b.v AND levenshtein(a.v, b.v) BETWEEN 1 AND {d}"""
 
 

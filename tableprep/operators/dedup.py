@@ -54,15 +54,20 @@ def dedup(
     order = [order_by] if isinstance(order_by, str) else list(order_by)
     # In a comparison of structs NULL is smallest; the flag puts it last in both directions.
     flag = (lambda c: df[c].isNull()) if keep == "first" else (lambda c: df[c].isNotNull())
-    rank = []
-    for i, c in enumerate(order):
-        rank += [flag(c).alias(f"n{i}"), df[c].alias(f"o{i}")]
-    ties = [df[c].alias(f"t{i}") for i, c in enumerate(columns) if c not in order and _orderable(df.schema[c].dataType)]
-    pick = F.min_by if keep == "first" else F.max_by
-    best = df.groupBy(*[match_key(df[c], mode).alias(f"__k{i}") for i, c in enumerate(keys)]).agg(
-        pick(F.struct(*[df[c] for c in columns]), F.struct(*rank, *ties)).alias("__best")
-    )
-    return best.select("__best.*")
+    rank = [part for i, c in enumerate(order) for part in (flag(c).alias(f"n{i}"), df[c].alias(f"o{i}"))]
+    rest = [c for c in columns if c not in order]
+    whole = [c for c in rest if _orderable(df.schema[c].dataType)]
+    others = [c for c in rest if c not in whole]
+    row = F.struct(*rank, *[df[c].alias(f"t{whole.index(c)}") for c in whole])
+    if others:
+        pick = F.min_by if keep == "first" else F.max_by
+        best = pick(F.struct(row.alias("row"), F.struct(*[df[c] for c in others]).alias("others")), row)
+    else:
+        # The row is its own rank, so each group carries it once.
+        best = F.struct((F.min if keep == "first" else F.max)(row).alias("row"))
+    groups = df.groupBy(*[match_key(df[c], mode).alias(f"__k{i}") for i, c in enumerate(keys)]).agg(best.alias("b"))
+    place = {c: f"b.row.o{i}" for i, c in enumerate(order)} | {c: f"b.row.t{i}" for i, c in enumerate(whole)}
+    return groups.select(*[F.col(place.get(c, f"b.others.`{c}`")).alias(c) for c in columns])
 
 
 def dedup_preview(df: DataFrame, keys: Sequence[str], mode: str = "exact") -> DataFrame:

@@ -139,6 +139,12 @@ def test_dedup_puts_nulls_last(spark):
     assert kept(tp.dedup(df, ["k"], keep="last", order_by="at")) == [3]
 
 
+def test_dedup_carries_unorderable_columns(spark):
+    df = spark.createDataFrame([(1, "a", {"x": 1}), (2, "a", {"x": 2}), (3, "b", None)], "id long, `k.1` string, m map<string,int>")
+    df = df.withColumnRenamed("k.1", "k")
+    assert sorted((r["id"], r["m"]) for r in tp.dedup(df, ["k"], keep="last", order_by="id").collect()) == [(2, {"x": 2}), (3, None)]
+
+
 def test_dedup_sorts_no_hot_group(dupes, plan_of):
     assert "Window" not in plan_of(tp.dedup(dupes, ["k1"], order_by="id"))
 
