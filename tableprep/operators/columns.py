@@ -152,8 +152,16 @@ def split_column(
 
 
 def group_count(pattern: str) -> int:
-    """Number of capture groups in a regular expression."""
-    return re.compile(re.sub(r"\(\?<(?![=!])", "(?P<", pattern)).groups
+    """Number of capture groups in a Java regular expression."""
+    bare = re.sub(r"\\Q.*?(\\E|$)|\\.", "", pattern, flags=re.S)
+    bare = re.sub(r"\[\^?\]?[^\]]*\]", "", bare)
+    return len(re.findall(r"\((?!\?)|\(\?<(?![=!])", bare))
+
+
+def _looks_only_inside(pattern: str) -> bool:
+    """True when a match depends on the matched text alone: no anchors but a first ``^``, no lookaround."""
+    plain = re.sub(r"\[\^?\]?[^\]]*\]", "", pattern.removeprefix("^"))
+    return not re.search(r"[\^$]|\\[bBAzZGkQE1-9]|\(\?[^:]|[*+?}]\+", plain)
 
 
 def regex_extract(df: DataFrame, col: str, pattern: str, names: Sequence[str] | None = None) -> DataFrame:
@@ -166,8 +174,11 @@ def regex_extract(df: DataFrame, col: str, pattern: str, names: Sequence[str] |
     names = names or [f"{col}_ext{i + 1}" for i in range(count)]
     if len(names) > count:
         raise ValueError(f"the pattern has {groups} groups, got {len(names)} names")
-    pattern = end_of_text(pattern)
     text = df[col].cast("string")
+    if len(names) > 1 and _looks_only_inside(pattern):
+        # Long texts are searched once; the groups come from the short match.
+        text = F.regexp_extract(text, pattern, 0)
+    pattern = end_of_text(pattern)
     return df.withColumns({nm: F.regexp_extract(text, pattern, first + i) for i, nm in enumerate(names)})
 
 

@@ -92,11 +92,32 @@ def rule_predicate(df: DataFrame, rule: dict) -> Column:
     return empty if operator == "is_empty" else ~empty
 
 
+# Characters (in lower case) that the text of a value can hold, by type.
+_WRITTEN_WITH = (
+    (T.BooleanType, "truefalse"),
+    (T.IntegralType, "-0123456789"),
+    (T.DecimalType, "-+.0123456789e"),
+    ((T.FloatType, T.DoubleType), "-.0123456789einfinitynan"),
+    (T.DateType, "-+0123456789"),
+    ((T.TimestampType, T.TimestampNTZType), "-+:. 0123456789"),
+)
+
+
+def _can_hold(dtype: T.DataType, text: str, literal: bool) -> bool:
+    """False when no value of this type contains ``text``."""
+    needed = set(text.lower()) - (set() if literal else set("%_"))
+    return all(needed <= set(letters) for kind, letters in _WRITTEN_WITH if isinstance(dtype, kind))
+
+
 def search(df: DataFrame, text: str, literal: bool = False) -> DataFrame:
-    """Rows in which any column, as text, contains ``text``, whatever the case."""
+    """Rows in which any column, as text, contains ``text``, whatever the case.
+
+    Columns of a type that cannot hold the text (numbers, for a word) are not turned into text.
+    """
     if not text.strip():
         return df
-    return df.where(reduce(or_, [contains_text(df[c], text, literal) for c in df.columns]))
+    columns = [f.name for f in df.schema if _can_hold(f.dataType, text, literal)]
+    return df.where(reduce(or_, [contains_text(df[c], text, literal) for c in columns], F.lit(False)))
 
 
 def active_rules(rules: Iterable[dict]) -> list[dict]:

@@ -25,7 +25,7 @@ from tableprep.operators.joins import map_values
 from tableprep.scratch import written
 
 # A bucket is cut further when both of its sides hold more values than this.
-BUCKET_LIMIT = 25
+BUCKET_LIMIT = 50
 
 
 def _array(rows: list[str]) -> Column:

@@ -56,6 +56,11 @@ def _long(df: DataFrame, fields: list[T.StructField], per_column) -> DataFrame:
     return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
+def schema_listing(df: DataFrame) -> DataFrame:
+    """Column names and types, in order."""
+    return df.sparkSession.createDataFrame([(f.name, f.dataType.simpleString()) for f in df.schema], "name string, type string")
+
+
 def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """``column`` and ``distinct_count`` (NULL is no value).
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 import tableprep as tp
 from tableprep.functions.names import copybook_names, mainframe_name, normalize_names, number_repeats
 from tableprep.functions.text import end_of_text
-from tableprep.operators.columns import CONVERSIONS, group_count
+from tableprep.operators.columns import CONVERSIONS, _looks_only_inside, group_count
 
 
 def test_header_names():
@@ -91,6 +91,20 @@ def test_regex_extract(spark, rows):
     with pytest.raises(ValueError):
         tp.regex_extract(df, "v", r"(\d+)", ["a", "b"])
     assert group_count(r"(?<n>a)(?:b)(?<!x)(c)") == 2
+    assert group_count(r"\((a)[(\])(]\Q(\E([^)]*)(?i)") == 2
+
+
+@pytest.mark.parametrize("pattern, inside", [
+    (r"(a+)(b*)", True), (r"^(\w+)@([^/$^]+)/", True), (r"(a)(b)$", False), (r"(a)\b(b)", False), (r"(a)(?=b)(b)", False),
+    (r"(a)\1(b)", False), (r"(?:a|ab)(c|bcd)(d*)", True), (r"(a++)(b)", False), (r"x^(a)(b)", False), (r"(?<n>a)(b)", False),
+    (r"(a*?)(a|b|$)", False), (r"(.*?)([0-9])", True), (r"(\w)(?i)(b)", False),
+])
+def test_groups_of_a_match_need_no_second_search(spark, pattern, inside):
+    assert _looks_only_inside(pattern) is inside
+    texts = ["abcd", "xxabcd", "aabb ab", "me@host/x", "aaab", "", None, "ab", "abcbcd", "zz9", "a1b2", "xaab"]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    groups = [F.regexp_extract("v", end_of_text(pattern), i + 1).alias(f"g{i}") for i in range(group_count(pattern))]
+    assert tp.regex_extract(df, "v", pattern).drop("v").collect() == df.select(*groups).collect()
 
 
 def test_dollar_is_the_very_end(spark):

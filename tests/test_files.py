@@ -44,6 +44,13 @@ def test_encodings(spark, tmp_path):
         assert tuple(tp.read_delimited(spark, path).first()) == ("Café", "10 €")
 
 
+def test_byte_order_mark(spark, tmp_path):
+    path = put(tmp_path, "bom.csv", "\ufeffid;name\n1;é\n")
+    df = tp.read_delimited(spark, path)
+    assert df.columns == ["id", "name"] and tuple(df.first()) == (1, "é")
+    assert tp.detect_format(spark, put(tmp_path, "bom.json", '\ufeff{"a": 1}')) == "JSON"
+
+
 def test_format_and_newline(spark, tmp_path):
     array = put(tmp_path, "array.json", '\n [{"a": 1, "n": {"x": 2}},\n {"a": null, "n": {"x": 3}}]')
     lines = put(tmp_path, "lines.json", '{"a": 1}\n{"a": 2}\n')

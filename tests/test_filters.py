@@ -60,6 +60,23 @@ def test_values_are_typed_once(people):
             only(people, column, "equals", value)
 
 
+@pytest.mark.parametrize("text", [
+    "1", "0.", "-", "e", "a", "tr", "nan", "2024-0", "%", "1_", "0:", "inf", "+", "fals", "na", " ", "5.5", "e1", "t%e"])
+@pytest.mark.parametrize("literal", [False, True])
+def test_search_leaves_out_only_columns_that_cannot_match(spark, people, text, literal):
+    extra = people.withColumns({
+        "big": F.col("score") * 1e30, "odd": F.when(F.col("id") > 2, F.lit("nan").cast("double")).otherwise(F.lit("inf").cast("double")),
+        "dec": F.lit("0.0000000001").cast("decimal(20,15)"), "at": F.lit("2024-01-01 10:20:30.5").cast("timestamp"),
+    })
+    from functools import reduce
+    from operator import or_
+
+    from tableprep.functions.text import contains_text
+
+    every = extra.where(reduce(or_, [contains_text(extra[c], text, literal) for c in extra.columns])) if text.strip() else extra
+    assert ids(tp.search(extra, text, literal)) == ids(every)
+
+
 def test_rules_are_checked(people):
     for bad in ({"column": "nope", "operator": "equals", "value": "1"}, {"column": "id", "operator": "like", "value": "1"},
                 {"column": "id", "operator": "equals", "value": ""}):

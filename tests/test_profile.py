@@ -31,6 +31,10 @@ def test_distinct_counts_of_all_types(spark, mixed):
     assert count(tp.distinct_counts(nulls)) == {"a": 0, "b": 1}
 
 
+def test_schema_listing(mixed):
+    assert [tuple(r) for r in tp.schema_listing(mixed).collect()][:2] == [("i", "int"), ("d", "double")]
+
+
 def test_column_stats(spark, mixed):
     stats = {r["column"]: r for r in tp.column_stats(mixed).collect()}
     assert (stats["i"]["rows"], stats["i"]["null_count"], stats["i"]["null_percent"]) == (4, 1, 25.0)

@@ -83,6 +83,15 @@ def test_diff_properties(spark, rows, first, second):
     assert rows(a.exceptAll(gone).unionAll(back)) == rows(b)
 
 
+@SLOW
+@given(st.lists(st.tuples(st.sampled_from(["a", " A", "b", None, ""]), cells), min_size=1, max_size=15), st.sampled_from(["exact", "smart"]))
+def test_preview_counts_what_dedup_removes(spark, data, mode):
+    df = spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(data)], "id int, k string, v int")
+    preview = tp.dedup_preview(df, ["k", "v"], mode).first()
+    left = tp.dedup(df, ["k", "v"], mode=mode, order_by="id").count()
+    assert (preview["rows"], preview["kept"], preview["removed"]) == (len(data), left, len(data) - left)
+
+
 def test_diff_checks_the_schema(spark, rows):
     a = spark.createDataFrame([(1, 2)], "x int, y int")
     b = spark.createDataFrame([(1, 2)], "x int, z int")
