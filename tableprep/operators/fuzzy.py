@@ -25,7 +25,7 @@ from tableprep.operators.joins import map_values
 from tableprep.scratch import written
 
 # A bucket is cut further when both of its sides hold more values than this.
-BUCKET_LIMIT = 50
+BUCKET_LIMIT = 100
 
 
 def _array(rows: list[str]) -> Column:
@@ -39,8 +39,8 @@ def _piece_keys(state: DataFrame, moves: list[tuple[int, int, int]], d: int) ->
     key holds the piece; the new rest is the text around it.
     """
     table = _array([f"struct({delta} as delta, {i} as i, {shift} as shift)" for delta, i, shift in moves])
-    rows = state.select("value", "rest", "ctx", F.length("rest").alias("m"), F.explode(table).alias("p"))
-    rows = rows.select("value", "rest", "ctx", "m", "p.*").withColumn("n", F.col("m") - F.col("delta"))
+    rows = state.select("value", "letters", "rest", "ctx", F.length("rest").alias("m"), F.explode(table).alias("p"))
+    rows = rows.select("value", "letters", "rest", "ctx", "m", "p.*").withColumn("n", F.col("m") - F.col("delta"))
     base, first_longer = F.expr(f"n div {d + 1}").cast("int"), F.expr(f"{d + 1} - n % {d + 1}")
     rows = rows.where(F.col("n") > d).select(
         "*",
@@ -50,6 +50,7 @@ def _piece_keys(state: DataFrame, moves: list[tuple[int, int, int]], d: int) ->
     rows = rows.where((F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("m")))
     return rows.selectExpr(
         "value",
+        "letters",
         "xxhash64(ctx, i, n, substring(rest, at + 1, size)) as key",
         "concat(substring(rest, 1, at), substring(rest, at + size + 1, m)) as rest",
         "true as can_split",
@@ -70,9 +71,11 @@ def _kept_keys(state: DataFrame, uses: dict[int, list[tuple[int, int]]]) -> Data
         ]
         by_length.append("array(" + ", ".join(rows) + ")")
     table = F.get(_array(by_length), F.length("rest"))
-    rows = state.where(F.length("rest") <= max(uses)).select("value", "rest", "ctx", F.explode(table).alias("k"))
+    short = state.where(F.length("rest") <= max(uses))
+    rows = short.select("value", "letters", "rest", "ctx", F.explode(table).alias("k"))
     return rows.selectExpr(
         "value",
+        "letters",
         "xxhash64(ctx, -1, k.n, k.kept, array_join(transform(k.at, x -> substring(rest, x, 1)), '')) as key",
         "rest",
         "false as can_split",
@@ -104,7 +107,7 @@ def _probe_keys(state: DataFrame, d: int, longer_only: bool) -> DataFrame:
 def _candidates(left: DataFrame, right: DataFrame, d: int, same: bool, bucket_limit: int) -> DataFrame:
     """Pairs (v1, v2, distance) with distance at most d; ``left`` is cut, ``right`` is searched for.
 
-    Both have columns ``value``, ``rest`` and ``ctx``.
+    Both have columns ``value``, ``letters``, ``rest`` and ``ctx``.
     """
     found = []
     while True:
@@ -113,8 +116,12 @@ def _candidates(left: DataFrame, right: DataFrame, d: int, same: bool, bucket_li
         a, b = index, probe
         if large is not None:
             a, b = (side.join(large, "key", "left_anti") for side in (index, probe))
-        pairs = a.select("key", F.col("value").alias("v1")).join(b.select("key", F.col("value").alias("v2")), "key")
-        near = pairs.withColumn("distance", F.levenshtein("v1", "v2", d)).where("distance >= 0")
+        pairs = a.select("key", F.col("value").alias("v1"), F.col("letters").alias("l1")).join(
+            b.select("key", F.col("value").alias("v2"), F.col("letters").alias("l2")), "key"
+        )
+        # An edit adds or removes at most two letters: most candidates end here, at little cost.
+        likely = pairs.where(F.bit_count(F.col("l1").bitwiseXOR(F.col("l2"))) <= 2 * d)
+        near = likely.withColumn("distance", F.levenshtein("v1", "v2", d)).where("distance >= 0")
         if same:
             near = near.where("v1 <> v2").select(
                 F.least("v1", "v2").alias("v1"), F.greatest("v1", "v2").alias("v2"), "distance"
@@ -123,7 +130,7 @@ def _candidates(left: DataFrame, right: DataFrame, d: int, same: bool, bucket_li
         if large is None:
             return reduce(DataFrame.unionAll, found).distinct()
         left, right = (
-            written(side.join(large, "key", "left_semi").select("value", "rest", F.col("key").alias("ctx")).distinct())
+            written(side.join(large, "key", "left_semi").select("value", "letters", "rest", F.col("key").alias("ctx")).distinct())
             for side in (index, probe)
         )
 
@@ -143,9 +150,19 @@ def _large_buckets(
     return None if large.isEmpty() else large
 
 
+def _letters(text: Column) -> Column:
+    """The set of letters as 64 bits, each letter by its code modulo 64."""
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    bit = lambda char: F.when(char == "", none).otherwise(F.call_function("shiftleft", one, F.ascii(char) % 64))
+    return F.aggregate(F.split(text, ""), none, lambda seen, char: seen.bitwiseOR(bit(char)))
+
+
 def _start(df: DataFrame, col: str) -> DataFrame:
     values = df.select(F.col(col).cast("string").alias("value")).where("value is not null").distinct()
-    return written(values.select("value", F.col("value").alias("rest"), F.lit(0).cast("bigint").alias("ctx")), "values")
+    return written(
+        values.select("value", _letters(F.col("value")).alias("letters"), F.col("value").alias("rest"), F.lit(0).cast("bigint").alias("ctx")),
+        "values",
+    )
 
 
 def near_pairs(df: DataFrame, col: str, max_dist: int = 3, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:

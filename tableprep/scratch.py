@@ -26,8 +26,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing uses yet."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path that nothing uses yet, in the application's part of the shared folder.
+
+    That part can be deleted once the application has ended.
+    """
+    application = spark.sparkContext.applicationId
+    return f"{shared_folder(spark)}/tableprep-{application}/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str = "step") -> DataFrame:
