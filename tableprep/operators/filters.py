@@ -137,17 +137,17 @@ def sort_rows(df: DataFrame, cols: str | Sequence[str], desc: bool | Sequence[bo
 
     Ties are ordered by a hash of the row. So rows that share one value can go to many tasks.
     """
+    hashable = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    spread = [F.xxhash64(*hashable)] if hashable else []
+    return df.orderBy(*_sort_keys(cols, desc), *spread)
+
+
+def _sort_keys(cols: str | Sequence[str], desc: bool | Sequence[bool]) -> list[Column]:
     cols = [cols] if isinstance(cols, str) else list(cols)
     flags = [desc] * len(cols) if isinstance(desc, bool) else list(desc)
     if len(flags) != len(cols):
         raise ValueError("one direction per column")
-    keys = [F.desc_nulls_last(c) if down else F.asc_nulls_last(c) for c, down in zip(cols, flags)]
-    return df.orderBy(*keys, *_tie_break(df))
-
-
-def _tie_break(df: DataFrame) -> list[Column]:
-    hashable = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    return [F.xxhash64(*hashable)] if hashable else []
+    return [F.desc_nulls_last(c) if down else F.asc_nulls_last(c) for c, down in zip(cols, flags)]
 
 
 def next_sort(current: tuple[str, bool] | None, column: str) -> tuple[str, bool] | None:
@@ -165,11 +165,9 @@ def page(
     sort: str | Sequence[str] | None = None,
     desc: bool | Sequence[bool] = False,
 ) -> DataFrame:
-    """First ``n`` rows after search, rules and sort."""
+    """First ``n`` rows after search, rules and sort (a top-k, without a full sort)."""
     found = apply_rules(search(df, text), rules)
-    if sort:
-        found = sort_rows(found, sort, desc)
-    return found.limit(n)
+    return (found.orderBy(*_sort_keys(sort, desc)) if sort else found).limit(n)
 
 
 # Rule lists. Each function returns a new list.

@@ -129,10 +129,8 @@ def _candidates(left: DataFrame, right: DataFrame, d: int, same: bool, bucket_li
         found.append(near.select("v1", "v2", "distance"))
         if large is None:
             return reduce(DataFrame.unionAll, found).distinct()
-        left, right = (
-            written(side.join(large, "key", "left_semi").select("value", "letters", "rest", F.col("key").alias("ctx")).distinct())
-            for side in (index, probe)
-        )
+        inside = [side.join(large, "key", "left_semi") for side in (index, probe)]
+        left, right = (written(s.select("value", "letters", "rest", F.col("key").alias("ctx")).distinct()) for s in inside)
 
 
 def _large_buckets(
@@ -159,10 +157,9 @@ def _letters(text: Column) -> Column:
 
 def _start(df: DataFrame, col: str) -> DataFrame:
     values = df.select(F.col(col).cast("string").alias("value")).where("value is not null").distinct()
-    return written(
-        values.select("value", _letters(F.col("value")).alias("letters"), F.col("value").alias("rest"), F.lit(0).cast("bigint").alias("ctx")),
-        "values",
-    )
+    value = F.col("value")
+    state = values.select(value, _letters(value).alias("letters"), value.alias("rest"), F.lit(0).cast("bigint").alias("ctx"))
+    return written(state, "values")
 
 
 def near_pairs(df: DataFrame, col: str, max_dist: int = 3, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:

@@ -159,7 +159,8 @@ def default_measures(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
         parts.append(df.agg(F.array(*rows).alias("rows")).select(F.inline("rows")))
     if others:
         counts = distinct_counts(df, others)
-        parts.append(counts.select("column", F.lit("distinct").alias("measure"), F.col("distinct_count").cast("double").alias("value")))
+        value = F.col("distinct_count").cast("double").alias("value")
+        parts.append(counts.select("column", F.lit("distinct").alias("measure"), value))
     return parts[0] if len(parts) == 1 else parts[0].unionAll(parts[1])
 
 
@@ -270,7 +271,9 @@ def mainframe_report(df: DataFrame, max_name: int = 30) -> DataFrame:
 def mainframe_errors(df: DataFrame, key: str) -> DataFrame:
     """Each value outside windows-1252: key, column, first such character, value."""
     texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType) and f.name != key]
-    long = df.unpivot(key, texts, "column", "value") if texts else df.select(key, F.lit("").alias("column"), F.lit(None).cast("string").alias("value"))
+    if not texts:
+        raise ValueError("no text columns besides the key")
+    long = df.unpivot(key, texts, "column", "value")
     bad = long.where(outside_cp1252(F.col("value")))
     return bad.select(key, "column", F.regexp_substr("value", F.lit(NOT_CP1252)).alias("char"), "value")
 

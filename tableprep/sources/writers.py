@@ -92,10 +92,7 @@ def delimited_preview(df: DataFrame, n: int = 5, sep: str = ",", header: bool =
     """The first ``n`` rows as lines of text (column ``line``), quoted only where needed."""
     needs_quotes = lambda text: F.contains(text, F.lit(sep)) | F.contains(text, F.lit('"'))
     double = lambda text: F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
-    cells = []
-    for column in _as_text(df.limit(n), False):
-        cells.append(column)
-    text = df.limit(n).select(*cells)
+    text = df.limit(n).select(*_as_text(df, safe=False))
     shown = [F.when(needs_quotes(F.col(c)), double(F.col(c))).otherwise(F.col(c)) for c in text.columns]
     lines = text.select(F.concat_ws(sep, *shown).alias("line"))
     if not header:
