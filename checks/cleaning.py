@@ -294,12 +294,12 @@ def unit_volume(spark, sf):
 
 @check("phone_fr", """
     SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'n/a' WHEN c_mktsegment = 'MACHINERY' THEN '06 12'
-      WHEN c_nationkey < 3 THEN '+1202555' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0')
+      WHEN c_nationkey < 3 THEN '+1202555' || right('000' || c_custkey, 4)
       ELSE '+336' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') END AS phone,
       c_mktsegment NOT IN ('BUILDING', 'MACHINERY') AS phone_is_valid FROM customer""")
 def phone_fr(spark, sf):
     phone = F.expr("""CASE WHEN c_mktsegment = 'BUILDING' THEN 'n/a' WHEN c_mktsegment = 'MACHINERY' THEN '06 12'
-        WHEN c_nationkey < 3 THEN concat('+1 (202) 555-', lpad(cast(c_custkey % 10000 AS string), 4, '0'))
+        WHEN c_nationkey < 3 THEN concat('+1 (202) 555-', right(concat('000', c_custkey), 4))
         WHEN c_nationkey < 9 THEN concat('0033 6.', lpad(cast(c_custkey AS string), 8, '0'))
         ELSE concat('06 ', lpad(cast(c_custkey AS string), 8, '0')) END""")
     return tp.standardize_phone(table(spark, sf, "customer").select("c_custkey", phone.alias("phone")), "phone", "FR", flag=True)

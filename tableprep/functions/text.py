@@ -59,15 +59,19 @@ def end_of_text(pattern: str) -> str:
 
 
 def repair_damage(column: Column, aggressive: bool = False) -> Column:
-    """Undo double-encoded text; longer damaged forms are replaced before shorter ones."""
-    pairs = {**DAMAGED_LATIN1, **DAMAGED_CP1252}
-    if aggressive:
-        pairs = {**pairs, **DAMAGED_ALONE}
+    """Undo double-encoded text; longer damaged forms are replaced before shorter ones.
+
+    Forms are grouped by their first letter, and a group is skipped in values without that letter. The
+    longest forms start with ``â``; no repair brings up a letter of a later group.
+    """
+    pairs = {**DAMAGED_LATIN1, **DAMAGED_CP1252, **(DAMAGED_ALONE if aggressive else {})}
     repaired = column
-    for bad in sorted(pairs, key=len, reverse=True):
-        repaired = F.replace(repaired, F.lit(bad), F.lit(pairs[bad]))
-    # Most values hold no damage: one scan for the lead letters is cheaper than all replacements.
-    return F.when(column.rlike("[ÃÂâ]"), repaired).otherwise(column)
+    for first in "âÂÃ":
+        undone = repaired
+        for bad in sorted((form for form in pairs if form[0] == first), key=len, reverse=True):
+            undone = F.replace(undone, F.lit(bad), F.lit(pairs[bad]))
+        repaired = F.when(F.contains(column, F.lit(first)), undone).otherwise(repaired)
+    return repaired
 
 
 def parse_amount(column: Column, decimal: str = ".") -> Column:
