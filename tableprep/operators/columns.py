@@ -146,7 +146,7 @@ def split_column(
     parts = F.split(df[col].cast("string"), quoted(sep), -1)
     if names is None:
         if n is None:
-            n = df.agg(F.max(F.size(parts))).first()[0] or 1
+            n = max(df.agg(F.max(F.size(parts))).first()[0] or 1, 1)
         names = [f"{col}_part{i + 1}" for i in range(n)]
     return df.withColumns({name: F.get(parts, F.lit(i)) for i, name in enumerate(names)})
 

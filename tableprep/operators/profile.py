@@ -80,8 +80,10 @@ def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None, approx: bo
     # A group of NULLs only keeps its column in the result, with 0.
     filled = F.count_if(F.expr("whole is not null or number is not null or text is not null"))
     counts = seen.groupBy("i").agg(filled.alias("n"))
-    names = F.array(*[F.lit(f.name) for f in fields])
-    return counts.select(F.get(names, F.col("i")).alias("column"), F.col("n").alias("distinct_count"))
+    # An empty table has no groups; its columns still get their line.
+    names = F.posexplode(F.array(*[F.lit(f.name) for f in fields])).alias("i", "column")
+    every = df.sparkSession.range(1).select(names).join(counts, "i", "left")
+    return every.select("column", F.coalesce("n", F.lit(0)).alias("distinct_count"))
 
 
 def _typed_value(field: T.StructField) -> tuple[Column, Column, Column]:

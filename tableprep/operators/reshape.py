@@ -36,6 +36,8 @@ def pivot(
         if len(found) > max_columns:
             raise ValueError(f"column {col!r} has more than {max_columns} values")
         values = sorted(r[0] for r in found)
+    if not values:
+        return df.select(row).distinct()
     result = df.groupBy(row).pivot(col, list(values)).agg(_aggregate(agg, value))
     if agg.upper() == "COUNT":
         result = result.fillna(0, subset=[c for c in result.columns if c != row])

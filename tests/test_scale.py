@@ -49,6 +49,13 @@ def test_row_operators_do_not_shuffle(lineitem, plan_of, make):
     assert "Exchange" not in plan and "Python" not in plan and "*(1)" in plan
 
 
+@pytest.mark.parametrize("bucket_limit", [1000, 1])
+def test_near_pairs_join_on_keys(spark, plan_of, bucket_limit):
+    parts = spark.read.parquet(f"{SF}/part.parquet")
+    plan = plan_of(tp.near_pairs(parts, "p_name", 2, bucket_limit))
+    assert "key#" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
 def test_one_shuffle_compares_two_versions(lineitem, plan_of):
     a = lineitem.select("l_orderkey", "l_tax")
     assert plan_of(tp.row_diff(a.where("l_tax < 0.05"), a)).count("Exchange") == 1

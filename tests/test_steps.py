@@ -73,6 +73,26 @@ def test_stream(spark, sales, rows, tmp_path):
         clean_stream(stream, tp.Recipe().add("merge_duplicates"))
 
 
+class _Context:
+    """What shared_folder asks a session for, on a cluster."""
+
+    def __init__(self, conf, folder=None, master="spark://host:7077"):
+        self.sparkContext, self.master, self._conf, self._folder = self, master, conf, folder
+
+    def getConf(self):
+        return self._conf
+
+    def getCheckpointDir(self):
+        return self._folder
+
+
+def test_a_cluster_must_name_its_folder():
+    assert shared_folder(_Context({"spark.checkpoint.dir": "hdfs://nn/shared/"})) == "hdfs://nn/shared"
+    assert shared_folder(_Context({}, "hdfs://nn/set-by-user")) == "hdfs://nn/set-by-user"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(_Context({}))
+
+
 def test_shared_folder(spark):
     assert shared_folder(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
     assert new_path(spark, "x") != new_path(spark, "x")

@@ -43,6 +43,7 @@ def test_pivot_rules(spark, rows):
     assert tp.pivot(df, "r", "k", "v", "COUNT").columns == ["r", "x", "y"]
     assert rows(tp.pivot(df, "r", "k", "v", "COUNT")) == [("r", 1, 0), ("s", 0, 0), ("t", 0, 0)]
     assert rows(tp.pivot(df, "r", "k", "v", "SUM")) == [("r", 1.0, None), ("s", None, None), ("t", None, None)]
+    assert rows(tp.pivot(df.where("k is null"), "r", "k", "v")) == [("s",)]
     with pytest.raises(ValueError, match="more than 1"):
         tp.pivot(df, "r", "k", "v", max_columns=1)
     with pytest.raises(ValueError):
