@@ -19,12 +19,13 @@ HEAD_LINES = 10
 MAX_BROADCAST_BLOCKS = 1_000_000
 
 
+def _decoded(line: Column, encoding: str) -> Column:
+    return line if encoding.upper() in ("UTF-8", "UTF8") else F.decode(line.cast("binary"), encoding)
+
+
 def _lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    lines = spark.read.text(path)
-    if encoding.upper() not in ("UTF-8", "UTF8"):
-        allow_java_charsets(spark)
-        lines = lines.withColumn("value", F.decode(F.col("value").cast("binary"), encoding))
-    return lines
+    allow_java_charsets(spark)
+    return spark.read.text(path).select(_decoded(F.col("value"), encoding).alias("value"))
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
@@ -60,6 +61,15 @@ def _fields(line: Column, delimiter: str) -> Column:
     return F.size(F.split(line, quoted(delimiter), -1))
 
 
+def _fields_outside_quotes(line: Column, delimiter: str) -> Column:
+    """Fields of a line: everything but the delimiters outside quotes goes, and what is left is measured."""
+    if len(delimiter) != 1 or delimiter == '"':
+        raise ValueError("the delimiter must be one character and no quote")
+    escaped = delimiter if delimiter.isalnum() else "\\" + delimiter
+    left = F.regexp_replace(line, f'"[^"]*"|[^{escaped}"]+|"', "")
+    return F.octet_length(left) + 1 if delimiter.isascii() else F.length(left) + 1
+
+
 def detect_delimiter(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str:
     """The best delimiter; a comma when none gives more than one field."""
     usable = delimiter_scores(spark, path, encoding).where("avg_columns > 1 and score > 0")
@@ -91,18 +101,20 @@ def jagged_rows(spark: SparkSession, path: str, sep: str | None = None, encoding
     """Lines whose number of fields differs from the first line of their file.
 
     Columns ``file``, ``row`` (from 1, blank lines not counted), ``expected``, ``actual`` and
-    ``content`` (50 characters). All lines are read, and the bad ones written. Delimiters inside quotes do not count; a quoted
-    line break does, as a new line.
+    ``content`` (50 characters). All lines are read, and the bad ones written. Delimiters inside quotes
+    do not count; a quoted line break does, as a new line.
     """
+    allow_java_charsets(spark)
     sep = sep or detect_delimiter(spark, path, encoding)
-    stripped = F.regexp_replace("value", '"[^"]*"', '""')
+    # Quotes, delimiters and blanks are ASCII, so the lines are counted as they are; only the text shown
+    # is decoded.
     lines = (
-        _lines(spark, path, encoding)
+        spark.read.text(path)
         .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-        .where(F.trim(F.regexp_replace("value", "[\\t\\r]", " ")) != "")
+        .where(F.btrim("value", F.lit(" \t\r")) != "")
         .select("file", "block", "value", F.monotonically_increasing_id().alias("at"))
     )
-    width = _fields(stripped, sep)
+    width = _fields_outside_quotes(F.col("value"), sep)
     # Line numbers without a global sort: ids rise within a block, and the few block sizes add up.
     blocks = lines.groupBy("file", "block").agg(
         F.count("*").alias("n"), F.min("at").alias("first_at"),
@@ -113,7 +125,8 @@ def jagged_rows(spark: SparkSession, path: str, sep: str | None = None, encoding
         if starts.count() <= MAX_BROADCAST_BLOCKS:
             starts = F.broadcast(starts)
         found = lines.withColumn("actual", width).join(starts, ["file", "block"]).where("actual <> expected")
-        shown = F.concat(F.substring("value", 1, 50), F.when(F.length("value") > 50, "...").otherwise(""))
+        text = _decoded(F.rtrim("value", F.lit("\r")), encoding)
+        shown = F.concat(F.substring(text, 1, 50), F.when(F.length(text) > 50, "...").otherwise(""))
         jagged = found.select(
             F.element_at(F.split("file", "/"), -1).alias("file"),
             (F.col("at") - F.col("first_at") + F.col("before") + 1).alias("row"),
