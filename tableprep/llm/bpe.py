@@ -13,6 +13,7 @@ Ids that the vocabulary lacks raise on decoding.
 from __future__ import annotations
 
 import base64
+import uuid
 from array import array
 
 import numpy as np
@@ -154,7 +155,7 @@ class _Pieces(dict):
         return ids
 
 
-_LEARNT: dict[tuple, _Pieces] = {}
+_LEARNT: dict[str, _Pieces] = {}
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text") -> DataFrame:
@@ -164,7 +165,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
     size is that of the vocabulary.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
-    key = (shared.id, pattern)
+    key = uuid.uuid4().hex
 
     def start():
         if key not in _LEARNT:  # a worker process keeps what it has learnt for its next task
