@@ -26,6 +26,24 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def held_out(id_col: str = "doc_id"):
+    """Rows whose labels no model may learn from."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5 == 0
+
+
+@query("op5_toxicity")
+def toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's toxicity, learnt from the labels of four fifths."""
+    from tableprep.llm.toxicity import fit, score
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = fit(docs, table(spark, folder, "labels"), usable=~held_out())
+    return score(docs, model).select(
+        "doc_id", held_out().alias("held_out"), F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 @query("op7_bpe")
 def bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every document encoded and decoded, as digests."""
