@@ -57,3 +57,13 @@ def bpe(spark: SparkSession, folder: str) -> DataFrame:
     return decode(encoded, ranks).select(
         "doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
+
+
+@query("op10_decontaminate")
+def decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """All pairs of a document and a benchmark item that it holds, up to a tenth of its characters edited."""
+    from tableprep.llm.decontaminate import find_items
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = find_items(docs, table(spark, folder, "benchmark")).select("doc_id", F.explode("leaks").alias("leak"))
+    return found.select("doc_id", "leak.*")

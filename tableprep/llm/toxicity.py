@@ -83,6 +83,7 @@ def nnpu(buckets: np.ndarray, offsets: np.ndarray, positive: np.ndarray, prior:
 def fit(
     docs: DataFrame, labels: DataFrame, usable: Column | None = None, label_col: str = "toxic", id_col: str = "doc_id",
     text_col: str = "text", max_positive: int = 4000, max_unlabelled: int = 8000, n_words: int = 2048,
+    least_z: float = 3.0,
 ) -> Model:
     """Fit on at most about ``max_positive`` confirmed and ``max_unlabelled`` other texts, chosen by hash.
 
@@ -121,7 +122,7 @@ def fit(
     n_p, n_u = max(1, sizes[0] or 0), max(1, sizes[1] - (sizes[0] or 0))
     rate_p, rate_u = (F.col("p") + 0.5) / (n_p + 1), (F.col("u") + 0.5) / (n_u + 1)
     spread = F.sqrt(rate_p * (1 - rate_p) / n_p + rate_u * (1 - rate_u) / n_u)
-    best = seen.where("p + u >= 3").withColumn("z", F.abs(rate_p - rate_u) / spread).orderBy(F.desc("z"), "word")
+    best = seen.withColumn("z", F.abs(rate_p - rate_u) / spread).where(F.col("z") >= least_z).orderBy(F.desc("z"), "word")
     vocabulary = sorted(row.word for row in best.limit(n_words).collect())
     if not vocabulary:
         return Model(np.zeros(0), 0.0, prior)
