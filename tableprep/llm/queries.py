@@ -67,3 +67,23 @@ def decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = find_items(docs, table(spark, folder, "benchmark")).select("doc_id", F.explode("leaks").alias("leak"))
     return found.select("doc_id", "leak.*")
+
+
+@query("op4_pii")
+def pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document: counts and a digest of the base spans, and all spans."""
+    from tableprep.llm.pii import KINDS, find_spans, fit
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = find_spans(docs, fit(docs))
+    base = F.filter("spans", lambda s: s["base"])
+    listed = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+    )
+
+    def count(kind: str):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *map(count, KINDS), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans")
+    )
