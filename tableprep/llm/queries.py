@@ -87,3 +87,12 @@ def pii(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", *map(count, KINDS), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans")
     )
+
+
+@query("op3_jaccard")
+def jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's component under links of at least nine tenths of three-word shingles."""
+    from tableprep.llm.jaccard import link_components
+
+    docs = table(spark, folder, "documents")
+    return link_components(docs, least=90, shingle=3).select("doc_id", "n_shingles", "component_id", "class_id")
