@@ -96,3 +96,16 @@ def jaccard(spark: SparkSession, folder: str) -> DataFrame:
 
     docs = table(spark, folder, "documents")
     return link_components(docs, least=90, shingle=3).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+@query("op9_suffixes")
+def suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the stretches of fifty bytes that a smaller doc_id has too, as digests."""
+    from tableprep.llm.suffixes import find_repeats, remove_spans
+
+    found = remove_spans(find_repeats(table(spark, folder, "documents"), length=50))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + (s["to"] - s["from"]))
+    return found.select(
+        "doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), removed.alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
