@@ -109,3 +109,24 @@ def suffixes(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), removed.alias("n_removed"),
         F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op6_neighbours")
+def neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest vectors found for each vec_id divisible by 100, among all others."""
+    from tableprep.llm.neighbours import nearest
+
+    vectors = table(spark, folder, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+@query("op2_urls")
+def urls(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's url judged by the rules, else by the model of the example urls."""
+    from tableprep.llm.urls import example_urls, fit, judge
+
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    return judge(pages, URL_RULES, fit(example_urls(spark))).select("page_id", "host", "path", "rule", "verdict", "block_score")
