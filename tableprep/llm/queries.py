@@ -130,3 +130,11 @@ def urls(spark: SparkSession, folder: str) -> DataFrame:
 
     pages = table(spark, folder, "pages").select("page_id", "url")
     return judge(pages, URL_RULES, fit(example_urls(spark))).select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
+@query("op8_licenses")
+def licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Every license wording that a document holds at least four fifths of."""
+    from tableprep.llm.licenses import scan, templates
+
+    return scan(table(spark, folder, "documents"), templates(spark))
