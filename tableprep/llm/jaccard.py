@@ -174,6 +174,11 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFram
     return joined.mapInArrow(run, "a bigint, b bigint, linked boolean")
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """Ids, marked to be sent to all tasks if they are few enough."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """The hashed sets of some documents: node (a document's id) and hashes, read from the texts again."""
 
@@ -184,9 +189,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
 
         return work
 
-    ids = nodes.select(F.col("node").alias("id"))
-    if nodes.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    ids = _small(nodes.select(F.col("node").alias("id")))
     return rows_of(docs.join(ids, "id", "left_semi"), "text", ["id"], "node bigint, hashes binary", start)
 
 
@@ -309,6 +312,18 @@ def _components(links: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each component: that of the smallest id, the first by its other columns if the id is repeated."""
-    kept = link_components(docs, id_col=id_col, text_col=text_col, **options).where(F.col(id_col) == F.col("component_id"))
-    return docs.join(kept.select(id_col).distinct(), id_col, "left_semi").dropDuplicates([id_col])
+    """``docs`` with one row of each component: that of its smallest id, the first by its columns if the id is repeated.
+
+    Rows without id stay. Only the ids of rows that go are sent around.
+    """
+    placed = written(link_components(docs, id_col=id_col, text_col=text_col, **options), "placed")
+    going = placed.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    several = written(placed.groupBy(id_col).count().where("count > 1").select(id_col), "several")
+    kept = docs.join(_small(going), id_col, "left_anti").select(*docs.columns)
+    if several.isEmpty():
+        return kept
+    first = Window.partitionBy(id_col).orderBy(*(F.col(f"`{n}`") for n in docs.columns))
+    repeated = kept.join(_small(several), id_col, "left_semi").withColumn("__row", F.row_number().over(first))
+    return kept.join(_small(several), id_col, "left_anti").select(*docs.columns).unionAll(
+        repeated.where("__row = 1").select(*docs.columns)
+    )

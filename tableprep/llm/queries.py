@@ -31,6 +31,18 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5 == 0
 
 
+@query("op1_quality")
+def quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's quality from its text and its source and language as host and path."""
+    from tableprep.llm.quality import fit, score
+
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = fit(docs, labels, usable=~held_out())
+    scored = score(docs, labels, model, F.col("source"), F.col("lang"), usable=~held_out())
+    return scored.select("doc_id", "host", "path", "evidence", "site", F.col("quality").alias("score"),
+                         (F.col("quality") >= 0.5).cast("int").alias("predicted"), held_out().alias("held_out"))
+
+
 @query("op5_toxicity")
 def toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's toxicity, learnt from the labels of four fifths."""
