@@ -5,8 +5,8 @@ differ in at most ``d`` elements, where d follows from their sizes, so of d + 1
 (pigeonhole). That content is the root of a tree: texts meet only under a common root, which Spark
 deals out by a shuffle. Below a root, a text is a point whose coordinates are the counts of its shingles in
 :data:`DIMENSIONS` groups. The overlap of two sets is at most the sum of the smaller coordinates, and that of two
-boxes of points at most the sum of the smaller upper corners; an R-tree prunes pairs of boxes and points with it. Pairs that
-survive are verified on the sets.
+boxes of points at most the sum of the smaller upper corners; an R-tree prunes pairs of boxes and points with it, first on sums of
+coordinates, then on all. Pairs that survive are verified on the sets.
 
 So that groups of many alike texts take few steps, equal sets are joined beforehand, each text is first verified
 against the first one under its root, and trees are only built where a root still has texts of several components.
@@ -33,8 +33,8 @@ from tableprep.llm.words import distinct, mix, shingles, word_hashes
 from tableprep.operators.fuzzy import connected
 from tableprep.scratch import written
 
-#: Coordinates of a point.
-DIMENSIONS = 32
+#: Coordinates of a point, and those of its coarse form, each the sum of some, that the tree is built on.
+DIMENSIONS, COARSE = 256, 32
 #: Points in a leaf, and in a block of points that one tree is built of.
 LEAF, BLOCK = 32, 2048
 #: So many ids (8 bytes each) are sent to all tasks; more are joined by a shuffle of the texts.
@@ -216,6 +216,7 @@ def _tree_pairs(members: DataFrame, threshold: Threshold) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         node, component, sizes, block = (table[c].to_numpy() for c in ("node", "component", "n", "block"))
         at = np.frombuffer(b"".join(table["point"].to_pylist()), np.int32).reshape(-1, DIMENSIONS)
+        coarse = at.reshape(len(at), COARSE, -1).sum(axis=2)
         is_major = table["is_major"].to_numpy()
         kind, low, high = (table[c][0].as_py() for c in ("kind", "low", "high"))
         same = kind == 1 and low == high
@@ -223,12 +224,15 @@ def _tree_pairs(members: DataFrame, threshold: Threshold) -> DataFrame:
         second = np.flatnonzero(~is_major if kind == 0 else block == high)
         found = []
         if len(first) and len(second):
-            one = RTree(at[first], sizes[first])
-            two = one if same else RTree(at[second], sizes[second])
+            one = RTree(coarse[first], sizes[first])
+            two = one if same else RTree(coarse[second], sizes[second])
             for a, b in one.pairs(two, threshold):
                 a, b = first[a], second[b]
                 apart = component[a] != component[b]
-                found.append(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], axis=1)[apart])
+                a, b = a[apart], b[apart]
+                fits = np.minimum(at[a], at[b]).sum(axis=1) >= threshold.overlap(sizes[a] + sizes[b])
+                a, b = a[fits], b[fits]
+                found.append(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], axis=1))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
