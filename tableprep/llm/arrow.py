@@ -58,7 +58,8 @@ def add_columns(df: DataFrame, text_col: str, added: str, start: Callable[[], Wo
     schema = StructType.fromDDL(added)
     new = {name.lower() for name in schema.names}
     kept = [f for f in df.schema.fields if f.name.lower() not in new]
-    taken = df.select(F.col(text_col).cast("string").alias("__text"), *(F.col(f"`{f.name}`") for f in kept))
+    # Plain names on the way in: a name with a dot cannot be passed on.
+    taken = df.select(F.col(text_col).cast("string").alias("text"), *(F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(kept)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()

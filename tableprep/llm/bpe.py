@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tableprep.llm.arrow import add_columns, packed
@@ -205,4 +206,5 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "token_id
                     found.append(b"".join(map(tokens.__getitem__, ids.tolist())))
                 yield pa.RecordBatch.from_arrays([*part.columns, packed(found)], [*names, "decoded"])
 
-    return encoded.select(*(f"`{n}`" for n in names)).mapInArrow(run, StructType([*schema, StructField("decoded", BinaryType())]))
+    taken = encoded.select(*(F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)))
+    return taken.mapInArrow(run, StructType([*schema, StructField("decoded", BinaryType())]))

@@ -423,7 +423,7 @@ def find_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     def start():
         def work(part: pa.RecordBatch):
             spans = []
-            for row in part.column(part.schema.get_field_index("found")).to_pylist():
+            for row in part.column(3).to_pylist():  # after the text, id and text
                 runs: list[list[int]] = []
                 for low, high in sorted((s["from"], s["to"]) for s in row or ()):
                     if runs and low <= runs[-1][1]:
@@ -445,11 +445,13 @@ def find_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
 
 def remove_spans(found: DataFrame, text_col: str = "text") -> DataFrame:
     """``found`` with ``kept``, the bytes of the text outside its ``spans``."""
+    names = [name for name in found.columns if name.lower() != "kept"]
+    where = 1 + names.index("spans")
 
     def start():
         def work(part: pa.RecordBatch):
             kept = []
-            for text, spans in zip(part.column(0).to_pylist(), part.column(part.schema.get_field_index("spans")).to_pylist()):
+            for text, spans in zip(part.column(0).to_pylist(), part.column(where).to_pylist()):
                 data, pieces, at = (text or "").encode(), [], 0
                 for span in spans or ():
                     pieces.append(data[at : span["from"]])
