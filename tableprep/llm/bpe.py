@@ -25,8 +25,8 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tableprep.llm.arrow import add_columns, packed
 
-#: Encoded pieces and tested pairs that a task remembers; beyond that it forgets all and goes on.
-REMEMBERED = 400_000
+#: Encoded pieces (of late, and as many before) and tested pairs that a worker remembers; beyond that it forgets and goes on.
+REMEMBERED, REMEMBERED_PAIRS = 300_000, 800_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -58,7 +58,7 @@ class PrefixEncoder:
 
     def stays(self, before: int, token: int) -> bool:
         """Whether the merges of both tokens' bytes give exactly these two (or one, if nothing comes before)."""
-        if len(self.pairs) > REMEMBERED:
+        if len(self.pairs) > REMEMBERED_PAIRS:
             self.pairs.clear()
         second = self.tokens[token]
         first = [self.tokens[before]] if before >= 0 else []
@@ -140,23 +140,44 @@ class EditableText:
         return self.encoder.path(self.last)
 
 
-class _Pieces(dict):
-    """The packed ids of pieces met so far."""
+class Pieces:
+    """Packed ids of pieces, by their text; remembers those of the last texts."""
 
     def __init__(self, encoder: PrefixEncoder):
-        super().__init__()
         self.encoder = encoder
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) > REMEMBERED:
-            self.clear()
-        ids = array("I", self.encoder.encode(piece.encode("utf-8"))).tobytes()
-        if len(piece) <= 64:  # long pieces hardly come again
-            self[piece] = ids
-        return ids
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def encode_all(self, texts: list[list[str]]) -> list[bytes]:
+        """The packed ids of texts that are given as their pieces."""
+        if len(self.known) > REMEMBERED:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        new = set().union(*texts).difference(known)
+        for piece in [p for p in new if p in before]:
+            known[piece] = before[piece]
+            new.discard(piece)
+        # In order, a piece begins like the one before it, and what is stored for that beginning holds for both.
+        last, data = [-1], b""
+        for piece, own in sorted((p.encode("utf-8"), p) for p in new):
+            if piece in self.encoder.ranks:
+                ids = [self.encoder.ranks[piece]]
+            else:
+                same, most = 0, min(len(piece), len(data))
+                while same < most and piece[same] == data[same]:
+                    same += 1
+                del last[same + 1 :]
+                self.encoder.extend(piece, last)
+                data, ids = piece, self.encoder.path(last)
+            known[own] = array("I", ids).tobytes()
+        packed_ids = [b"".join(map(known.__getitem__, pieces)) for pieces in texts]
+        for piece in new:
+            if len(piece) > 64:  # long pieces hardly come again
+                del known[piece]
+        return packed_ids
 
 
-_LEARNT: dict[str, _Pieces] = {}
+_LEARNT: dict[str, Pieces] = {}
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text") -> DataFrame:
@@ -171,12 +192,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
     def start():
         if key not in _LEARNT:  # a worker process keeps what it has learnt for its next task
             _LEARNT.clear()
-            _LEARNT[key] = _Pieces(PrefixEncoder(shared.value))
+            _LEARNT[key] = Pieces(PrefixEncoder(shared.value))
         pieces, split = _LEARNT[key], regex.compile(pattern).findall
 
         def work(part: pa.RecordBatch):
-            texts = part.column(0).to_pylist()
-            ids = [b"".join(map(pieces.__getitem__, split(text))) if text else b"" for text in texts]
+            ids = pieces.encode_all([split(text) if text else [] for text in part.column(0).to_pylist()])
             return {"token_ids": packed(ids), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64())}
 
         return work
