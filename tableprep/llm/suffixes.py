@@ -35,7 +35,9 @@ from tableprep.llm.words import ByteHashes, mix
 #: Bytes that an anchor is chosen by.
 GRAM = 20
 #: Anchors in one part of the first exchange, suffixes in one range of the second, and in one sorted run.
-PART, RANGE, RUN = 60_000, 60_000, 400_000
+PART, RANGE, RUN = 60_000, 60_000, 120_000
+#: Grams that a task sorts at once in the first exchange.
+GRAMS = 1_000_000
 #: Texts that the splitters are drawn from, about, and places taken in each.
 SAMPLED_TEXTS, SAMPLED_PLACES = 2_000, 8
 
@@ -122,7 +124,7 @@ def _shared_grams(texts: DataFrame, length: int, parts: int) -> DataFrame:
             names.append(_name(hashes, parts))
             ids.append(piece.column(1).to_numpy())
             n += len(hashes)
-            if n > 2_000_000 or len(ids) > 4096:
+            if n > GRAMS:
                 yield from flush()
                 n = 0
         if ids:
