@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tableprep.llm.arrow import packed, rows_of, text_bytes
+from tableprep.llm.meeting import parts_for, shared_names
 from tableprep.llm.words import distinct, mix, shingles, word_hashes
 from tableprep.operators.fuzzy import connected
 from tableprep.scratch import written
@@ -253,25 +254,31 @@ def link_components(
     def start():
         def work(part: pa.RecordBatch):
             hashes, offsets = sets_of(part.column(0), shingle)
-            keys, ends = roots(hashes, offsets, threshold)
             name1, name2 = _set_names(hashes, offsets)
             vectors = points(hashes, offsets)
             return pa.RecordBatch.from_arrays(
                 [part.column(1), pa.array(np.diff(offsets)), pa.array(name1), pa.array(name2),
-                 packed(vectors, np.arange(part.num_rows + 1) * 4 * DIMENSIONS),
-                 pa.ListArray.from_arrays(ends.astype(np.int32), keys.view(np.int64))],
-                ["id", "n", "name1", "name2", "point", "keys"],
+                 packed(vectors, np.arange(part.num_rows + 1) * 4 * DIMENSIONS)],
+                ["id", "n", "name1", "name2", "point"],
             )
 
         return work
 
-    made = "id bigint, n bigint, name1 bigint, name2 bigint, point binary, keys array<bigint>"
+    made = "id bigint, n bigint, name1 bigint, name2 bigint, point binary"
     texts = written(rows_of(docs, "text", ["id"], made, start), "sets")
     classes = written(texts.where("n > 0").groupBy("n", "name1", "name2").agg(F.min("id").alias("node")), "classes")
     nodes = texts.where("n > 0").join(classes.select("node").withColumnRenamed("node", "id"), "id", "left_semi")
 
-    # Texts below a common root, each with the first one there.
-    rooted = nodes.select(F.col("id").alias("node"), F.explode("keys").alias("key"))
+    def make(part: pa.RecordBatch):
+        hashes, offsets = sets_of(part.column(0), shingle)
+        keys, ends = roots(hashes, offsets, threshold)
+        return keys, np.repeat(np.arange(part.num_rows), np.diff(ends)), _set_names(hashes, offsets)[0]
+
+    # Texts below a common root, each with the first one there. Equal sets have one name, and so are one owner.
+    total = texts.agg(F.sum("n")).first()[0] or 0
+    met = shared_names(docs.select("text"), make, parts_for(total * 5 * (100 - least) / (100 + least)))
+    named = classes.select(F.col("name1").alias("owner"), "node")
+    rooted = written(met, "roots").join(named, "owner").select(F.col("name").alias("key"), "node")
     root = Window.partitionBy("key")
     shared = rooted.withColumn("first", F.min("node").over(root)).withColumn("last", F.max("node").over(root))
     shared = written(shared.where("first < last").select("key", "node", "first"), "roots")

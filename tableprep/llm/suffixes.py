@@ -30,14 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableprep.llm.arrow import add_columns, packed, slices, text_bytes
+from tableprep.llm.meeting import MAX_PARTS, parts_for, shared_names, short_names
 from tableprep.llm.words import ByteHashes, mix
 
 #: Bytes that an anchor is chosen by.
 GRAM = 20
-#: Anchors in one part of the first exchange, suffixes in one range of the second, and in one sorted run.
-PART, RANGE, RUN = 60_000, 60_000, 120_000
-#: Grams that a task sorts at once in the first exchange.
-GRAMS = 1_000_000
+#: Suffixes in one range of the second exchange, and in one sorted run.
+RANGE, RUN = 60_000, 120_000
 #: Texts that the splitters are drawn from, about, and places taken in each.
 SAMPLED_TEXTS, SAMPLED_PLACES = 2_000, 8
 
@@ -69,96 +68,15 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     return at, hashes[at], owner[at]
 
 
-def _name(hashes: np.ndarray, parts: int) -> np.ndarray:
-    """The part of a gram and 32 bits of its hash, as one number."""
-    part = ((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-    return (part << np.uint64(32)) | (hashes & np.uint64(0xFFFFFFFF))
-
-
-def _fields(*columns: np.ndarray) -> list[pa.Array]:
-    return [pa.array([c.tobytes()], pa.binary()) for c in columns]
-
-
 def _shared_grams(texts: DataFrame, length: int, parts: int) -> DataFrame:
-    """For each id the names of its grams that may occur in other texts too: ``id``, ``names``.
+    """For each id the names of its grams that may occur in other texts too: ``id``, ``names``."""
 
-    A run holds, for each part, the sorted low halves of the names as differences, and the numbers of
-    their texts. Of a gram that many texts of a run have, two are sent; the others are known to share it.
-    """
+    def make(piece: pa.RecordBatch):
+        _, hashes, owner = anchors(*text_bytes(piece.column(0)), length)
+        return hashes, owner, piece.column(1).to_numpy()
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, names, owners, n = [], [], [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            all_ids = np.concatenate(ids)
-            name, owner = np.concatenate(names), np.concatenate(owners)
-            order = np.lexsort((owner, name))
-            name, owner = name[order], owner[order]
-            first = np.ones(len(name), bool)
-            first[1:] = (name[1:] != name[:-1]) | (owner[1:] != owner[:-1])
-            name, owner = name[first], owner[first]
-            third = np.zeros(len(name), bool)
-            third[2:] = name[2:] == name[:-2]
-            known = pa.RecordBatch.from_arrays(
-                [pa.array([int(all_ids[0]) % parts], pa.int32()), *_fields(name[third], all_ids[owner[third]], np.empty(0, np.int64))],
-                ["part", "low", "owner", "ids"],
-            ) if third.any() else None
-            if known is not None:
-                yield known
-            name, owner = name[~third], owner[~third]
-            part = (name >> np.uint64(32)).astype(np.int64)
-            cuts = np.searchsorted(part, np.arange(parts + 1))
-            for k in np.flatnonzero(np.diff(cuts)):
-                low = (name[cuts[k] : cuts[k + 1]] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                used, number = np.unique(owner[cuts[k] : cuts[k + 1]], return_inverse=True)
-                number = number.astype(np.uint16 if len(used) < 1 << 16 else np.uint32)
-                low = np.diff(low, prepend=np.uint32(0))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k], pa.int32()), *_fields(low, number, all_ids[used])], ["part", "low", "owner", "ids"]
-                )
-            ids.clear(), names.clear(), owners.clear()
-
-        for piece in slices(batches):
-            _, hashes, owner = anchors(*text_bytes(piece.column(0)), length)
-            owners.append(owner + sum(map(len, ids)))
-            names.append(_name(hashes, parts))
-            ids.append(piece.column(1).to_numpy())
-            n += len(hashes)
-            if n > GRAMS:
-                yield from flush()
-                n = 0
-        if ids:
-            yield from flush()
-
-    def meet(table: pa.Table) -> pa.Table:
-        part = np.uint64(table["part"][0].as_py()) << np.uint64(32)
-        names, ids, done_names, done_ids = [], [], [], []
-        for low, owner, known in zip(table["low"], table["owner"], table["ids"]):
-            low, owner, known = (v.as_buffer() for v in (low, owner, known))
-            if not len(known):  # known to be shared
-                done_names.append(np.frombuffer(low, np.uint64))
-                done_ids.append(np.frombuffer(owner, np.int64))
-                continue
-            low = np.cumsum(np.frombuffer(low, np.uint32), dtype=np.uint32)
-            kind = np.uint16 if len(owner) == 2 * len(low) else np.uint32
-            names.append(low.astype(np.uint64))
-            ids.append(np.frombuffer(known, np.int64)[np.frombuffer(owner, kind)])
-        if names:
-            name, owner = np.concatenate(names), np.concatenate(ids)
-            order = np.argsort(name, kind="stable")
-            name, owner = name[order], owner[order]
-            same = name[1:] == name[:-1]
-            several = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-            done_names.append(name[several] | part)
-            done_ids.append(owner[several])
-        return pa.table({
-            "id": pa.array(np.concatenate(done_ids), pa.int64()),
-            "name": pa.array(np.concatenate(done_names).view(np.int64), pa.int64()),
-        })
-
-    sent = texts.select("text", "id").mapInArrow(runs, "part int, low binary, owner binary, ids binary")
-    found = sent.groupBy("part").applyInArrow(meet, "id bigint, name bigint")
-    return found.groupBy("id").agg(F.collect_list("name").alias("names"))
+    found = shared_names(texts.select("text", "id"), make, parts)
+    return found.groupBy(F.col("owner").alias("id")).agg(F.collect_list("name").alias("names"))
 
 
 class _Run:
@@ -349,7 +267,7 @@ def _stretches(texts: DataFrame, names: DataFrame, length: int, parts: int, spli
             lengths = np.diff(wanted.offsets.to_numpy())
             of = np.repeat(np.arange(len(lengths)), lengths).astype(np.uint64)
             turn = lambda name, text: mix(name + mix(text.astype(np.uint64) + np.uint64(1)))
-            chosen = np.isin(turn(_name(hashes, parts), owner), turn(wanted.flatten().to_numpy().view(np.uint64), of))
+            chosen = np.isin(turn(short_names(hashes, parts), owner), turn(wanted.flatten().to_numpy().view(np.uint64), of))
             at, owner = at[chosen], owner[chosen]
             keys.append(_keys(data, offsets, at, owner, length))
             ids.append(piece.column(1).to_numpy()[owner])
@@ -416,8 +334,8 @@ def find_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     n = docs.count()
     drawn, each = _splitters(texts, n, length)
     total = n * each
-    parts = int(min(max(total / PART, 1), 32_768))
-    ranges = int(min(max(total / 4 / RANGE, 1), len(drawn) + 1, 32_768))
+    parts = parts_for(total)
+    ranges = int(min(max(total / 4 / RANGE, 1), len(drawn) + 1, MAX_PARTS))
     cuts = sorted({drawn[k * len(drawn) // ranges] for k in range(1, ranges)}) if drawn else []
     found = _stretches(texts, _shared_grams(texts, length, parts), length, parts, cuts)
     by_id = found.groupBy("id").agg(F.collect_list(F.struct("from", "to")).alias("found"))
