@@ -4,12 +4,12 @@ The shingle hashes of a text are dealt into groups by their value. Two sets whos
 differ in at most ``d`` elements, where d follows from their sizes, so of d + 1 groups at least one has the same content in both
 (pigeonhole). That content is the root of a tree: texts meet only under a common root, which Spark
 deals out by a shuffle. Below a root, a text is a point whose coordinates are the counts of its shingles in
-:data:`DIMENSIONS` groups. The overlap of two sets is at most the sum of the smaller coordinates, and that of two
+more groups for larger sets. The overlap of two sets is at most the sum of the smaller coordinates, and that of two
 boxes of points at most the sum of the smaller upper corners; an R-tree prunes pairs of boxes and points with it, first on sums of
 coordinates, then on all. Pairs that survive are verified on the sets.
 
-So that groups of many alike texts take few steps, equal sets are joined beforehand, each text is first verified
-against the first one under its root, and trees are only built where a root still has texts of several components.
+So that groups of many alike texts take few steps, equal sets are joined beforehand, each text is first compared (by
+points, then by sets) with the first one under its root, and trees are only built where a root still has texts of several components.
 Trees are made of blocks of bounded size.
 
 Cases: null, empty and blank texts have an empty set and link with nothing, not with each other; a text with fewer words than
@@ -34,10 +34,12 @@ from tableprep.llm.words import distinct, mix, shingles, word_hashes
 from tableprep.operators.fuzzy import connected
 from tableprep.scratch import written
 
-#: Coordinates of a point, and those of its coarse form, each the sum of some, that the tree is built on.
-DIMENSIONS, COARSE = 256, 32
-#: Points in a leaf, and in a block of points that one tree is built of.
-LEAF, BLOCK = 32, 2048
+#: Coordinates of a point at least (the tree is built on so many, each the sum of some) and at most.
+LEAST_GROUPS, MOST_GROUPS = 32, 1 << 14
+#: What a count too large to be stored is taken for.
+MANY = 1 << 40
+#: Points in a leaf, in a block of points that one tree is built of, and in the trees of one task's call, about.
+LEAF, BLOCK, BUNDLE = 32, 2048, 4096
 #: So many ids (8 bytes each) are sent to all tasks; more are joined by a shuffle of the texts.
 BROADCAST_IDS = 1_000_000
 
@@ -103,11 +105,30 @@ def roots(hashes: np.ndarray, offsets: np.ndarray, threshold: Threshold) -> tupl
     return np.concatenate(keys)[order], np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(sizes)))])
 
 
-def points(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Counts of each set's shingles in the groups that other bits of the hash name."""
-    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    cell = owner * DIMENSIONS + (hashes % np.uint64(DIMENSIONS)).astype(np.int64)
-    return np.bincount(cell, minlength=(len(offsets) - 1) * DIMENSIONS).reshape(-1, DIMENSIONS).astype(np.int32)
+def points(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of each set's shingles in the groups that the low bits of the hash name, and where each set's begin.
+
+    A set of n has a power of two of groups, about n / 6; a count of 255 stands for any that is larger.
+    """
+    sizes = np.diff(offsets)
+    groups = np.minimum(1 << np.ceil(np.log2(np.maximum(sizes / 8, 1))).astype(np.int64), MOST_GROUPS)
+    groups = np.maximum(groups, LEAST_GROUPS)
+    ends = np.concatenate([[0], np.cumsum(groups)])
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    cell = ends[owner] + (hashes & (groups[owner] - 1).astype(np.uint64)).astype(np.int64)
+    return np.minimum(np.bincount(cell, minlength=ends[-1]), 255).astype(np.uint8), ends
+
+
+def folded(point: np.ndarray, groups: int) -> np.ndarray:
+    """Counts in fewer groups: those of the lower bits."""
+    counts = np.where(point == 255, MANY, point.astype(np.int64))
+    return counts.reshape(-1, groups).sum(axis=0)
+
+
+def may_link(x: bytes, y: bytes, n_x: int, n_y: int, threshold: Threshold) -> bool:
+    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    groups = min(len(x), len(y))
+    return bool(np.minimum(folded(x, groups), folded(y, groups)).sum() >= threshold.overlap(n_x + n_y))
 
 
 def sets_of(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -194,7 +215,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     return rows_of(docs.join(ids, "id", "left_semi"), "text", ["id"], "node bigint, hashes binary", start)
 
 
-def _tree_pairs(members: DataFrame, threshold: Threshold) -> DataFrame:
+def _tree_pairs(members: DataFrame, n_members: int, threshold: Threshold) -> DataFrame:
     """Pairs (a, b) of nodes of different components below a common root that the count vectors allow.
 
     ``members``: key, node, component, major, n, point. Texts of the component ``major`` need no pairs
@@ -214,30 +235,65 @@ def _tree_pairs(members: DataFrame, threshold: Threshold) -> DataFrame:
     dealt = cut.select("key", "node", "component", "n", "point", "is_major", "block", F.explode(cells).alias("cell"))
     dealt = dealt.select("key", "cell.*", "node", "component", "n", "point", "is_major", "block")
 
+    cell = F.xxhash64("key", "kind", "low", "high")
+    bundles = max(1, n_members // BUNDLE)
+    bundled = dealt.withColumn("cell", cell).withColumn("bundle", F.pmod("cell", F.lit(bundles)))
+
     def run(table: pa.Table) -> pa.Table:
-        node, component, sizes, block = (table[c].to_numpy() for c in ("node", "component", "n", "block"))
-        at = np.frombuffer(b"".join(table["point"].to_pylist()), np.int32).reshape(-1, DIMENSIONS)
-        coarse = at.reshape(len(at), COARSE, -1).sum(axis=2)
-        is_major = table["is_major"].to_numpy()
-        kind, low, high = (table[c][0].as_py() for c in ("kind", "low", "high"))
-        same = kind == 1 and low == high
-        first = np.flatnonzero(is_major if kind == 0 else block == low)
-        second = np.flatnonzero(~is_major if kind == 0 else block == high)
-        found = []
-        if len(first) and len(second):
-            one = RTree(coarse[first], sizes[first])
-            two = one if same else RTree(coarse[second], sizes[second])
-            for a, b in one.pairs(two, threshold):
-                a, b = first[a], second[b]
-                apart = component[a] != component[b]
-                a, b = a[apart], b[apart]
-                fits = np.minimum(at[a], at[b]).sum(axis=1) >= threshold.overlap(sizes[a] + sizes[b])
-                a, b = a[fits], b[fits]
-                found.append(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], axis=1))
+        table = table.sort_by([("key", "ascending"), ("cell", "ascending")])
+        key, cell = table["key"].to_numpy(), table["cell"].to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])]))
+        found = [p for a, b in zip(starts, [*starts[1:], len(key)]) if (p := _cell_pairs(table.slice(a, b - a), threshold)) is not None]
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
-    return dealt.groupBy("key", "kind", "low", "high").applyInArrow(run, "a bigint, b bigint").distinct()
+    return bundled.groupBy("bundle").applyInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _cell_pairs(table: pa.Table, threshold: Threshold) -> np.ndarray | None:
+    """Pairs of nodes of one pair of blocks that trees on their points leave."""
+    node, component, sizes, block = (table[c].to_numpy() for c in ("node", "component", "n", "block"))
+    is_major = table["is_major"].to_numpy()
+    kind, low, high = (table[c][0].as_py() for c in ("kind", "low", "high"))
+    same = kind == 1 and low == high
+    first = np.flatnonzero(is_major if kind == 0 else block == low)
+    second = np.flatnonzero(~is_major if kind == 0 else block == high)
+    if not len(first) or not len(second) or (component == component[0]).all():
+        return None
+    stored = [np.frombuffer(v.as_buffer(), np.uint8) for v in table["point"]]
+    groups = min(map(len, stored))
+    at = np.stack([folded(p, groups) for p in stored])
+    coarse = at.reshape(len(at), -1, LEAST_GROUPS).sum(axis=1)
+    one = RTree(coarse[first], sizes[first])
+    two = one if same else RTree(coarse[second], sizes[second])
+    found = []
+    for a, b in one.pairs(two, threshold):
+        a, b = first[a], second[b]
+        apart = component[a] != component[b]
+        a, b = a[apart], b[apart]
+        fits = np.minimum(at[a], at[b]).sum(axis=1) >= threshold.overlap(sizes[a] + sizes[b])
+        a, b = a[fits], b[fits]
+        found.append(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], axis=1))
+    return np.concatenate(found) if found else None
+
+
+def _bounded(pairs: DataFrame, vectors: DataFrame, threshold: Threshold) -> DataFrame:
+    """Pairs (a, b) that their count vectors allow."""
+    left = vectors.select(F.col("node").alias("a"), F.col("n").alias("n_x"), F.col("point").alias("x"))
+    right = vectors.select(F.col("node").alias("b"), F.col("n").alias("n_y"), F.col("point").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column(4), batch.column(5), batch.column(2).to_numpy(), batch.column(3).to_numpy())
+            fits = [may_link(x.as_buffer(), y.as_buffer(), n_x, n_y, threshold) for x, y, n_x, n_y in rows]
+            yield batch.select([0, 1]).filter(pa.array(fits, pa.bool_()))
+
+    # Sizes first: most pairs that only share a common passage end here, without their points.
+    sizes = pairs.join(left.drop("x"), "a").join(right.drop("y"), "b")
+    least = F.ceil(F.lit(threshold.least) * (F.col("n_x") + F.col("n_y")) / (100 + threshold.least))
+    near = sizes.where(F.least("n_x", "n_y") >= least - 1).select("a", "b")
+    joined = near.join(left, "a").join(right, "b").select("a", "b", "n_x", "n_y", "x", "y")
+    return joined.mapInArrow(run, "a bigint, b bigint")
 
 
 def link_components(
@@ -255,10 +311,10 @@ def link_components(
         def work(part: pa.RecordBatch):
             hashes, offsets = sets_of(part.column(0), shingle)
             name1, name2 = _set_names(hashes, offsets)
-            vectors = points(hashes, offsets)
+            counts, ends = points(hashes, offsets)
             return pa.RecordBatch.from_arrays(
                 [part.column(1), pa.array(np.diff(offsets)), pa.array(name1), pa.array(name2),
-                 packed(vectors, np.arange(part.num_rows + 1) * 4 * DIMENSIONS)],
+                 packed(counts, ends)],
                 ["id", "n", "name1", "name2", "point"],
             )
 
@@ -283,7 +339,9 @@ def link_components(
     shared = rooted.withColumn("first", F.min("node").over(root)).withColumn("last", F.max("node").over(root))
     shared = written(shared.where("first < last").select("key", "node", "first"), "roots")
     tried = written(shared.where("first < node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "tried")
-    checked = written(_verify(tried, _sets(docs, _ends(tried), shingle), threshold), "checked")
+    vectors = written(nodes.select(F.col("id").alias("node"), "n", "point"), "points")
+    allowed = written(_bounded(tried, vectors, threshold), "allowed")
+    checked = written(_verify(allowed, _sets(docs, _ends(allowed), shingle), threshold), "checked")
     links = checked.where("linked").select(F.col("a").alias("v1"), F.col("b").alias("v2"))
     groups = _components(links)
 
@@ -296,9 +354,8 @@ def link_components(
     ).where("c1 < c2").groupBy("n", "x1", "x2").agg(F.min(F.struct("key", "first")).alias("root")).select("root.*")
     majors = held.join(groups.select(F.col("node").alias("first"), F.col("component").alias("major")), "first", "left")
     members = rest.drop("first").join(majors.select("key", "major"), "key")
-    vectors = nodes.select(F.col("id").alias("node"), "n", "point")
     more = written(
-        _tree_pairs(members.join(vectors, "node"), threshold).join(tried, ["a", "b"], "left_anti"), "more"
+        _tree_pairs(members.join(vectors, "node"), rest.count(), threshold).join(tried, ["a", "b"], "left_anti"), "more"
     )
     if not more.isEmpty():
         more = written(_verify(more, _sets(docs, _ends(more), shingle), threshold), "checked")
