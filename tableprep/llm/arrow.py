@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of text that are worked on at once; a longer single text makes a slice of its own.
 SLICE_BYTES = 1 << 20
+#: Bytes of a batch between Spark and Python; rows that are longer make a batch of their own.
+BATCH_BYTES = 8 << 20
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -45,6 +50,55 @@ def packed(values: list[bytes] | np.ndarray, offsets: np.ndarray | None = None)
     )
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Smaller batches than Spark's own, unless the session asks for still smaller ones.
+
+    A batch is held up to four times over: on its way in and out, on both sides.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not now.isdigit() or int(now) <= 0 or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+_released = [0.0]
+
+
+def release() -> None:
+    """Give freed memory back: a worker lives on beside those of later stages. At most once a second."""
+    if time.monotonic() - _released[0] > 1:
+        _released[0] = time.monotonic()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # only in some C libraries
+            pass
+
+
+def tidy(run: Callable) -> Callable:
+    """``run``, a function on batches or on one table, that gives freed memory back when it is done."""
+
+    @functools.wraps(run)
+    def wrapped(given):
+        try:
+            out = run(given)
+            if isinstance(out, Iterator):
+                return _until_done(out)
+            return out
+        finally:
+            release()
+
+    return wrapped
+
+
+def _until_done(batches: Iterator) -> Iterator:
+    try:
+        yield from batches
+    finally:
+        _released[0] = 0.0
+        release()
+
+
 Work = Callable[[pa.RecordBatch], "dict[str, pa.Array | np.ndarray] | pa.RecordBatch"]
 
 
@@ -70,7 +124,8 @@ def add_columns(df: DataFrame, text_col: str, added: str, start: Callable[[], Wo
                 [*(f.name for f in kept), *schema.names],
             )
 
-    return taken.mapInArrow(run, StructType([*kept, *schema.fields]))
+    bounded_batches(df.sparkSession)
+    return taken.mapInArrow(tidy(run), StructType([*kept, *schema.fields]))
 
 
 def rows_of(df: DataFrame, text_col: str, others: list, made: str, start: Callable[[], Work]) -> DataFrame:
@@ -83,4 +138,5 @@ def rows_of(df: DataFrame, text_col: str, others: list, made: str, start: Callab
             if out is not None and out.num_rows:
                 yield out
 
-    return df.select(F.col(text_col).cast("string").alias("__text"), *others).mapInArrow(run, made)
+    bounded_batches(df.sparkSession)
+    return df.select(F.col(text_col).cast("string").alias("__text"), *others).mapInArrow(tidy(run), made)

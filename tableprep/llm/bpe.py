@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tableprep.llm.arrow import add_columns, packed
+from tableprep.llm.arrow import add_columns, bounded_batches, packed, tidy
 
 #: Encoded pieces (of late, and as many before) and tested pairs that a worker remembers; beyond that it forgets and goes on.
-REMEMBERED, REMEMBERED_PAIRS = 300_000, 800_000
+REMEMBERED, REMEMBERED_PAIRS = 150_000, 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -227,4 +227,5 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "token_id
                 yield pa.RecordBatch.from_arrays([*part.columns, packed(found)], [*names, "decoded"])
 
     taken = encoded.select(*(F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)))
-    return taken.mapInArrow(run, StructType([*schema, StructField("decoded", BinaryType())]))
+    bounded_batches(encoded.sparkSession)
+    return taken.mapInArrow(tidy(run), StructType([*schema, StructField("decoded", BinaryType())]))

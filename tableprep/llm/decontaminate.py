@@ -183,6 +183,8 @@ def find_items(
         shared, key = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def start(shared=shared, key=key, name=f"leaks_{number}"):
+            if len(_BUILT) > 8:  # those of earlier searches
+                _BUILT.clear()
             if key not in _BUILT:  # once in a worker process
                 _BUILT[key] = Items(shared.value, error_rate, min_chars)
             known = _BUILT[key]

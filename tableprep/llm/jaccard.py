@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tableprep.llm.arrow import packed, rows_of, text_bytes
+from tableprep.llm.arrow import bounded_batches, packed, release, rows_of, text_bytes, tidy
 from tableprep.llm.meeting import parts_for, shared_names
 from tableprep.llm.words import distinct, mix, shingles, word_hashes
 from tableprep.operators.fuzzy import connected
@@ -193,7 +193,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked)], ["a", "b", "linked"])
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return joined.mapInArrow(run, "a bigint, b bigint, linked boolean")
+    bounded_batches(joined.sparkSession)
+    return joined.mapInArrow(tidy(run), "a bigint, b bigint, linked boolean")
 
 
 def _small(ids: DataFrame) -> DataFrame:
@@ -245,6 +246,7 @@ def _tree_pairs(members: DataFrame, n_members: int, threshold: Threshold) -> Dat
         starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])]))
         found = [p for a, b in zip(starts, [*starts[1:], len(key)]) if (p := _cell_pairs(table.slice(a, b - a), threshold)) is not None]
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+        release()
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
     return bundled.groupBy("bundle").applyInArrow(run, "a bigint, b bigint").distinct()
@@ -293,7 +295,8 @@ def _bounded(pairs: DataFrame, vectors: DataFrame, threshold: Threshold) -> Data
     least = F.ceil(F.lit(threshold.least) * (F.col("n_x") + F.col("n_y")) / (100 + threshold.least))
     near = sizes.where(F.least("n_x", "n_y") >= least - 1).select("a", "b")
     joined = near.join(left, "a").join(right, "b").select("a", "b", "n_x", "n_y", "x", "y")
-    return joined.mapInArrow(run, "a bigint, b bigint")
+    bounded_batches(joined.sparkSession)
+    return joined.mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def link_components(

@@ -13,10 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tableprep.llm.arrow import slices
+from tableprep.llm.arrow import bounded_batches, release, slices, tidy
 
 #: Names in one part, about, and names that a task sorts at once.
-PART, SORTED = 60_000, 1_000_000
+PART, SORTED = 60_000, 500_000
 MAX_PARTS = 32_768
 
 #: From a slice: hashes, the number of the text of each, and the owner of each text.
@@ -105,10 +105,12 @@ def shared_names(texts: DataFrame, make: Make, parts: int) -> DataFrame:
             again = np.concatenate([[False], (name[1:] == name[:-1]) & (owner[1:] == owner[:-1])])
             done_names.append(name[several & ~again] | part)
             done_ids.append(owner[several & ~again])
+        release()
         return pa.table({
             "owner": pa.array(np.concatenate(done_ids), pa.int64()),
             "name": pa.array(np.concatenate(done_names).view(np.int64), pa.int64()),
         })
 
-    sent = texts.mapInArrow(runs, "part int, low binary, owner binary, ids binary")
+    bounded_batches(texts.sparkSession)
+    sent = texts.mapInArrow(tidy(runs), "part int, low binary, owner binary, ids binary")
     return sent.groupBy("part").applyInArrow(meet, "owner bigint, name bigint")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableprep.llm.arrow import add_columns, packed, slices, text_bytes
+from tableprep.llm.arrow import add_columns, bounded_batches, packed, release, slices, text_bytes, tidy
 from tableprep.llm.meeting import MAX_PARTS, parts_for, shared_names, short_names
 from tableprep.llm.words import ByteHashes, mix
 
@@ -295,11 +295,13 @@ def _stretches(texts: DataFrame, names: DataFrame, length: int, parts: int, spli
         keys, ids, places = (np.concatenate(c)[order] for c in (keys, ids, places))
         told.append(_repeats(keys, np.array(common, np.int64), ids, places, length))
         own, start, stop = (np.concatenate([t[k] for t in told]) for k in range(3))
+        release()
         return pa.table({"id": pa.array(own, pa.int64()), "from": pa.array(start, pa.int32()), "to": pa.array(stop, pa.int32())})
 
     with_names = texts.join(names, "id").select("text", "id", "names")
     made = "part int, common binary, tails binary, ids binary, places binary, sure_ids binary, sure_from binary, sure_to binary"
-    return with_names.mapInArrow(runs, made).groupBy("part").applyInArrow(merge, "id bigint, from int, to int")
+    bounded_batches(texts.sparkSession)
+    return with_names.mapInArrow(tidy(runs), made).groupBy("part").applyInArrow(merge, "id bigint, from int, to int")
 
 
 def _splitters(texts: DataFrame, n_texts: int, length: int) -> tuple[list[bytes], float]:
