@@ -32,4 +32,4 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-from checks import cleaning, combining, files, profiling, reshaping, similar, viewing  # noqa: E402,F401
+from checks import cleaning, combining, files, profiling, reshaping, safety, similar, viewing  # noqa: E402,F401

@@ -122,7 +122,7 @@ def jagged_rows(spark, sf):
 @check("bad_rows_dropped", f"SELECT CAST(c_custkey AS BIGINT) AS key, c_name || ',x' AS name, c_mktsegment AS segment FROM customer WHERE c_mktsegment <> 'BUILDING' AND c_nationkey <> 3")
 def bad_rows_dropped(spark, sf):
     schema = spark.createDataFrame([], "key bigint, name string, segment string").schema
-    return tp.read_delimited(spark, broken_lines(spark, sf), sep=",", schema=schema)
+    return tp.read_delimited(spark, broken_lines(spark, sf), sep=",", schema=schema, bad_rows="drop")
 
 
 @check("bad_rows_only", f"""

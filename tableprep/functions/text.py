@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented Latin letters and the letters they fold to.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-FOLDED = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _accents() -> tuple[str, str]:
+    """Lower-case Latin letters with marks and the letters they are built on, by their decomposition."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in (*range(0xE0, 0x250), *range(0x1E00, 0x1F00))]
+    pairs = [(letter, plain) for letter, plain in pairs if plain.isascii() and plain.islower()]
+    return "".join(p[0] for p in pairs), "".join(p[1] for p in pairs)
+
+
+ACCENTED, FOLDED = _accents()
 
 # UTF-8 text that was once read as Latin-1, and the text meant.
 DAMAGED_LATIN1 = {
@@ -88,7 +97,8 @@ def parse_amount(column: Column, decimal: str = ".") -> Column:
 
 def fingerprint(column: Column) -> Column:
     """Lower case without accents or punctuation; words sorted, each once."""
-    folded = F.translate(F.lower(column), ACCENTED, FOLDED)
+    # Marks of decomposed letters go first, so that they do not cut words.
+    folded = F.translate(F.regexp_replace(F.lower(column), "\\p{M}+", ""), ACCENTED, FOLDED)
     words = F.split(F.trim(F.regexp_replace(folded, "[^\\p{L}\\p{N}]+", " ")), " ")
     return F.array_join(F.array_sort(F.array_distinct(words)), " ")
 

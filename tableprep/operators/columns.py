@@ -137,16 +137,20 @@ def cast_column(df: DataFrame, col: str, dtype: str, strict: bool = False) -> Da
 
 
 def split_column(
-    df: DataFrame, col: str, sep: str, n: int | None = None, names: Sequence[str] | None = None
+    df: DataFrame, col: str, sep: str, n: int | None = None, names: Sequence[str] | None = None,
+    max_columns: int = 1000,
 ) -> DataFrame:
     """Split at a literal separator into ``<col>_part1``...; missing parts are NULL.
 
-    Without ``n`` or ``names`` one pass over the column finds the largest number of parts.
+    Without ``n`` or ``names`` one pass over the column finds the largest number of parts; more than
+    ``max_columns`` raise.
     """
     parts = F.split(df[col].cast("string"), quoted(sep), -1)
     if names is None:
         if n is None:
             n = max(df.agg(F.max(F.size(parts))).first()[0] or 1, 1)
+            if n > max_columns:
+                raise ValueError(f"a value of {col!r} has {n} parts, the limit is {max_columns}: give n, names or max_columns")
         names = [f"{col}_part{i + 1}" for i in range(n)]
     return df.withColumns({name: F.get(parts, F.lit(i)) for i, name in enumerate(names)})
 

@@ -7,6 +7,7 @@ from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def schema_diff(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -21,10 +22,13 @@ def row_diff(a: DataFrame, b: DataFrame, mode: str = "set", key: str | None = No
 
     Columns are aligned by name. ``set`` ignores how often a row occurs; ``bag`` gives each surplus
     copy. With ``key`` the rows are matched by key, and one that differs is ``changed``; a key that
-    occurs twice in a version raises. Each is one aggregation over the two versions.
+    occurs twice in a version raises; rows without a key match no row by it, so they are compared whole, as in ``bag``.
+    A column whose types differ is compared as text, numbers of two types as the wider one.
+    Each is one aggregation over the two versions.
     """
     if set(a.columns) != set(b.columns):
         raise ValueError("the versions have different columns; see schema_diff")
+    a, b = _same_types(a, b)
     if key is not None:
         return _diff_by_key(a, b, key)
     if mode not in ("set", "bag"):
@@ -41,6 +45,22 @@ def row_diff(a: DataFrame, b: DataFrame, mode: str = "set", key: str | None = No
     return uneven.select(_status(F.col("__more")), *a.columns)
 
 
+def _same_types(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    one, two = ({f.name: f.dataType for f in v.schema} for v in (a, b))
+    # Numbers stay numbers; all other unlike types become text.
+    to = {c: _common_number(one[c], two[c]) for c in a.columns if one[c] != two[c]}
+    return a.withColumns({c: a[c].cast(t) for c, t in to.items()}), b.withColumns({c: b[c].cast(t) for c, t in to.items()})
+
+
+def _common_number(one: T.DataType, two: T.DataType) -> T.DataType:
+    kinds = (one, two)
+    if all(isinstance(k, T.IntegralType) for k in kinds):
+        return T.LongType()
+    if all(isinstance(k, (T.IntegralType, T.FloatType, T.DoubleType)) for k in kinds):
+        return T.DoubleType()
+    return T.StringType()
+
+
 def _status(sign):
     return F.when(sign > 0, "added").otherwise("removed").alias("status")
 
@@ -50,6 +70,8 @@ def _diff_by_key(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     # a hot key.
     whole = F.struct(*a.columns)
     nothing = F.lit(None).cast(a.select(whole).schema[0].dataType)
+    keyless = row_diff(a.where(a[key].isNull()), b.where(b[key].isNull()), "bag")
+    a, b = a.where(a[key].isNotNull()), b.where(b[key].isNotNull())
     both = a.select(whole.alias("__old"), nothing.alias("__new")).unionAll(b.select(nothing, whole))
     keyed = both.withColumn("__key", F.coalesce("__new", "__old").getField(key))
     sides = keyed.groupBy("__key").agg(
@@ -66,7 +88,7 @@ def _diff_by_key(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     )
     changed = F.filter(F.array(*[F.when(d, F.lit(c)) for d, c in zip(differs, values)]), lambda c: c.isNotNull())
     shown = F.coalesce(new, old)
-    return (
+    matched = (
         sides.withColumn("status", status)
         .where(F.col("status").isNotNull())
         .select(
@@ -75,6 +97,7 @@ def _diff_by_key(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
             F.when(F.col("status") == "changed", F.array_join(changed, ",")).alias("changed_columns"),
         )
     )
+    return matched.unionAll(keyless.select("status", *a.columns, F.lit(None).cast("string").alias("changed_columns")))
 
 
 def diff_counts(diff: DataFrame) -> DataFrame:

@@ -24,11 +24,14 @@ def enrich(
 
     ``fn`` sees all columns but the hidden ones. It returns the key and the columns it changes or
     adds, as in ``schema``; rows it leaves out keep their values. Without ``key`` a row id
-    (``row_id``) is used and removed at the end. The batches run on the executors.
+    named ``row_id`` is used and removed at the end; a table with a column of that name must give a key. The batches
+    run on the executors.
     """
     own_key = key is None
     if own_key:
         key = "row_id"
+        if key in (c.lower() for c in df.columns):
+            raise ValueError("the table has a column row_id: give the name of its key")
         # The id is needed on both sides of the merge, so it is fixed in a written table first.
         df = written(add_row_id(df, key), "enrich")
 

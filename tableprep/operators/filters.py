@@ -36,10 +36,11 @@ def typed_literal(value: Any, dtype: T.DataType, column: str) -> Column:
         if isinstance(dtype, T.DecimalType):
             return F.lit(Decimal(str(value)))
         if isinstance(dtype, T.DateType):
-            return F.lit(dt.date.fromisoformat(str(value)[:10]))
+            return F.lit(_date(value))
         if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-            dt.datetime.fromisoformat(str(value))
-            return F.lit(str(value)).cast(dtype)
+            time = dt.datetime.fromisoformat(str(value))
+            # A time without zone means the session's zone, so it is cast as text, in a form that Spark reads.
+            return F.lit(time.isoformat(sep=" ")).cast(dtype)
         if isinstance(dtype, T.BooleanType):
             return F.lit({"true": True, "false": False}[str(value).strip().lower()])
     except (ValueError, KeyError, InvalidOperation) as error:
@@ -47,6 +48,14 @@ def typed_literal(value: Any, dtype: T.DataType, column: str) -> Column:
     return F.lit(str(value))
 
 
+def _date(value: Any) -> dt.date:
+    """A date, or a time of day 0:00 on it."""
+    time = dt.datetime.fromisoformat(str(value))
+    if time.time() != dt.time(0):
+        raise ValueError(f"{value!r} is no whole day")
+    return time.date()
+
+
 def check_rules(df: DataFrame, rules: Iterable[dict]) -> None:
     """Raise unless each rule names a column, a known operator and, where needed, a value."""
     for rule in rules:

@@ -8,8 +8,11 @@ places. So an equi-join on pieces finds all candidates.
 A piece that many values share would make one bucket with a quadratic number of candidates. Such a
 bucket is not joined. Two values in it are within ``d`` edits only if what is left of them *without*
 the piece is within ``d`` edits as well, so the rests are cut into pieces again, and the bucket falls
-apart into smaller ones. This repeats until no bucket is large or the rests have at most ``d``
-characters, where values in one bucket really are close.
+apart into smaller ones. This repeats until no bucket is large, or until cutting once more would make more rows
+than the large buckets have pairs: values that dense are compared pair by pair, spread over all tasks.
+
+The number of pairs can be quadratic in the number of values when they really are all close, so ``near_pairs`` can be
+given a limit above which it raises. ``near_clusters`` needs no pairs: it keeps one neighbour for each value and round.
 """
 
 from __future__ import annotations
@@ -22,10 +25,12 @@ from pyspark.sql import functions as F
 
 from tableprep.functions.text import fingerprint
 from tableprep.operators.joins import map_values
-from tableprep.scratch import written
+from tableprep.scratch import remove, written
 
 # A bucket is cut further when both of its sides hold more values than this.
 BUCKET_LIMIT = 100
+# So many pairs are compared sooner than they are cut: a level of cutting takes several jobs.
+DIRECT_PAIRS = 20_000_000
 
 
 def _array(rows: list[str]) -> Column:
@@ -104,33 +109,63 @@ def _probe_keys(state: DataFrame, d: int, longer_only: bool) -> DataFrame:
     return _piece_keys(state, moves, d).unionAll(_kept_keys(state, short))
 
 
-def _candidates(left: DataFrame, right: DataFrame, d: int, same: bool, bucket_limit: int) -> DataFrame:
-    """Pairs (v1, v2, distance) with distance at most d; ``left`` is cut, ``right`` is searched for.
+def _candidates(left: DataFrame, right: DataFrame, d: int, same: bool, bucket_limit: int, direct_pairs: int) -> DataFrame:
+    """Pairs (v1, v2, distance) with distance at most d; ``left`` is cut, ``right`` is searched for. Pairs may repeat.
 
     Both have columns ``value``, ``letters``, ``rest`` and ``ctx``.
     """
-    found = []
+    found, direct = [], float(direct_pairs)
     while True:
+        if _pairs_by_context(left, right) <= direct:
+            # Pairs of smaller buckets that were found before are not among these.
+            found.append(_near(*_spread(left, right), ["ctx", "salt"], d, same))
+            return reduce(DataFrame.unionAll, found)
         index, probe = _index_keys(left, d), _probe_keys(right, d, same)
         large = _large_buckets(left, right, index, probe, bucket_limit)
         a, b = index, probe
         if large is not None:
             a, b = (side.join(large, "key", "left_anti") for side in (index, probe))
-        pairs = a.select("key", F.col("value").alias("v1"), F.col("letters").alias("l1")).join(
-            b.select("key", F.col("value").alias("v2"), F.col("letters").alias("l2")), "key"
-        )
-        # An edit adds or removes at most two letters: most candidates end here, at little cost.
-        likely = pairs.where(F.bit_count(F.col("l1").bitwiseXOR(F.col("l2"))) <= 2 * d)
-        near = likely.withColumn("distance", F.levenshtein("v1", "v2", d)).where("distance >= 0")
-        if same:
-            near = near.where("v1 <> v2").select(
-                F.least("v1", "v2").alias("v1"), F.greatest("v1", "v2").alias("v2"), "distance"
-            )
-        found.append(near.select("v1", "v2", "distance"))
+        found.append(_near(a, b, ["key"], d, same))
         if large is None:
-            return reduce(DataFrame.unionAll, found).distinct()
+            return reduce(DataFrame.unionAll, found)
         inside = [side.join(large, "key", "left_semi") for side in (index, probe)]
-        left, right = (written(s.select("value", "letters", "rest", F.col("key").alias("ctx")).distinct()) for s in inside)
+        cut = [side.select("value", "letters", "rest", F.col("key").alias("ctx")).distinct() for side in inside]
+        next_left, next_right = (written(side, "values") for side in cut)
+        if direct_pairs:
+            direct = max(direct_pairs, _rows_if_cut(next_left, d, True) + _rows_if_cut(next_right, d, same))
+        left, right = next_left, next_right
+
+
+def _near(a: DataFrame, b: DataFrame, on: list[str], d: int, same: bool) -> DataFrame:
+    """Rows of both sides that agree in ``on`` and whose values are within d edits."""
+    pairs = a.select(*on, F.col("value").alias("v1"), F.col("letters").alias("l1")).join(
+        b.select(*on, F.col("value").alias("v2"), F.col("letters").alias("l2")), on
+    )
+    # An edit adds or removes at most two letters: most candidates end here, at little cost.
+    likely = pairs.where(F.bit_count(F.col("l1").bitwiseXOR(F.col("l2"))) <= 2 * d)
+    near = likely.withColumn("distance", F.levenshtein("v1", "v2", d)).where("distance >= 0")
+    if same:
+        near = near.where("v1 <> v2").select(F.least("v1", "v2").alias("v1"), F.greatest("v1", "v2").alias("v2"), "distance")
+    return near.select("v1", "v2", "distance")
+
+
+def _pairs_by_context(left: DataFrame, right: DataFrame) -> float:
+    """Pairs of values that share a context."""
+    counts = [side.groupBy("ctx").agg(F.count("*").cast("double").alias(n)) for side, n in ((left, "l"), (right, "r"))]
+    return counts[0].join(counts[1], "ctx").agg(F.sum(F.col("l") * F.col("r"))).first()[0] or 0.0
+
+
+def _rows_if_cut(side: DataFrame, d: int, longer_only: bool) -> float:
+    """About the rows that cutting once more makes: one for each piece and place that it may be moved to."""
+    places = sum(1 for i in range(d + 1) for _ in range(-i, i + 1)) * (1 if longer_only else 2)
+    return side.count() * float(places)
+
+
+def _spread(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a salt, so that the pairs of one context are dealt to many tasks."""
+    n = 4 * left.sparkSession.sparkContext.defaultParallelism
+    salted = left.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(n)).cast("int"))
+    return salted, right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
 def _large_buckets(
@@ -162,17 +197,31 @@ def _start(df: DataFrame, col: str) -> DataFrame:
     return written(state, "values")
 
 
-def near_pairs(df: DataFrame, col: str, max_dist: int = 3, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """All pairs ``v1 < v2`` of distinct values that 1 to ``max_dist`` edits turn into each other."""
+def near_pairs(
+    df: DataFrame, col: str, max_dist: int = 3, bucket_limit: int = BUCKET_LIMIT, max_pairs: int | None = None,
+    direct_pairs: int = DIRECT_PAIRS,
+) -> DataFrame:
+    """All pairs ``v1 < v2`` of distinct values that 1 to ``max_dist`` edits turn into each other.
+
+    Their number can be quadratic; more than ``max_pairs``, if given, raise. ``bucket_limit`` and
+    ``direct_pairs`` decide whether values are cut or compared at once, not what is found.
+    """
     values = _start(df, col)
-    return _candidates(values, values, max_dist, True, bucket_limit)
+    pairs = _candidates(values, values, max_dist, True, bucket_limit, direct_pairs).distinct()
+    if max_pairs is None:
+        return pairs
+    pairs = written(pairs, "pairs")
+    if (n := pairs.count()) > max_pairs:
+        raise ValueError(f"{n} pairs are near, the limit is {max_pairs}; near_clusters groups values without pairs")
+    return pairs
 
 
 def near_match(
-    df: DataFrame, col: str, ref: DataFrame, ref_col: str, max_dist: int = 1, bucket_limit: int = BUCKET_LIMIT
+    df: DataFrame, col: str, ref: DataFrame, ref_col: str, max_dist: int = 1, bucket_limit: int = BUCKET_LIMIT,
+    direct_pairs: int = DIRECT_PAIRS,
 ) -> DataFrame:
     """Pairs (``v1`` from ``df``, ``v2`` from ``ref``) with at most ``max_dist`` edits between them."""
-    pairs = _candidates(_start(ref, ref_col), _start(df, col), max_dist, False, bucket_limit)
+    pairs = _candidates(_start(ref, ref_col), _start(df, col), max_dist, False, bucket_limit, direct_pairs).distinct()
     return pairs.select(F.col("v2").alias("v1"), F.col("v1").alias("v2"), "distance")
 
 
@@ -181,7 +230,8 @@ def connected(pairs: DataFrame, a: str = "v1", b: str = "v2", max_rounds: int =
 
     Large-star and small-star rounds (Kiveris et al., SoCC 2014): each round links values to the
     smallest neighbour and ends when nothing moves. Every round is an aggregation and a join on the
-    value, written to the shared folder.
+    value, written to the shared folder in place of the round before. More than ``max_rounds`` raise: rounds
+    grow with the logarithm of the number of values.
     """
     edges = pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
     edges = written(edges, "edges")
@@ -199,6 +249,7 @@ def connected(pairs: DataFrame, a: str = "v1", b: str = "v2", max_rounds: int =
         )
         linked = written(linked, "edges")
         after = _digest(linked)
+        remove(edges)
         if after == before:
             members = linked.groupBy("u").agg(F.min("v").alias("canonical")).select(F.col("u").alias("value"), "canonical")
             roots = linked.select(F.col("v").alias("value"), F.col("v").alias("canonical")).distinct()
@@ -219,9 +270,32 @@ def _digest(edges: DataFrame) -> tuple:
     return tuple(oriented.agg(F.count("*"), F.bit_xor(mixed), F.sum(mixed.cast("decimal(38,0)"))).first())
 
 
-def near_clusters(df: DataFrame, col: str, max_dist: int = 3, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """Groups of values linked by near pairs: ``value`` and ``canonical`` (smallest member)."""
-    return connected(near_pairs(df, col, max_dist, bucket_limit))
+def near_clusters(
+    df: DataFrame, col: str, max_dist: int = 3, bucket_limit: int = BUCKET_LIMIT, direct_pairs: int = DIRECT_PAIRS
+) -> DataFrame:
+    """Groups of values linked by near pairs: ``value`` and ``canonical`` (smallest member).
+
+    Boruvka's rounds: each value keeps its smallest neighbour outside its group, at most one edge a value, and the
+    groups along these edges are merged, until no value has such a neighbour.
+    """
+    values = _start(df, col)
+    near = _candidates(values, values, max_dist, True, bucket_limit, direct_pairs).select("v1", "v2")
+    edges, groups = None, None
+    while True:
+        open_pairs = near if groups is None else _between_groups(near, groups)
+        both = open_pairs.unionAll(open_pairs.select(F.col("v2").alias("v1"), F.col("v1").alias("v2")))
+        # Combined within each task before the shuffle: a row for each value, whatever the number of pairs.
+        chosen = written(both.groupBy("v1").agg(F.min("v2").alias("v2")), "edges")
+        if chosen.isEmpty():
+            return groups if groups is not None else chosen.select(F.col("v1").alias("value"), F.col("v2").alias("canonical"))
+        edges = chosen if edges is None else edges.unionAll(chosen)
+        groups = written(connected(edges), "groups")
+
+
+def _between_groups(near: DataFrame, groups: DataFrame) -> DataFrame:
+    one = groups.select(F.col("value").alias("v1"), F.col("canonical").alias("c1"))
+    two = groups.select(F.col("value").alias("v2"), F.col("canonical").alias("c2"))
+    return near.join(one, "v1").join(two, "v2").where("c1 <> c2").select("v1", "v2")
 
 
 def fingerprint_clusters(df: DataFrame, col: str) -> DataFrame:

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableprep.functions.text import NOT_CP1252, outside_cp1252
+from tableprep.scratch import written
 
 # Patterns a text column is tested for, in this order, and the share that must match.
 PATTERNS = {
@@ -135,11 +136,11 @@ def column_stats(df: DataFrame, cols: Sequence[str] | None = None, approx: bool
 
 def top_values(df: DataFrame, col: str, k: int = 5) -> DataFrame:
     """The most frequent values with their count and their share of all rows, NULLs included there."""
-    filled = df.where(F.col(col).isNotNull())
-    counts = filled.groupBy(F.col(col).alias("value")).agg(F.count("*").alias("count"))
-    # The total needs no column: Parquet answers it from its footers.
-    total = df.agg(F.count("*")).scalar()
-    return counts.orderBy(F.desc("count"), "value").limit(k).withColumn("percent", F.col("count") * 100.0 / total)
+    counts = df.groupBy(F.col(col).alias("value")).agg(F.count("*").alias("count"))
+    # NULLs are a group too, so the total is the sum of the counts, and the grouped exchange serves both.
+    total = counts.agg(F.sum("count")).scalar()
+    top = counts.where("value is not null").orderBy(F.desc("count"), "value").limit(k)
+    return top.withColumn("percent", F.col("count") * 100.0 / total)
 
 
 def default_measures(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -285,8 +286,13 @@ class RowLossError(RuntimeError):
 
 
 def guard_row_loss(before: DataFrame, after: DataFrame, pct: float = 5.0) -> DataFrame:
-    """``after``, or :class:`RowLossError` if it lost more than ``pct`` percent of the rows."""
-    had, has = before.count(), after.count()
+    """``after``, or :class:`RowLossError` if it lost more than ``pct`` percent of the rows.
+
+    ``after`` is computed once: it is written, counted as it goes, and read back.
+    """
+    counted = Observation()
+    after = written(after.observe(counted, F.count(F.lit(1)).alias("rows")), "guarded")
+    had, has = before.count(), counted.get["rows"]
     if had and (had - has) * 100.0 / had > pct:
         raise RowLossError(f"{had - has} of {had} rows would be lost; the limit is {pct}%")
     return after

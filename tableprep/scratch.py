@@ -18,7 +18,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not context.master.startswith("local"):
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="tableprep-")
     context.setCheckpointDir(folder)
@@ -42,3 +42,16 @@ def written(df: DataFrame, label: str = "step") -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(*tables: DataFrame) -> None:
+    """Delete tables that :func:`written` returned and that nothing will read again."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        own = f"/tableprep-{df.sparkSession.sparkContext.applicationId}/"
+        folders = {name.rsplit("/", 1)[0] for name in df.inputFiles()}
+        for folder in folders:
+            if own in folder:
+                path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+                path.getFileSystem(conf).delete(path, True)

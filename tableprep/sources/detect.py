@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +16,8 @@ from tableprep.session import allow_java_charsets
 
 # Delimiters that are tried, in the order in which ties are decided.
 DELIMITERS = (",", ";", "\t", "|")
-HEAD_LINES = 10
-# One row of about 200 bytes per file block: at most some 200 MB are broadcast.
-MAX_BROADCAST_BLOCKS = 1_000_000
+# Different first lines that are compared on the driver.
+MAX_HEADERS = 1000
 
 
 def _decoded(line: Column, encoding: str) -> Column:
@@ -35,26 +36,99 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
 
 
 def delimiter_scores(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """Score of each delimiter over the first lines that are not empty.
+    """Score of each delimiter over all lines that are not empty.
 
     ``score`` is 10 times the mean number of fields less 100 times its variance.
     """
-    head = _lines(spark, path, encoding).where("value <> ''").limit(HEAD_LINES)
-    return score_delimiters(head)
+    return score_delimiters(_lines(spark, path, encoding).where("value <> ''"))
 
 
 def score_delimiters(lines: DataFrame) -> DataFrame:
-    """:func:`delimiter_scores` for a table of lines (column ``value``), all of them."""
-    sums = [
+    """:func:`delimiter_scores` for a table of lines (column ``value``)."""
+    scored = lines.agg(F.array(*_delimiter_sums(F.col("value"))).alias("rows")).select(F.inline("rows"))
+    return scored.withColumn("score", _score(F.col("avg_columns"), F.col("variance")))
+
+
+def _delimiter_sums(line: Column) -> list[Column]:
+    return [
         F.struct(
-            F.lit(i).alias("rank"), F.lit(d).alias("delimiter"),
-            F.avg(_fields(F.col("value"), d)).alias("avg_columns"),
-            F.var_pop(_fields(F.col("value"), d)).alias("variance"),
+            F.lit(i).alias("rank"), F.lit(d).alias("delimiter"), F.avg(_fields(line, d)).alias("avg_columns"),
+            F.var_pop(_fields(line, d)).alias("variance"),
         )
         for i, d in enumerate(DELIMITERS)
     ]
-    scored = lines.agg(F.array(*sums).alias("rows")).select(F.inline("rows"))
-    return scored.withColumn("score", F.col("avg_columns") * 10 - F.col("variance") * 100)
+
+
+def _score(avg_columns, variance):
+    return avg_columns * 10 - variance * 100
+
+
+@dataclass(frozen=True)
+class TextInfo:
+    """What one pass over all lines of delimited files tells."""
+
+    encoding: str
+    delimiter: str
+    #: Some lines have an odd number of quotes: a quoted value goes on in the next line, or a quote is not closed.
+    quoted_breaks: bool
+    #: In some file the number of such lines is odd, so a quote is not closed.
+    open_quote: bool
+
+
+def inspect_delimited(spark: SparkSession, path: str) -> TextInfo:
+    """Encoding, delimiter and line breaks inside quotes, in one aggregation over all lines.
+
+    Delimiters and quotes are ASCII, so lines are measured before they are decoded.
+    """
+    value = F.col("value")
+    bare = F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    filled = F.when(value != "", value)
+    sums = [
+        F.struct(F.count(_fields(filled, d)).alias("n"), F.sum(_fields(filled, d).cast("double")).alias("s"),
+                 F.sum(F.pow(_fields(filled, d), 2)).alias("q")).alias(f"d{i}")
+        for i, d in enumerate(DELIMITERS)
+    ]
+    by_file = lines.groupBy("file").agg(
+        F.max((~F.is_valid_utf8(value)).cast("int")).alias("damaged"), F.sum(bare % 2).alias("odd"), *sums
+    )
+    totals = [F.sum(f"d{i}.{part}").alias(f"{part}{i}") for i in range(len(DELIMITERS)) for part in "nsq"]
+    row = by_file.agg(
+        F.max("damaged").alias("damaged"), F.max("odd").alias("odd"), F.max(F.col("odd") % 2).alias("open"), *totals
+    ).first()
+    best, delimiter = 0.0, ","
+    for i, d in enumerate(DELIMITERS):
+        n = row[f"n{i}"] or 0
+        mean = row[f"s{i}"] / n if n else 0.0
+        score = _score(mean, max(row[f"q{i}"] / n - mean * mean, 0.0)) if n else 0.0
+        if mean > 1 and score > best:
+            best, delimiter = score, d
+    return TextInfo("windows-1252" if row.damaged else "UTF-8", delimiter, bool(row.odd), bool(row.open))
+
+
+def headers(spark: SparkSession, path: str, encoding: str = "UTF-8") -> dict[str, list[str]]:
+    """The different first lines of the files and the paths of the files that begin with each.
+
+    One row for each file comes to the driver only when there are several first lines.
+    """
+    allow_java_charsets(spark)
+    lines = (
+        spark.read.text(path)
+        .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+        .where("block = 0")
+        .select("file", "value", F.monotonically_increasing_id().alias("at"))
+    )
+    line = _decoded(F.rtrim(F.min_by("value", "at"), F.lit("\r")), encoding)
+    first = written(lines.groupBy("file").agg(line.alias("line")), "headers")
+    different = [row.line for row in first.select("line").distinct().limit(MAX_HEADERS + 1).collect()]
+    if len(different) > MAX_HEADERS:
+        raise ValueError(f"the files have more than {MAX_HEADERS} different first lines")
+    if len(different) == 1:
+        return {different[0]: [path]}
+    found: dict[str, list[str]] = {line: [] for line in different}
+    for row in first.orderBy("file").collect():
+        found[row.line].append(unquote(row.file))
+    return found
 
 
 def _fields(line: Column, delimiter: str) -> Column:
@@ -71,7 +145,7 @@ def _fields_outside_quotes(line: Column, delimiter: str) -> Column:
 
 
 def detect_delimiter(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str:
-    """The best delimiter; a comma when none gives more than one field."""
+    """The best delimiter over all lines; a comma when none gives more than one field."""
     usable = delimiter_scores(spark, path, encoding).where("avg_columns > 1 and score > 0")
     best = usable.orderBy(F.desc("score"), "rank").first()
     return best["delimiter"] if best else ","
@@ -84,11 +158,23 @@ def detect_format(spark: SparkSession, path: str) -> str:
 
 
 def detect_newline(spark: SparkSession, path: str) -> str:
-    """The line end of the file: ``\\r\\n``, ``\\r`` or ``\\n``."""
-    first = spark.read.option("lineSep", "\n").text(path).select(F.rtrim("value", F.lit("\r")), "value").first()
-    if first is None or "\r" not in first[1]:
+    """The line end of most lines: ``\\r\\n``, ``\\r`` or ``\\n``.
+
+    Lines end at any of the three, and of each is known whether a carriage return comes before the next line feed:
+    so no file is ever one row.
+    """
+    ends = spark.read.option("lineSep", "\r").text(path).select(
+        F.startswith("value", F.lit("\n")).alias("with_feed"),
+        (F.length("value") - F.length(F.replace("value", F.lit("\n"), F.lit("")))).alias("feeds"),
+    )
+    found = ends.agg(
+        F.count("*").alias("rows"), F.sum(F.col("with_feed").cast("int")).alias("both"), F.sum("feeds").alias("feeds")
+    ).first()
+    both, feeds = found.both or 0, found.feeds or 0
+    alone, returns = feeds - both, max(found.rows - 1, 0) - both
+    if not (both or returns > alone):
         return "\n"
-    return "\r" if "\r" in first[0] else "\r\n"
+    return "\r\n" if both >= max(returns, alone) else "\r" if returns > alone else "\n"
 
 
 def file_info(spark: SparkSession, path: str) -> DataFrame:
@@ -121,9 +207,8 @@ def jagged_rows(spark: SparkSession, path: str, sep: str | None = None, encoding
         F.min_by(F.when(F.col("block") == 0, width), "at").alias("width"),
     )
     with _same_splits(spark):
+        # Written, so Spark knows its size when it chooses the join.
         starts = written(_block_starts(blocks), "blocks")
-        if starts.count() <= MAX_BROADCAST_BLOCKS:
-            starts = F.broadcast(starts)
         found = lines.withColumn("actual", width).join(starts, ["file", "block"]).where("actual <> expected")
         text = _decoded(F.rtrim("value", F.lit("\r")), encoding)
         shown = F.concat(F.substring(text, 1, 50), F.when(F.length(text) > 50, "...").otherwise(""))

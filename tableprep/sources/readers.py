@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from pyspark.sql import types as T
 from tableprep.functions.names import normalize_names
 from tableprep.scratch import written
 from tableprep.session import allow_java_charsets
-from tableprep.sources.detect import detect_delimiter, detect_encoding, detect_format
+from tableprep.sources.detect import detect_format, headers, inspect_delimited
 
 CORRUPT = "_corrupt_record"
 
@@ -21,40 +23,75 @@ def read_delimited(
     path: str,
     sep: str | None = None,
     encoding: str | None = None,
-    bad_rows: str = "drop",
+    bad_rows: str = "raise",
     schema: T.StructType | None = None,
     header: bool = True,
     normalize: bool = True,
-    multiline: bool = False,
+    multiline: bool | None = None,
 ) -> DataFrame:
     """Text with a delimiter; what is not given is detected, types included.
 
-    Rows with too few or too many fields, or with a value of another type, are bad: ``drop`` leaves
-    them out, ``keep`` adds ``_corrupt_record`` with their text (NULL in good rows), ``only`` returns
-    just the bad ones, so nothing is lost unseen. Give ``schema`` for large inputs: detection of types
-    reads the files once more.
+    Rows with too few or too many fields, or with a value of another type, are bad: ``raise`` fails when
+    one is read, ``keep`` adds ``_corrupt_record`` with their text (NULL in good rows), ``only`` returns
+    just the bad ones, ``drop`` leaves them out.
 
-    ``multiline`` accepts line breaks inside quotes. Such files cannot be split: one task reads each.
+    Files that order their columns differently are read by name; files with other columns raise.
+    ``multiline`` accepts line breaks inside quotes. Such files cannot be split: one task reads each. If it is not given, it
+    is on when lines have quotes that the next line closes; a quote that is never closed raises.
+
+    Detection reads the files once for encoding, delimiter and quotes, the first lines once, and once
+    for the types: for large inputs give ``sep``, ``encoding``, ``multiline`` and ``schema``.
     """
-    encoding = encoding or detect_encoding(spark, path)
+    if bad_rows not in ("raise", "drop", "keep", "only"):
+        raise ValueError("bad_rows must be 'raise', 'drop', 'keep' or 'only'")
+    if None in (sep, encoding, multiline):
+        info = inspect_delimited(spark, path)
+        if multiline is None and info.open_quote:
+            raise ValueError("a quote is not closed; give multiline=False to read such lines one by one, or True")
+        sep, encoding = sep or info.delimiter, encoding or info.encoding
+        multiline = info.quoted_breaks if multiline is None else multiline
     allow_java_charsets(spark)
-    sep = sep or detect_delimiter(spark, path, encoding)
     # Without column pruning each row is parsed in full, so bad rows are found in every query.
     options = {
         "header": header, "sep": sep, "encoding": encoding, "quote": '"', "escape": '"', "columnPruning": False,
         "multiLine": multiline,
     }
+    groups = {"": [path]} if not header else headers(spark, path, encoding)
+    if len(groups) <= 1:
+        return _read_files(spark, [path], options, schema, None, normalize, bad_rows)
+    names = {line: next(csv.reader([line], delimiter=sep)) for line in groups}
+    first = next(iter(names.values()))
+    if any(sorted(n) != sorted(first) for n in names.values()) or len(set(first)) < len(first):
+        raise ValueError(f"the files have different columns: {sorted(map(sorted, names.values()))[:3]}")
+    if schema is not None and len(schema) != len(first):
+        raise ValueError(f"the schema has {len(schema)} columns, the files have {len(first)}")
+    if schema is None:
+        found = [spark.read.options(inferSchema=True, **options).csv(files).schema for files in groups.values()]
+        types = {n: {s[n].dataType.simpleString() for s in found} for n in first}
+        # A type that all files agree on, else text.
+        schema = T.StructType([T.StructField(n, found[0][n].dataType if len(types[n]) == 1 else T.StringType()) for n in first])
+    else:
+        schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(first, schema)]) if normalize else schema
+    parts = [_read_files(spark, files, options, schema, names[line], normalize, bad_rows) for line, files in groups.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _read_files(spark, files, options, schema, order, normalize, bad_rows) -> DataFrame:
+    """Files with one header; ``order`` names their columns, where it is not the order of ``schema``."""
     if schema is None:
-        schema = spark.read.options(inferSchema=True, **options).csv(path).schema
+        schema = spark.read.options(inferSchema=True, **options).csv(files).schema
+    fields = schema.fields if order is None else [schema[name] for name in order]
     if normalize:
-        names = normalize_names(schema.names)
-        schema = T.StructType([T.StructField(n, f.dataType, True) for n, f in zip(names, schema)])
-    if bad_rows == "drop":
-        return spark.read.options(mode="DROPMALFORMED", **options).schema(schema).csv(path)
-    if bad_rows not in ("keep", "only"):
-        raise ValueError("bad_rows must be 'drop', 'keep' or 'only'")
+        # Repeats are numbered in the order of the schema, whatever that of the file.
+        plain = dict(zip(schema.names, normalize_names(schema.names)))
+        names = normalize_names(schema.names) if order is None else [plain[f.name] for f in fields]
+        fields = [T.StructField(n, f.dataType, True) for n, f in zip(names, fields)]
+    schema = T.StructType(fields)
+    reader = spark.read.options(**options)
+    if bad_rows in ("raise", "drop"):
+        return reader.option("mode", "FAILFAST" if bad_rows == "raise" else "DROPMALFORMED").schema(schema).csv(files)
     marked = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    rows = spark.read.options(mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, **options).schema(marked).csv(path)
+    rows = reader.options(mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT).schema(marked).csv(files)
     # Written, because Spark refuses some queries on the corrupt text of a raw file.
     return rows if bad_rows == "keep" else written(rows.where(F.col(CORRUPT).isNotNull()), "bad")
 

@@ -67,11 +67,15 @@ def export(df: DataFrame, path: str, preset: str, mode: str = "errorifexists") -
 
 
 def to_fixed_width(df: DataFrame, widths: Mapping[str, int] | None = None, default: int = DEFAULT_WIDTH) -> DataFrame:
-    """One column ``line``: each value cut to its width and padded with spaces; NULL is blank."""
+    """One column ``line``: each value cut to its width and padded with spaces; NULL is blank.
+
+    Characters that end a line become spaces.
+    """
     widths = {c: (widths or {}).get(c, default) for c in df.columns}
     if not all(1 <= w <= MAX_WIDTH for w in widths.values()):
         raise ValueError(f"widths must lie between 1 and {MAX_WIDTH}")
-    padded = [F.rpad(F.coalesce(F.col(c).cast("string"), F.lit("")), w, " ") for c, w in widths.items()]
+    plain = lambda c: F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"[\r\n\x0B\x0C\x85\x00\x01\u2028\u2029]", " ")
+    padded = [F.rpad(plain(c), w, " ") for c, w in widths.items()]
     return df.select(F.concat(*padded).alias("line"))
 
 
@@ -83,9 +87,20 @@ def line_width(df: DataFrame, widths: Mapping[str, int] | None = None, default:
 
 def write_fixed_width(
     df: DataFrame, path: str, widths: Mapping[str, int] | None = None, default: int = DEFAULT_WIDTH,
-    mode: str = "errorifexists",
+    mode: str = "errorifexists", encoding: str = "UTF-8",
 ) -> None:
-    to_fixed_width(df, widths, default).write.mode(mode).text(path)
+    """Lines of :func:`to_fixed_width`; with windows-1252, where a character is one byte, others become ``?``."""
+    lines = to_fixed_width(df, widths, default)
+    if encoding.lower() not in ("windows-1252", "cp1252"):
+        lines.write.mode(mode).text(path)
+        return
+    # The delimited writer knows encodings; without quotes and with a character that is not left in any line, it writes lines as they are.
+    allow_java_charsets(df.sparkSession)
+    options = {
+        "encoding": "windows-1252", "header": False, "quote": "", "escape": "", "sep": "\u0001", "emptyValue": "", "nullValue": "",
+        "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+    }
+    lines.select(cp1252_safe(F.col("line")).alias("line")).write.mode(mode).options(**options).csv(path)
 
 
 def delimited_preview(df: DataFrame, n: int = 5, sep: str = ",", header: bool = True) -> DataFrame:

@@ -150,11 +150,15 @@ def test_one_sorted_value_spreads_over_tasks(spark):
     assert parts > 4 and max(sizes) < 40000
 
 
-def test_coordinates(spark):
+def test_coordinates(spark, rows):
     data = [("a", "1.5", "2"), ("b", "abc", "2"), ("c", None, "1"), ("d", "50", "50"), ("e", "2.5", "3")]
     df = spark.createDataFrame(data, "name string, Lat string, LNG string")
     assert [r["name"] for r in tp.geo_box(df, "Lat", "LNG", 1, 2.5, 2, 3).orderBy("name").collect()] == ["a", "e"]
-    assert [tuple(r) for r in tp.map_points(df).collect()] == [(1.5, 2.0, "a"), (2.5, 3.0, "e"), (50.0, 50.0, "d")]
+    assert rows(tp.map_points(df)) == [(1.5, 2.0, "a"), (2.5, 3.0, "e"), (50.0, 50.0, "d")]
+    many = spark.range(5000).selectExpr("id % 180 - 90 as lat", "id % 360 - 180 as lon")
+    assert tp.map_points(many).count() == 5000
+    some = [r.lat for r in tp.map_points(many, 500).collect()]
+    assert len(some) == 500 and min(some) < -60 and max(some) > 60
     assert tp.around(df, "Lat", "LNG", (1.5, 2.0)).count() == 2
     with pytest.raises(ValueError):
         tp.map_points(df.drop("Lat"))

@@ -43,6 +43,9 @@ def test_pairs_equal_brute_force(spark, d, bucket_limit):
     expected = {(min(a, b), max(a, b), n) for a, b, n in expected}
     found = [tuple(r) for r in tp.near_pairs(words(spark, values), "v", d, bucket_limit).collect()]
     assert len(found) == len(set(found)) and set(found) == expected
+    # The same when no pairs are compared at once.
+    cut = tp.near_pairs(words(spark, values), "v", d, bucket_limit, direct_pairs=0).collect() if d < 3 else expected
+    assert {tuple(r) for r in cut} == expected and len(cut) == len(expected)
 
 
 @pytest.mark.parametrize("d, bucket_limit", [(1, 100), (2, 6)])

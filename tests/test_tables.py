@@ -25,8 +25,10 @@ def test_update_by_key(spark, rows):
     new = spark.createDataFrame([(1, None, "n"), (9, 9.0, "z")], "id long, b double, extra string")
     assert rows(tp.update_by_key(df, new, "id")) == sorted(
         [(1, None, "a", "n"), (2, 2.0, "b", None), (None, 3.0, "c", None)], key=repr)
-    with pytest.raises(ValueError, match="occurs 2 times"):
-        tp.update_by_key(df, new.unionAll(new), "id")
+    with pytest.raises(Exception, match="a key occurs more than once: [19]"):
+        tp.update_by_key(df, new.unionAll(new), "id").collect()
+    named = spark.createDataFrame([(1, "x", "y")], "ID long, B double, C string".replace("double", "string"))
+    assert tp.update_by_key(df.withColumn("b", F.col("c")), named, "id").columns == ["id", "b", "c"]
 
 
 def test_map_values(spark, rows):
@@ -34,8 +36,8 @@ def test_map_values(spark, rows):
     assert rows(tp.map_values(df, "v", {"a": "A", "b": None})) == sorted([("A",), (None,), (None,)], key=repr)
     assert rows(tp.map_values(df, "v", {"a": "A"}, to="w")) == sorted([("a", "A"), ("b", None), (None, None)], key=repr)
     table = spark.createDataFrame([("a", "1"), ("a", "2")], "old string, new string")
-    with pytest.raises(ValueError):
-        tp.map_values(df, "v", table)
+    with pytest.raises(Exception, match="a key occurs more than once: a"):
+        tp.map_values(df, "v", table).collect()
 
 
 def test_pivot_rules(spark, rows):
