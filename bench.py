@@ -22,7 +22,7 @@ HEADLINE = """
     regex_extract_text date_standardize name_split email_check currency_comma unit_mass phone_fr text_repair
     zone_normalize column_stats top_values duplicate_summary dedup_first dedup_smart merge_duplicates_text pivot_sum
     grouped_avg unpivot_numbers calendar row_diff row_diff_bag row_diff_key health_columns mainframe_report histogram zscore_top
-    dual_measure daily_counts near_pairs near_clusters fingerprint_clusters roundtrip_semicolon jagged_rows
+    dual_measure daily_counts near_pairs near_clusters near_clusters_dense fingerprint_clusters roundtrip_semicolon jagged_rows
     fixed_width_roundtrip enrich_merge recipe_replay
 """.split()
 

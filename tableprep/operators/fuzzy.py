@@ -8,8 +8,8 @@ places. So an equi-join on pieces finds all candidates.
 A piece that many values share would make one bucket with a quadratic number of candidates. Such a
 bucket is not joined. Two values in it are within ``d`` edits only if what is left of them *without*
 the piece is within ``d`` edits as well, so the rests are cut into pieces again, and the bucket falls
-apart into smaller ones. This repeats until no bucket is large, or until cutting once more would make more rows
-than the large buckets have pairs: values that dense are compared pair by pair, spread over all tasks.
+apart into smaller ones. This repeats until no bucket is large, few pairs are left, or cutting leaves more than half of
+the pairs: values that dense are compared pair by pair, spread over all tasks.
 
 The number of pairs can be quadratic in the number of values when they really are all close, so ``near_pairs`` can be
 given a limit above which it raises. ``near_clusters`` needs no pairs: it keeps one neighbour for each value and round.
@@ -114,9 +114,9 @@ def _candidates(left: DataFrame, right: DataFrame, d: int, same: bool, bucket_li
 
     Both have columns ``value``, ``letters``, ``rest`` and ``ctx``.
     """
-    found, direct = [], float(direct_pairs)
+    found, pairs = [], _pairs_by_context(left, right)
     while True:
-        if _pairs_by_context(left, right) <= direct:
+        if pairs <= direct_pairs:
             # Pairs of smaller buckets that were found before are not among these.
             found.append(_near(*_spread(left, right), ["ctx", "salt"], d, same))
             return reduce(DataFrame.unionAll, found)
@@ -131,9 +131,12 @@ def _candidates(left: DataFrame, right: DataFrame, d: int, same: bool, bucket_li
         inside = [side.join(large, "key", "left_semi") for side in (index, probe)]
         cut = [side.select("value", "letters", "rest", F.col("key").alias("ctx")).distinct() for side in inside]
         next_left, next_right = (written(side, "values") for side in cut)
-        if direct_pairs:
-            direct = max(direct_pairs, _rows_if_cut(next_left, d, True) + _rows_if_cut(next_right, d, same))
-        left, right = next_left, next_right
+        left_over = _pairs_by_context(next_left, next_right)
+        if direct_pairs and left_over > pairs / 2:
+            # Cutting does not part these values: most of them are close, so their pairs are compared as they are.
+            found.append(_near(*_spread(left, right), ["ctx", "salt"], d, same))
+            return reduce(DataFrame.unionAll, found)
+        left, right, pairs = next_left, next_right, left_over
 
 
 def _near(a: DataFrame, b: DataFrame, on: list[str], d: int, same: bool) -> DataFrame:
@@ -155,12 +158,6 @@ def _pairs_by_context(left: DataFrame, right: DataFrame) -> float:
     return counts[0].join(counts[1], "ctx").agg(F.sum(F.col("l") * F.col("r"))).first()[0] or 0.0
 
 
-def _rows_if_cut(side: DataFrame, d: int, longer_only: bool) -> float:
-    """About the rows that cutting once more makes: one for each piece and place that it may be moved to."""
-    places = sum(1 for i in range(d + 1) for _ in range(-i, i + 1)) * (1 if longer_only else 2)
-    return side.count() * float(places)
-
-
 def _spread(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both sides with a salt, so that the pairs of one context are dealt to many tasks."""
     n = 4 * left.sparkSession.sparkContext.defaultParallelism
