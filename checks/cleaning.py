@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 import tableprep as tp
 from checks import check, table
+from tableprep.operators.parse import EMAIL, EMAIL_DOMAIN
 
 
 @check("rename_swap", "SELECT s_suppkey AS id, s_nationkey AS s_acctbal, s_acctbal AS s_nationkey, s_name FROM supplier")
@@ -246,8 +247,8 @@ EMAILS = """SELECT c_custkey, CASE WHEN c_nationkey = 5 THEN NULL WHEN c_acctbal
 
 
 @check("email_check", rf"""
-    SELECT c_custkey, mail, regexp_matches(mail, '^[\w\.-]+@[\w\.-]+\.[\w\.-]+$') AS mail_valide,
-      regexp_extract(mail, '@([\w\.-]+)$', 1) AS mail_domaine FROM ({EMAILS})""")
+    SELECT c_custkey, mail, regexp_matches(mail, '{EMAIL}') AS mail_valide,
+      regexp_extract(mail, '{EMAIL_DOMAIN}', 1) AS mail_domaine FROM ({EMAILS})""")
 def email_check(spark, sf):
     mail = F.expr("""CASE WHEN c_nationkey = 5 THEN NULL WHEN c_acctbal < 0 THEN 'no mail' WHEN c_nationkey = 7 THEN 'a+b@x.com'
         ELSE concat(lower(c_mktsegment), '.', c_custkey, '@mail-', c_nationkey, '.example.com') END""")

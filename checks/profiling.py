@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 import tableprep as tp
 from checks import check, table
 from checks.viewing import CUSTOMER_NULLS, customers_with_nulls
+from tableprep.operators.profile import PATTERNS
 
 LINEITEM_TEXT = {"l_returnflag": "l_returnflag", "l_linestatus": "l_linestatus", "l_shipdate": "l_shipdate"}
 LINEITEM_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -100,15 +101,11 @@ def health_table(spark, sf):
 
 
 def _health_sql():
-    patterns = {
-        "EMAIL": r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$", "SIRET": r"^\d{14}$",
-        "NIR": r"^[12]\d{12}(\d{2})?$", "IBAN": r"^[A-Z]{2}\d{2}[A-Z0-9]{11,30}$",
-    }
     parts = []
     for c in HEALTH_NUMBERS + HEALTH_TEXT:
         number = c in HEALTH_NUMBERS
         outliers = f"count(*) FILTER (sd_{c} > 0 AND abs({c} - m_{c}) > 3 * sd_{c})" if number else "0::BIGINT"
-        labels = " ".join(f"WHEN count(*) FILTER (regexp_matches({c}, '{p}')) > 0.7 * count({c}) THEN '{n}'" for n, p in patterns.items())
+        labels = " ".join(f"WHEN count(*) FILTER (regexp_matches({c}, '{p}')) > 0.7 * count({c}) THEN '{n}'" for n, p in PATTERNS.items())
         pattern = "NULL::VARCHAR" if number else f"CASE {labels} END"
         kind = {"balance": "double", "five": "int"}.get(c, "string")
         parts.append(f"""SELECT '{c}' AS column, '{kind}' AS type, count(*) AS rows, count(*) - count({c}) AS null_count,

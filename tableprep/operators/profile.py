@@ -19,9 +19,9 @@ from tableprep.scratch import written
 # Patterns a text column is tested for, in this order, and the share that must match.
 PATTERNS = {
     "EMAIL": r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\z",
-    "SIRET": r"^[0-9]{14}\z",
-    "NIR": r"^[12][0-9]{12}([0-9]{2})?\z",
-    "IBAN": r"^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\z",
+    "SIRET": r"^\d{14}\z",
+    "NIR": r"^[12]\d{12}(\d{2})?\z",
+    "IBAN": r"^[A-Z]{2}\d{2}[A-Z0-9]{11,30}\z",
 }
 PATTERN_SHARE = 0.7
 
