@@ -38,8 +38,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class PrefixEncoder:
     """Encodes pieces of bytes; shares what it learns about tokens between them."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], remembered_pairs: int = REMEMBERED_PAIRS):
+        self.ranks, self.remembered_pairs = ranks, remembered_pairs
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
         #: Whether the merges leave a token as it is after another; by both ranks, -1 for nothing before.
@@ -58,7 +58,7 @@ class PrefixEncoder:
 
     def stays(self, before: int, token: int) -> bool:
         """Whether the merges of both tokens' bytes give exactly these two (or one, if nothing comes before)."""
-        if len(self.pairs) > REMEMBERED_PAIRS:
+        if len(self.pairs) > self.remembered_pairs:
             self.pairs.clear()
         second = self.tokens[token]
         first = [self.tokens[before]] if before >= 0 else []
@@ -143,14 +143,14 @@ class EditableText:
 class Pieces:
     """Packed ids of pieces, by their text; remembers those of the last texts."""
 
-    def __init__(self, encoder: PrefixEncoder):
-        self.encoder = encoder
+    def __init__(self, encoder: PrefixEncoder, remembered: int = REMEMBERED):
+        self.encoder, self.remembered = encoder, remembered
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
     def encode_all(self, texts: list[list[str]]) -> list[bytes]:
         """The packed ids of texts that are given as their pieces."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.known, self.before = {}, self.known
         known, before = self.known, self.before
         new = set().union(*texts).difference(known)
@@ -180,11 +180,31 @@ class Pieces:
 _LEARNT: dict[str, Pieces] = {}
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text") -> DataFrame:
+class Decoder:
+    """The bytes of ids."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
+        self.known = np.array([bool(token) for token in self.tokens], bool)
+
+    def decode(self, packed_ids: bytes) -> bytes:
+        ids = np.frombuffer(packed_ids, "<u4")
+        if ids.size and (ids.max() >= len(self.tokens) or not self.known[ids].all()):
+            raise ValueError("an id is not in the vocabulary")
+        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+
+
+def encode(
+    docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", remembered: int = REMEMBERED,
+    remembered_pairs: int = REMEMBERED_PAIRS, verify: bool = False,
+) -> DataFrame:
     """``docs`` with ``token_ids`` (little-endian unsigned 32-bit integers, packed) and ``n_tokens``.
 
     Each match of ``pattern`` is encoded by itself. The ranks are sent to each executor once: their
-    size is that of the vocabulary.
+    size is that of the vocabulary. ``verify`` adds ``round_trip``, whether the decoded ids are the text's bytes. What a worker
+    remembers costs it about 250 bytes a piece and 150 a pair.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     key = uuid.uuid4().hex
@@ -192,16 +212,21 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
     def start():
         if key not in _LEARNT:  # a worker process keeps what it has learnt for its next task
             _LEARNT.clear()
-            _LEARNT[key] = Pieces(PrefixEncoder(shared.value))
+            _LEARNT[key] = Pieces(PrefixEncoder(shared.value, remembered_pairs), remembered)
         pieces, split = _LEARNT[key], regex.compile(pattern).findall
+        decoder = Decoder(shared.value) if verify else None
 
         def work(part: pa.RecordBatch):
-            ids = pieces.encode_all([split(text) if text else [] for text in part.column(0).to_pylist()])
-            return {"token_ids": packed(ids), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64())}
+            texts = part.column(0).to_pylist()
+            ids = pieces.encode_all([split(text) if text else [] for text in texts])
+            made = {"token_ids": packed(ids), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64())}
+            if decoder:
+                made["round_trip"] = pa.array([decoder.decode(x) == (t or "").encode("utf-8") for x, t in zip(ids, texts)], pa.bool_())
+            return made
 
         return work
 
-    return add_columns(docs, text_col, "token_ids binary, n_tokens bigint", start)
+    return add_columns(docs, text_col, "token_ids binary, n_tokens bigint" + ", round_trip boolean" * verify, start)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "token_ids") -> DataFrame:
@@ -212,18 +237,11 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "token_id
     names = [f.name for f in schema]
 
     def run(batches):
-        tokens = [b""] * (max(shared.value.values(), default=-1) + 1)
-        for token, rank in shared.value.items():
-            tokens[rank] = token
-        known = np.array([bool(token) for token in tokens], bool)
+        decoder = Decoder(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part, found = batch.slice(at, 256), []
-                for value in part.column(where):
-                    ids = np.frombuffer(value.as_py() or b"", "<u4")
-                    if ids.size and (ids.max() >= len(tokens) or not known[ids].all()):
-                        raise ValueError("an id is not in the vocabulary")
-                    found.append(b"".join(map(tokens.__getitem__, ids.tolist())))
+                part = batch.slice(at, 256)
+                found = [decoder.decode(value.as_py() or b"") for value in part.column(where)]
                 yield pa.RecordBatch.from_arrays([*part.columns, packed(found)], [*names, "decoded"])
 
     taken = encoded.select(*(F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)))
