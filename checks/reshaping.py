@@ -147,7 +147,7 @@ def chart_labels(spark, sf):
     SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round(hour_of_day, 6) AS hour_of_day FROM (
       SELECT ts, hour(ts) + minute(ts) / 60.0::DOUBLE AS hour_of_day FROM events ORDER BY ts LIMIT 500)""")
 def timeline(spark, sf):
-    return tp.timeline(table(spark, sf, "events"), "ts").select(
+    return tp.timeline(table(spark, sf, "events"), "ts", k=500).select(
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.round("hour_of_day", 6).alias("hour_of_day")
     )
 
@@ -156,4 +156,4 @@ def timeline(spark, sf):
     SELECT strftime(d, '%Y-%m-%d') AS date, n AS count FROM (
       SELECT o_orderdate::DATE AS d, count(*) AS n FROM orders GROUP BY d ORDER BY d LIMIT 100)""")
 def daily_counts(spark, sf):
-    return tp.daily_counts(table(spark, sf, "orders"), "o_orderdate").withColumn("date", F.col("date").cast("string"))
+    return tp.daily_counts(table(spark, sf, "orders"), "o_orderdate", k=100).withColumn("date", F.col("date").cast("string"))

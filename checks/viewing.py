@@ -149,7 +149,7 @@ def geo_around(spark, sf):
 @check("map_points", f"""
     SELECT lat, lng, label FROM (SELECT TRY_CAST(lat AS DOUBLE) AS lat, TRY_CAST(lon AS DOUBLE) AS lng,
       CAST(id AS VARCHAR) AS label FROM ({PLACES}))
-    WHERE lat IS NOT NULL AND lng IS NOT NULL ORDER BY lat, lng, label LIMIT 1000""")
+    WHERE lat IS NOT NULL AND lng IS NOT NULL""")
 def map_points(spark, sf):
     return tp.map_points(places(spark, sf))
 
