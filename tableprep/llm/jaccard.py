@@ -337,7 +337,9 @@ def link_components(
     total = texts.agg(F.sum("n")).first()[0] or 0
     met = shared_names(docs.select("text"), make, parts_for(total * 5 * (100 - least) / (100 + least)))
     named = classes.select(F.col("name1").alias("owner"), "node")
-    rooted = written(met, "roots").join(named, "owner").select(F.col("name").alias("key"), "node")
+    # Each text once below a root: runs that hold copies of one text send its name and owner several times. The window needs
+    # the rows by key too, so that is the one shuffle.
+    rooted = written(met, "roots").join(named, "owner").select(F.col("name").alias("key"), "node").repartition("key").distinct()
     root = Window.partitionBy("key")
     shared = rooted.withColumn("first", F.min("node").over(root)).withColumn("last", F.max("node").over(root))
     shared = written(shared.where("first < last").select("key", "node", "first"), "roots")

@@ -204,6 +204,22 @@ def test_jaccard_blocks_of_a_large_root(spark, monkeypatch):
     assert found == plain_components(texts, 85, 2)
 
 
+@pytest.mark.parametrize("copies", [2, 4])
+def test_jaccard_links_below_roots_that_hold_copies(spark, copies):
+    """Two texts that link meet only below roots that another comes first at; a fourth one is below one of its roots."""
+    base = [f"s16w{k}" for k in range(90)]
+    apart = {0, 2, 4, 6, 8, 9, 17, 27, 31, 34, 35, 36, 43, 45, 56, 57, 61, 73, 79, 82, 83}
+    fill = (2, 3, 6, 11, 33, 40, 47, 49, 50, 51, 55, 59, 68, 70, 79, 85, 86, 87, 92, 104, 106)
+    first = [w for k, w in enumerate(base) if k not in apart] + [f"s16f{k}" for k in fill]
+    near = [f"s16d{k}" for k in range(10)] + base[10:]
+    fourth = [base[k] for k in (80, 1, 85, 52)] + [f"s16a5_{k}" for k in range(91) if k not in (11, 33, 35, 50, 74)]
+    family = [" ".join(words) for words in (first, base, near, fourth)]
+    texts = {c * 4 + k: text for c in range(copies) for k, text in enumerate(family)}  # each partition holds one of each
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(list(texts.items()), copies), "doc_id bigint, text string")
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link_components(docs, 80, 1).collect()}
+    assert found == plain_components(texts, 80, 1) and {c for _, c in found.values()} == {0, 1, 3}
+
+
 def test_rtree_prunes_no_pair_that_may_link():
     draw = np.random.default_rng(3)
     base = draw.integers(0, 6, (8, 32))
