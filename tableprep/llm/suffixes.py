@@ -13,10 +13,14 @@ bytes. Three steps:
 3. From the common prefixes of neighbours and hashes of the left sides follows, for each place of a stretch around an
    anchor, the smallest id that has it too.
 
+A gram that very many texts have would be one range however the others are cut, as its suffixes must meet for their left
+sides. Such grams are counted exactly after step 1; each stretch around them is dealt out by a hash of its own instead,
+from each run only for the run's smallest id.
+
 Cases: a null text is empty; texts shorter than ``length`` lose nothing; texts are read whole; repeats within one text are kept;
 rows with the same id count as one text for each other and lose the same stretches that a smaller id has (their own
 places); rows without id keep all; an empty table gives an empty one. Hashes have 64 bits: two unequal stretches are taken for
-equal with a chance of about 2**-64 for each pair below a common gram.
+equal with a chance of about 2**-64 for each pair below a common gram (around frequent grams: for each pair of stretches).
 """
 
 from __future__ import annotations
@@ -32,11 +36,14 @@ from pyspark.sql import functions as F
 from tableprep.llm.arrow import add_columns, bounded_batches, packed, release, slices, text_bytes, tidy
 from tableprep.llm.meeting import MAX_PARTS, parts_for, shared_names, short_names
 from tableprep.llm.words import ByteHashes, mix
+from tableprep.scratch import written
 
 #: Bytes that an anchor is chosen by.
 GRAM = 20
 #: Suffixes in one range of the second exchange, and in one sorted run.
 RANGE, RUN = 60_000, 120_000
+#: Names that are counted at once.
+COUNTED = 4_000_000
 #: Texts that the splitters are drawn from, about, and places taken in each.
 SAMPLED_TEXTS, SAMPLED_PLACES = 2_000, 8
 
@@ -69,14 +76,48 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
 
 
 def _shared_grams(texts: DataFrame, length: int, parts: int) -> DataFrame:
-    """For each id the names of its grams that may occur in other texts too: ``id``, ``names``."""
+    """The names of each text's grams that may occur in other texts too: ``owner``, ``name``."""
 
     def make(piece: pa.RecordBatch):
         _, hashes, owner = anchors(*text_bytes(piece.column(0)), length)
         return hashes, owner, piece.column(1).to_numpy()
 
-    found = shared_names(texts.select("text", "id"), make, parts)
-    return found.groupBy(F.col("owner").alias("id")).agg(F.collect_list("name").alias("names"))
+    return written(shared_names(texts.select("text", "id"), make, parts), "grams")
+
+
+def _frequent(grams: DataFrame) -> tuple[np.ndarray, int]:
+    """The names that more than :data:`RANGE` texts have (and some that half as many have), sorted, and their texts in all.
+
+    Of ``n`` batches, only names that occur ``RANGE / 2n`` times in one are told. A name loses less than ``RANGE / 2``
+    by that, so those told more than ``RANGE / 2`` times are all.
+    """
+    total = grams.count()
+    if total <= RANGE // 2:
+        return np.empty(0, np.uint64), 0
+    least = max(1, RANGE // (2 * (total // COUNTED + grams.rdd.getNumPartitions())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def flush() -> pa.RecordBatch:
+            name, count = np.unique(np.concatenate(held), return_counts=True)
+            told = count >= least
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(name[told]), pa.array(count[told])], ["name", "n"])
+
+        for batch in batches:
+            held.append(batch.column(0).to_numpy())
+            n += batch.num_rows
+            if n >= COUNTED:
+                yield flush()
+                n = 0
+        if held:
+            yield flush()
+
+    bounded_batches(grams.sparkSession)
+    told = grams.select("name").mapInArrow(tidy(run), "name bigint, n bigint").groupBy("name").agg(F.sum("n").alias("n"))
+    rows = told.where(F.col("n") > RANGE // 2).collect()
+    return np.sort(np.array([r.name for r in rows], np.int64).view(np.uint64)), sum(r.n for r in rows)
 
 
 class _Run:
@@ -247,19 +288,73 @@ def _repeats(keys: np.ndarray, common: np.ndarray, ids: np.ndarray, places: np.n
     return ids[hit], (places - most)[hit], (places - least + length)[hit]
 
 
-def _stretches(texts: DataFrame, names: DataFrame, length: int, parts: int, splitters: list[bytes]) -> DataFrame:
-    """Repeated stretches: id, from, to (byte places, to exclusive), overlapping ones too."""
-    shared = texts.sparkSession.sparkContext.broadcast(np.array(splitters, f"S{GRAM}"))
+def _starts(at: np.ndarray, owner: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """All places where a stretch around one of the anchors begins, and the numbers of their texts."""
+    start = (at[:, None] - np.arange(length - GRAM + 1)).ravel()
+    owner = np.repeat(owner, length - GRAM + 1)
+    inside = (start >= offsets[owner]) & (start + length <= offsets[owner + 1])
+    start, first = np.unique(start[inside], return_index=True)
+    return start, owner[inside][first]
+
+
+def _split_by_first(names: np.ndarray, ids: np.ndarray, places: np.ndarray, length: int):
+    """Stretches in order of their names: those of each name's smallest id (names, ids, places), and the others as
+    ids, from, to, neighbours in one."""
+    order = np.lexsort((ids, names))
+    names, ids, places = names[order], ids[order], places[order]
+    new = np.ones(len(names), bool)
+    new[1:] = names[1:] != names[:-1]
+    starts = np.flatnonzero(new)
+    again = ids > np.repeat(ids[starts], np.diff(np.append(starts, len(ids))))
+    own, place = ids[again], places[again]
+    order = np.lexsort((place, own))
+    own, place = own[order], place[order]
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]) | (place[1:] > place[:-1] + length)
+    last = np.append(np.flatnonzero(new)[1:], len(own)) - 1
+    return (names[~again], ids[~again], places[~again]), (own[new], place[new], place[last[: int(new.sum())]] + length)
+
+
+def _frequent_rows(names, ids, places, length, base, parts) -> Iterator[pa.RecordBatch]:
+    """A run of hashed stretches as rows, one for each part of the hashes, numbered from ``base``."""
+    (names, ids, places), sure = _split_by_first(names, ids, places, length)
+    part = (((names >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+    cuts = np.searchsorted(part, np.arange(parts + 1))
+    for number, k in enumerate(np.flatnonzero(np.diff(cuts))):
+        rows = slice(cuts[k], cuts[k + 1])
+        more = sure if not number else [c[:0] for c in sure]
+        columns = names[:0], names[rows], ids[rows], places[rows].astype(np.int32), more[0], *(c.astype(np.int32) for c in more[1:])
+        yield pa.RecordBatch.from_arrays([pa.array([base + k], pa.int32()), *_squeeze(*columns)], RUN_FIELDS)
+
+
+def _stretches(
+    texts: DataFrame, names: DataFrame, length: int, parts: int, splitters: list[bytes], frequent: np.ndarray, n_frequent: int
+) -> DataFrame:
+    """Repeated stretches: id, from, to (byte places, to exclusive), overlapping ones too.
+
+    ``frequent``: sorted names of grams whose stretches, around ``n_frequent`` places or so, are dealt out one by one.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast((np.array(splitters, f"S{GRAM}"), frequent))
     width = 2 * length - GRAM + 2
+    ranges = len(splitters) + 1
+    hashed = int(min(max(n_frequent * (length - GRAM + 1) / 4 / RANGE, 1), MAX_PARTS))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids, places, n, number = [], [], [], 0, 0
+        around, n_around = ([], [], []), 0
+        splitters, frequent = shared.value
 
         def flush() -> Iterator[pa.RecordBatch]:
             if n:
-                yield from _run_rows(*map(np.concatenate, (keys, ids, places)), shared.value, length, int(ids[0][0]) + number)
+                yield from _run_rows(*map(np.concatenate, (keys, ids, places)), splitters, length, int(ids[0][0]) + number)
             keys.clear(), ids.clear(), places.clear()
 
+        def flush_around() -> Iterator[pa.RecordBatch]:
+            if n_around:
+                yield from _frequent_rows(*map(np.concatenate, around), length, ranges, hashed)
+            for column in around:
+                column.clear()
+
         for piece in slices(batches):
             data, offsets = text_bytes(piece.column(0))
             at, hashes, owner = anchors(data, offsets, length)
@@ -267,7 +362,20 @@ def _stretches(texts: DataFrame, names: DataFrame, length: int, parts: int, spli
             lengths = np.diff(wanted.offsets.to_numpy())
             of = np.repeat(np.arange(len(lengths)), lengths).astype(np.uint64)
             turn = lambda name, text: mix(name + mix(text.astype(np.uint64) + np.uint64(1)))
-            chosen = np.isin(turn(short_names(hashes, parts), owner), turn(wanted.flatten().to_numpy().view(np.uint64), of))
+            names = short_names(hashes, parts)
+            chosen = np.isin(turn(names, owner), turn(wanted.flatten().to_numpy().view(np.uint64), of))
+            if len(frequent):
+                often = chosen & np.isin(names, frequent)
+                start, text = _starts(at[often], owner[often], offsets, length)
+                if len(start):
+                    mine = ByteHashes(data).between(start, start + length), piece.column(1).to_numpy()[text], start - offsets[text]
+                    for column, values in zip(around, mine):
+                        column.append(values)
+                    n_around += len(start)
+                    if n_around > 4 * RUN:
+                        yield from flush_around()
+                        n_around = 0
+                chosen &= ~often
             at, owner = at[chosen], owner[chosen]
             keys.append(_keys(data, offsets, at, owner, length))
             ids.append(piece.column(1).to_numpy()[owner])
@@ -277,8 +385,11 @@ def _stretches(texts: DataFrame, names: DataFrame, length: int, parts: int, spli
                 yield from flush()
                 n, number = 0, number + 1
         yield from flush()
+        yield from flush_around()
 
     def merge(table: pa.Table) -> pa.Table:
+        if table["part"][0].as_py() >= ranges:
+            return merge_hashed(table)
         told, runs_, keys, ids, places = [], [], [], [], []
         for row in zip(*(table[c] for c in RUN_FIELDS[1:])):
             common, tails, own, place, *sure = (zlib.decompress(v.as_buffer()) for v in row)
@@ -294,6 +405,19 @@ def _stretches(texts: DataFrame, names: DataFrame, length: int, parts: int, spli
         order = np.array([bases[r] + i for r, i in order], np.int64)
         keys, ids, places = (np.concatenate(c)[order] for c in (keys, ids, places))
         told.append(_repeats(keys, np.array(common, np.int64), ids, places, length))
+        return as_table(told)
+
+    def merge_hashed(table: pa.Table) -> pa.Table:
+        told, rows = [], []
+        for row in zip(*(table[c] for c in RUN_FIELDS[2:])):
+            name, own, place, *sure = (zlib.decompress(v.as_buffer()) for v in row)
+            told.append([np.frombuffer(v, t) for v, t in zip(sure, (np.int64, np.int32, np.int32))])
+            rows.append([np.frombuffer(v, t) for v, t in zip((name, own, place), (np.uint64, np.int64, np.int32))])
+        names, ids, places = (np.concatenate([r[k] for r in rows]) for k in range(3))
+        told.append(_split_by_first(names, ids, places, length)[1])
+        return as_table(told)
+
+    def as_table(told: list) -> pa.Table:
         own, start, stop = (np.concatenate([t[k] for t in told]) for k in range(3))
         release()
         return pa.table({"id": pa.array(own, pa.int64()), "from": pa.array(start, pa.int32()), "to": pa.array(stop, pa.int32())})
@@ -339,7 +463,9 @@ def find_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     parts = parts_for(total)
     ranges = int(min(max(total / 4 / RANGE, 1), len(drawn) + 1, MAX_PARTS))
     cuts = sorted({drawn[k * len(drawn) // ranges] for k in range(1, ranges)}) if drawn else []
-    found = _stretches(texts, _shared_grams(texts, length, parts), length, parts, cuts)
+    grams = _shared_grams(texts, length, parts)
+    names = grams.groupBy(F.col("owner").alias("id")).agg(F.collect_list("name").alias("names"))
+    found = _stretches(texts, names, length, parts, cuts, *_frequent(grams))
     by_id = found.groupBy("id").agg(F.collect_list(F.struct("from", "to")).alias("found"))
 
     def start():

@@ -263,6 +263,26 @@ def test_repeats_against_all_stretches(spark, monkeypatch):
     assert found == plain_removal(texts, 50)
 
 
+def test_repeats_of_a_frequent_gram_meet_in_many_parts(spark, monkeypatch):
+    """A phrase that goes on differently in each text, in short words and in passages before and after it."""
+    monkeypatch.setattr(suffixes, "RANGE", 40)
+    draw = random.Random(12)
+    text = lambda n: "".join(draw.choice("abcdefghij ") for _ in range(n))
+    sides = [text(45) for _ in range(30)]
+    phrase = text(40)
+    texts = {k: (text(60) + draw.choice(sides))[-draw.randint(0, 80) :] + phrase + (draw.choice(sides) + text(60))[: draw.randint(0, 80)] for k in range(400)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    sent, group = [], type(docs).groupBy
+    monkeypatch.setattr(type(docs), "groupBy", lambda df, *c: (sent.append(df) if "sure_ids" in df.columns else None, group(df, *c))[1])
+    found = {r.doc_id: ([(s["from"], s["to"]) for s in r.spans], bytes(r.kept)) for r in suffixes.remove_spans(suffixes.find_repeats(docs)).collect()}
+    assert found == plain_removal(texts, 50)
+    assert sum(len(spans) > 0 for spans, _ in found.values()) > 100
+    sizes = {}
+    for row in sent[0].collect():
+        sizes[row.part] = sizes.get(row.part, 0) + len(zlib.decompress(row.ids)) // 8
+    assert max(sizes.values()) <= 400
+
+
 def test_loser_tree_merges_and_keeps_common_prefixes():
     draw = random.Random(2)
     for runs in (0, 1, 2, 5, 9):
