@@ -193,6 +193,22 @@ def merged(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[tuple[int, i
     return order, common
 
 
+def _counts(length: int) -> np.dtype:
+    """The smallest type, highest byte first, that holds a count of bytes up to a key's width."""
+    return next(t for t in map(np.dtype, (">u1", ">u2", ">u4")) if 2 * length - GRAM + 2 * t.itemsize < 1 << 8 * t.itemsize)
+
+
+def _key_width(length: int) -> int:
+    return 2 * length - GRAM + 2 * _counts(length).itemsize
+
+
+def _both_sides(keys: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many bytes of each key are to the right and to the left of its anchor."""
+    kind = _counts(length)
+    counts = np.ascontiguousarray(keys[:, -2 * kind.itemsize :]).view(kind).astype(np.int64)
+    return counts[:, 0], counts[:, 1]
+
+
 def _keys(data: np.ndarray, offsets: np.ndarray, at: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
     """One row of bytes for each anchor: to the right, to the left backwards, and how many of either there are."""
     left = length - GRAM
@@ -201,7 +217,8 @@ def _keys(data: np.ndarray, offsets: np.ndarray, at: np.ndarray, owner: np.ndarr
     n_left = np.minimum(at - offsets[owner], left)
     right = np.where(np.arange(length) < n_right[:, None], around[:, left:], 0)
     before = np.where(np.arange(left) < n_left[:, None], around[:, :left][:, ::-1], 0)
-    return np.concatenate([right, before, n_right[:, None], n_left[:, None]], axis=1).astype(np.uint8)
+    counts = np.stack([n_right, n_left], axis=1).astype(_counts(length)).view(np.uint8)
+    return np.concatenate([right, before, counts], axis=1).astype(np.uint8)
 
 
 def _as_text(keys: np.ndarray) -> np.ndarray:
@@ -232,7 +249,7 @@ def _run_rows(keys, ids, places, splitters, length, spread) -> Iterator[pa.Recor
     group = np.cumsum(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])) - 1
     first = ids[np.searchsorted(group, group)]  # the smallest id with this key
     sure = ids > first
-    n_right, n_left = keys[:, -2].astype(np.int64), keys[:, -1].astype(np.int64)
+    n_right, n_left = _both_sides(keys, length)
     known = [ids[sure], (places - n_left)[sure].astype(np.int32), (places + n_right)[sure].astype(np.int32)]
     keys, ids, places = keys[~sure], ids[~sure], places[~sure]
     part = np.searchsorted(splitters, _as_text(keys[:, :GRAM]), "right")
@@ -245,7 +262,7 @@ def _run_rows(keys, ids, places, splitters, length, spread) -> Iterator[pa.Recor
         tails = keys[rows][np.arange(keys.shape[1]) >= common[:, None]]
         more = known if number == spread % len(chosen) else nothing
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k], pa.int32()), *_squeeze(common.astype(np.uint8), tails, ids[rows], places[rows].astype(np.int32), *more)],
+            [pa.array([k], pa.int32()), *_squeeze(common.astype(_counts(length)), tails, ids[rows], places[rows].astype(np.int32), *more)],
             RUN_FIELDS,
         )
 
@@ -263,7 +280,7 @@ def _decoded(common: np.ndarray, tails: np.ndarray, width: int) -> np.ndarray:
 def _repeats(keys: np.ndarray, common: np.ndarray, ids: np.ndarray, places: np.ndarray, length: int):
     """Ids and stretches (from, to) around anchors that a smaller id has too; the keys are in order."""
     left = length - GRAM
-    n_right, n_left = keys[:, -2].astype(np.int64), keys[:, -1].astype(np.int64)
+    n_right, n_left = _both_sides(keys, length)
     right = np.minimum(common, n_right)
     right[1:] = np.minimum(right[1:], n_right[:-1])
     least, most = np.full(len(ids), left + 1), np.full(len(ids), -1)
@@ -335,7 +352,7 @@ def _stretches(
     ``frequent``: sorted names of grams whose stretches, around ``n_frequent`` places or so, are dealt out one by one.
     """
     shared = texts.sparkSession.sparkContext.broadcast((np.array(splitters, f"S{GRAM}"), frequent))
-    width = 2 * length - GRAM + 2
+    width = _key_width(length)
     ranges = len(splitters) + 1
     hashed = int(min(max(n_frequent * (length - GRAM + 1) / 4 / RANGE, 1), MAX_PARTS))
 
@@ -394,7 +411,7 @@ def _stretches(
         for row in zip(*(table[c] for c in RUN_FIELDS[1:])):
             common, tails, own, place, *sure = (zlib.decompress(v.as_buffer()) for v in row)
             told.append([np.frombuffer(v, t) for v, t in zip(sure, (np.int64, np.int32, np.int32))])
-            common = np.frombuffer(common, np.uint8).astype(np.int64)
+            common = np.frombuffer(common, _counts(length)).astype(np.int64)
             keys.append(_decoded(common, np.frombuffer(tails, np.uint8), width))
             ids.append(np.frombuffer(own, np.int64))
             places.append(np.frombuffer(place, np.int32).astype(np.int64))

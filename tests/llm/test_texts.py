@@ -283,6 +283,17 @@ def test_repeats_of_a_frequent_gram_meet_in_many_parts(spark, monkeypatch):
     assert max(sizes.values()) <= 400
 
 
+@pytest.mark.parametrize("length", [140, 300])
+def test_repeats_of_long_stretches(spark, length):
+    draw = random.Random(length)
+    text = lambda n: "".join(draw.choice("abcdefghij ") for _ in range(n))
+    passages = [text(draw.randint(length - 10, 2 * length)) for _ in range(5)]
+    texts = {k: text(draw.randint(0, 400)) + draw.choice(passages) + text(draw.randint(0, 400)) for k in range(40)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    found = {r.doc_id: ([(s["from"], s["to"]) for s in r.spans], bytes(r.kept)) for r in suffixes.remove_spans(suffixes.find_repeats(docs, length)).collect()}
+    assert found == plain_removal(texts, length) and any(spans for spans, _ in found.values())
+
+
 def test_loser_tree_merges_and_keeps_common_prefixes():
     draw = random.Random(2)
     for runs in (0, 1, 2, 5, 9):
