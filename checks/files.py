@@ -3,6 +3,8 @@
 The files go to the cluster's shared folder (``spark.checkpoint.dir``).
 """
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 import tableprep as tp
@@ -100,6 +102,43 @@ BROKEN = """SELECT c_custkey || ',"' || c_name || ',x"' || CASE WHEN c_mktsegmen
     ELSE ',' || c_mktsegment END AS value, c_mktsegment = 'BUILDING' AS long, c_mktsegment <> 'BUILDING' AND c_nationkey = 3 AS short FROM customer"""
 
 
+@check("quoted_breaks", """
+    SELECT doc_id, lang, replace(text, chr(13), ' ') || '"' || chr(10) || ',"' || source || '"' AS text, n_chars FROM documents""")
+def quoted_breaks(spark, sf):
+    """Whole texts with line breaks and quotes, in files that are cut into blocks of a fraction of their size."""
+    path = new_path(spark, "breaks")
+    text = F.concat(F.replace("text", F.lit("\r"), F.lit(" ")), F.lit('"\n,"'), "source", F.lit('"'))
+    tp.write_delimited(table(spark, sf, "documents").select("doc_id", "lang", text.alias("text"), "n_chars"), path)
+    with small_blocks(spark):
+        found = tp.read_delimited(spark, path)
+    return typed(found, {"doc_id": "bigint", "n_chars": "bigint"})
+
+
+@check("json_array", "SELECT event_id, event_type, value, props FROM events")
+def json_array(spark, sf):
+    """An array of objects in a file, cut into blocks of a fraction of its size."""
+    path = new_path(spark, "array")
+    events = table(spark, sf, "events").select("event_id", "event_type", "value", "props")
+    # One file for each hundred thousand events, each an array on one line.
+    file = F.floor(F.col("event_id") / 100_000).alias("file")
+    arrays = events.groupBy(file).agg(F.to_json(F.collect_list(F.struct(*events.columns))).alias("value"))
+    arrays.select("value").write.text(path)
+    with small_blocks(spark):
+        return tp.read_json(spark, path, multiline=True, schema=events.schema)
+
+
+@contextmanager
+def small_blocks(spark):
+    """Blocks of 256 KB, so that files of test size are cut as files of many gigabytes are."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(256 << 10))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def broken_lines(spark, sf):
     path = new_path(spark, "broken")
     value = F.expr("""concat(c_custkey, ',"', c_name, ',x"', CASE WHEN c_mktsegment = 'BUILDING' THEN ',1,2' WHEN c_nationkey = 3 THEN ''

@@ -206,7 +206,7 @@ def jagged_rows(spark: SparkSession, path: str, sep: str | None = None, encoding
         F.count("*").alias("n"), F.min("at").alias("first_at"),
         F.min_by(F.when(F.col("block") == 0, width), "at").alias("width"),
     )
-    with _same_splits(spark):
+    with same_splits(spark):
         # Written, so Spark knows its size when it chooses the join.
         starts = written(_block_starts(blocks), "blocks")
         found = lines.withColumn("actual", width).join(starts, ["file", "block"]).where("actual <> expected")
@@ -221,7 +221,7 @@ def jagged_rows(spark: SparkSession, path: str, sep: str | None = None, encoding
 
 
 @contextmanager
-def _same_splits(spark: SparkSession) -> Iterator[None]:
+def same_splits(spark: SparkSession) -> Iterator[None]:
     """Two scans of the same files cut them at the same places, though executors come and go."""
     name = "spark.sql.files.minPartitionNum"
     if spark.conf.get(name, None):

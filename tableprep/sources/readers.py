@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import io
 from collections.abc import Sequence
 from functools import reduce
 
@@ -13,7 +14,8 @@ from pyspark.sql import types as T
 from tableprep.functions.names import normalize_names
 from tableprep.scratch import written
 from tableprep.session import allow_java_charsets
-from tableprep.sources.detect import detect_format, headers, inspect_delimited
+from tableprep.sources.detect import detect_format, detect_newline, headers, inspect_delimited
+from tableprep.sources.records import split_array, split_delimited
 
 CORRUPT = "_corrupt_record"
 
@@ -36,8 +38,9 @@ def read_delimited(
     just the bad ones, ``drop`` leaves them out.
 
     Files that order their columns differently are read by name; files with other columns raise.
-    ``multiline`` accepts line breaks inside quotes. Such files cannot be split: one task reads each. If it is not given, it
-    is on when lines have quotes that the next line closes; a quote that is never closed raises.
+    ``multiline`` accepts line breaks inside quotes. All tasks look for the records of such files (see
+    :mod:`tableprep.sources.records`), which are read twice and written once to the shared folder. If it is not given, it
+    is on when lines have quotes that the next line closes; then a quote that is never closed raises.
 
     Detection reads the files once for encoding, delimiter and quotes, the first lines once, and once
     for the types: for large inputs give ``sep``, ``encoding``, ``multiline`` and ``schema``.
@@ -46,27 +49,39 @@ def read_delimited(
         raise ValueError("bad_rows must be 'raise', 'drop', 'keep' or 'only'")
     if None in (sep, encoding, multiline):
         info = inspect_delimited(spark, path)
-        if multiline is None and info.open_quote:
-            raise ValueError("a quote is not closed; give multiline=False to read such lines one by one, or True")
         sep, encoding = sep or info.delimiter, encoding or info.encoding
-        multiline = info.quoted_breaks if multiline is None else multiline
+        detected = multiline is None
+        multiline = info.quoted_breaks if detected else multiline
+    else:
+        detected = False
     allow_java_charsets(spark)
+    split = split_delimited(spark, path, sep, encoding, header) if multiline and detect_newline(spark, path) != "\r" else None
+    if detected and (split.open_quote if split else multiline and info.open_quote):
+        raise ValueError("a quote is not closed; give multiline=False to read such lines one by one, or True")
     # Without column pruning each row is parsed in full, so bad rows are found in every query.
     options = {
         "header": header, "sep": sep, "encoding": encoding, "quote": '"', "escape": '"', "columnPruning": False,
         "multiLine": multiline,
     }
-    groups = {"": [path]} if not header else headers(spark, path, encoding)
+    if split:
+        groups = {line: [folder] for line, folder in split.folders.items()}
+        options |= {"header": False, "encoding": "UTF-8", "multiLine": False, "lineSep": split.separator}
+        if len(groups) == 1 and schema is None:
+            [(line, files)] = groups.items()
+            schema = _schema(spark, files, options, None if line is None else _safe_names(spark, line, sep))
+    else:
+        groups = {"": [path]} if not header else headers(spark, path, encoding)
     if len(groups) <= 1:
-        return _read_files(spark, [path], options, schema, None, normalize, bad_rows)
-    names = {line: next(csv.reader([line], delimiter=sep)) for line in groups}
+        files = next(iter(groups.values())) if split else [path]
+        return _read_files(spark, files, options, schema, None, normalize, bad_rows)
+    names = {line: next(csv.reader(io.StringIO(line, newline=""), delimiter=sep)) for line in groups}
     first = next(iter(names.values()))
     if any(sorted(n) != sorted(first) for n in names.values()) or len(set(first)) < len(first):
         raise ValueError(f"the files have different columns: {sorted(map(sorted, names.values()))[:3]}")
     if schema is not None and len(schema) != len(first):
         raise ValueError(f"the schema has {len(schema)} columns, the files have {len(first)}")
     if schema is None:
-        found = [spark.read.options(inferSchema=True, **options).csv(files).schema for files in groups.values()]
+        found = [_schema(spark, files, options, names[line] if split else None) for line, files in groups.items()]
         types = {n: {s[n].dataType.simpleString() for s in found} for n in first}
         # A type that all files agree on, else text.
         schema = T.StructType([T.StructField(n, found[0][n].dataType if len(types[n]) == 1 else T.StringType()) for n in first])
@@ -76,6 +91,21 @@ def read_delimited(
     return reduce(DataFrame.unionByName, parts)
 
 
+def _schema(spark: SparkSession, files: list[str], options: dict, names: list[str] | None) -> T.StructType:
+    """The types found in files; ``names`` are those of a header that the files do not hold themselves."""
+    found = spark.read.options(inferSchema=True, **options).csv(files).schema
+    if names is None:
+        return found
+    types = [f.dataType for f in found.fields] + [T.StringType()] * len(names)
+    return T.StructType([T.StructField(n, t) for n, t in zip(names, types)])
+
+
+def _safe_names(spark: SparkSession, line: str, sep: str) -> list[str]:
+    """The names that Spark gives to the columns of a file with this header."""
+    options = {"header": True, "sep": sep, "quote": '"', "escape": '"', "lineSep": "\x1e"}
+    return spark.read.options(**options).csv(spark.sparkContext.parallelize([line], 1)).columns
+
+
 def _read_files(spark, files, options, schema, order, normalize, bad_rows) -> DataFrame:
     """Files with one header; ``order`` names their columns, where it is not the order of ``schema``."""
     if schema is None:
@@ -99,8 +129,11 @@ def _read_files(spark, files, options, schema, order, normalize, bad_rows) -> Da
 def read_json(spark: SparkSession, path: str, multiline: bool = False, schema: T.StructType | None = None) -> DataFrame:
     """One object per line, or with ``multiline`` an array of objects per file.
 
-    Spark cannot split a multi-line file, so one task reads each; prefer lines for large data.
+    All tasks look for the objects of an array (see :mod:`tableprep.sources.records`): the files are read twice and written once to
+    the shared folder as lines. Other multi-line files, with one object each, are read by one task each.
     """
+    if multiline and (folder := split_array(spark, path)):
+        multiline, path = False, folder
     reader = spark.read.option("multiLine", multiline)
     return (reader.schema(schema) if schema else reader).json(path)
 
