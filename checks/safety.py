@@ -21,7 +21,7 @@ def near_pairs_dense(spark, sf):
     SELECT a.v AS v1, b.v AS v2, levenshtein(a.v, b.v)::INTEGER AS distance FROM (SELECT DISTINCT s_name AS v FROM supplier) a
     JOIN (SELECT DISTINCT s_name AS v FROM supplier) b ON a.v < b.v AND levenshtein(a.v, b.v) <= 1""")
 def near_pairs_cut(spark, sf):
-    return tp.near_pairs(table(spark, sf, "supplier"), "s_name", 1, bucket_limit=20, direct_pairs=0)
+    return tp.near_pairs(table(spark, sf, "supplier"), "s_name", 1, bucket_limit=20)
 
 
 @check("near_clusters_dense", """

@@ -8,11 +8,14 @@ places. So an equi-join on pieces finds all candidates.
 A piece that many values share would make one bucket with a quadratic number of candidates. Such a
 bucket is not joined. Two values in it are within ``d`` edits only if what is left of them *without*
 the piece is within ``d`` edits as well, so the rests are cut into pieces again, and the bucket falls
-apart into smaller ones. This repeats until no bucket is large, few pairs are left, or cutting leaves more than half of
-the pairs: values that dense are compared pair by pair, spread over all tasks.
+apart into smaller ones, until none is large. What all rests of a bucket begin or end with goes first: it takes no part in the distance.
+
+One edit needs no pieces: two values that differ in one character are equal without it. An equi-join on the place and the value
+without that character finds just these pairs, however dense the values are (up to ``LONG`` characters).
 
 The number of pairs can be quadratic in the number of values when they really are all close, so ``near_pairs`` can be
-given a limit above which it raises. ``near_clusters`` needs no pairs: it keeps one neighbour for each value and round.
+given a limit above which it raises. ``near_clusters`` needs no pairs: values that are equal without a character are linked to the first of
+them, and where more edits are allowed, only buckets that hold more than one of these groups are looked at.
 """
 
 from __future__ import annotations
@@ -29,8 +32,8 @@ from tableprep.scratch import remove, written
 
 # A bucket is cut further when both of its sides hold more values than this.
 BUCKET_LIMIT = 100
-# So many pairs are compared sooner than they are cut: a level of cutting takes several jobs.
-DIRECT_PAIRS = 20_000_000
+# Up to so many characters, values are compared without one of them; longer ones would make too many copies.
+LONG = 64
 
 
 def _array(rows: list[str]) -> Column:
@@ -44,8 +47,8 @@ def _piece_keys(state: DataFrame, moves: list[tuple[int, int, int]], d: int) ->
     key holds the piece; the new rest is the text around it.
     """
     table = _array([f"struct({delta} as delta, {i} as i, {shift} as shift)" for delta, i, shift in moves])
-    rows = state.select("value", "letters", "rest", "ctx", F.length("rest").alias("m"), F.explode(table).alias("p"))
-    rows = rows.select("value", "letters", "rest", "ctx", "m", "p.*").withColumn("n", F.col("m") - F.col("delta"))
+    rows = state.select("value", "letters", "grp", "rest", "ctx", F.length("rest").alias("m"), F.explode(table).alias("p"))
+    rows = rows.select("value", "letters", "grp", "rest", "ctx", "m", "p.*").withColumn("n", F.col("m") - F.col("delta"))
     base, first_longer = F.expr(f"n div {d + 1}").cast("int"), F.expr(f"{d + 1} - n % {d + 1}")
     rows = rows.where(F.col("n") > d).select(
         "*",
@@ -56,6 +59,7 @@ def _piece_keys(state: DataFrame, moves: list[tuple[int, int, int]], d: int) ->
     return rows.selectExpr(
         "value",
         "letters",
+        "grp",
         "xxhash64(ctx, i, n, substring(rest, at + 1, size)) as key",
         "concat(substring(rest, 1, at), substring(rest, at + size + 1, m)) as rest",
         "true as can_split",
@@ -77,10 +81,11 @@ def _kept_keys(state: DataFrame, uses: dict[int, list[tuple[int, int]]]) -> Data
         by_length.append("array(" + ", ".join(rows) + ")")
     table = F.get(_array(by_length), F.length("rest"))
     short = state.where(F.length("rest") <= max(uses))
-    rows = short.select("value", "letters", "rest", "ctx", F.explode(table).alias("k"))
+    rows = short.select("value", "letters", "grp", "rest", "ctx", F.explode(table).alias("k"))
     return rows.selectExpr(
         "value",
         "letters",
+        "grp",
         "xxhash64(ctx, -1, k.n, k.kept, array_join(transform(k.at, x -> substring(rest, x, 1)), '')) as key",
         "rest",
         "false as can_split",
@@ -109,41 +114,71 @@ def _probe_keys(state: DataFrame, d: int, longer_only: bool) -> DataFrame:
     return _piece_keys(state, moves, d).unionAll(_kept_keys(state, short))
 
 
-def _candidates(left: DataFrame, right: DataFrame, d: int, same: bool, bucket_limit: int, direct_pairs: int) -> DataFrame:
+def _candidates(left: DataFrame, right: DataFrame, d: int, same: bool, bucket_limit: int, groups: bool = False) -> DataFrame:
     """Pairs (v1, v2, distance) with distance at most d; ``left`` is cut, ``right`` is searched for. Pairs may repeat.
 
-    Both have columns ``value``, ``letters``, ``rest`` and ``ctx``.
+    Both have columns ``value``, ``letters``, ``grp``, ``rest`` and ``ctx``. With ``groups`` only pairs between different groups (``grp``) are
+    wanted, and of these just so many that the same values hang together.
     """
-    found, pairs = [], _pairs_by_context(left, right)
+    found = []
     while True:
-        if pairs <= direct_pairs:
-            # Pairs of smaller buckets that were found before are not among these.
-            found.append(_near(*_spread(left, right), ["ctx", "salt"], d, same))
-            return reduce(DataFrame.unionAll, found)
+        small = not groups and min(side.count() for side in ((left,) if left is right else (left, right))) <= bucket_limit
+        left, right = (left, right) if small else _stripped(left, right)
         index, probe = _index_keys(left, d), _probe_keys(right, d, same)
-        large = _large_buckets(left, right, index, probe, bucket_limit)
-        a, b = index, probe
-        if large is not None:
-            a, b = (side.join(large, "key", "left_anti") for side in (index, probe))
-        found.append(_near(a, b, ["key"], d, same))
-        if large is None:
+        sizes = None if small else _bucket_sizes(index, probe, bucket_limit, groups)
+        if sizes is None:
+            found.append(_near(index, probe, ["key"], d, same, groups))
             return reduce(DataFrame.unionAll, found)
-        inside = [side.join(large, "key", "left_semi") for side in (index, probe)]
-        cut = [side.select("value", "letters", "rest", F.col("key").alias("ctx")).distinct() for side in inside]
-        next_left, next_right = (written(side, "values") for side in cut)
-        left_over = _pairs_by_context(next_left, next_right)
-        if direct_pairs and left_over > pairs / 2:
-            # Cutting does not part these values: most of them are close, so their pairs are compared as they are.
-            found.append(_near(*_spread(left, right), ["ctx", "salt"], d, same))
+        if groups:  # only buckets that hold several groups are among the sizes
+            live = sizes.where("not large").select("key")
+            found.append(_near(*(side.join(live, "key", "left_semi") for side in (index, probe)), ["key"], d, same, True))
+            found.append(_stars(index, probe, sizes.where("large and not can_split").select("key"), d))
+            cut_further = sizes.where("large and can_split").select("key")
+        else:
+            cut_further = sizes.select("key")
+            found.append(_near(*(side.join(cut_further, "key", "left_anti") for side in (index, probe)), ["key"], d, same))
+        inside = [side.join(cut_further, "key", "left_semi") for side in (index, probe)]
+        left, right = (
+            written(side.select("value", "letters", "grp", "rest", F.col("key").alias("ctx")).distinct(), "values") for side in inside
+        )
+        if left.isEmpty() or right.isEmpty():
             return reduce(DataFrame.unionAll, found)
-        left, right, pairs = next_left, next_right, left_over
 
 
-def _near(a: DataFrame, b: DataFrame, on: list[str], d: int, same: bool) -> DataFrame:
+def _stripped(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides without what all rests of a context begin and end with."""
+    rest = F.col("rest")
+    ends = left.unionAll(right).groupBy("ctx").agg(
+        F.min("rest").alias("low"), F.max("rest").alias("high"), F.min(F.reverse(rest)).alias("back_low"), F.max(F.reverse(rest)).alias("back_high"),
+        F.min(F.length("rest")).alias("shortest"),
+    )
+
+    def common(a: str, b: str) -> Column:
+        """How many characters two texts begin with together; all texts between them in order do so too."""
+        letters = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.coalesce(x == y, F.lit(False)) & (x != ""))
+        first = F.array_position(letters, False)
+        return F.when(first > 0, first - 1).otherwise(F.size(letters)).cast("int")
+
+    ends = ends.select("ctx", "shortest", common("low", "high").alias("head"), common("back_low", "back_high").alias("tail"))
+    ends = ends.select("ctx", F.least("head", "shortest").alias("head"), F.least(F.col("tail"), F.col("shortest") - F.least("head", "shortest")).alias("tail"))
+
+    def cut(side: DataFrame) -> DataFrame:
+        short = F.substring("rest", F.col("head") + 1, F.length("rest") - F.col("head") - F.col("tail"))
+        return side.join(ends, "ctx").select("value", "letters", "grp", short.alias("rest"), "ctx")
+
+    if left is right:
+        once = written(cut(left), "values")
+        return once, once
+    return written(cut(left), "values"), written(cut(right), "values")
+
+
+def _near(a: DataFrame, b: DataFrame, on: list[str], d: int, same: bool, groups: bool = False) -> DataFrame:
     """Rows of both sides that agree in ``on`` and whose values are within d edits."""
-    pairs = a.select(*on, F.col("value").alias("v1"), F.col("letters").alias("l1")).join(
-        b.select(*on, F.col("value").alias("v2"), F.col("letters").alias("l2")), on
+    pairs = a.select(*on, F.col("value").alias("v1"), F.col("letters").alias("l1"), F.col("grp").alias("g1")).join(
+        b.select(*on, F.col("value").alias("v2"), F.col("letters").alias("l2"), F.col("grp").alias("g2")), on
     )
+    if groups:
+        pairs = pairs.where("g1 <> g2")
     # An edit adds or removes at most two letters: most candidates end here, at little cost.
     likely = pairs.where(F.bit_count(F.col("l1").bitwiseXOR(F.col("l2"))) <= 2 * d)
     near = likely.withColumn("distance", F.levenshtein("v1", "v2", d)).where("distance >= 0")
@@ -152,32 +187,81 @@ def _near(a: DataFrame, b: DataFrame, on: list[str], d: int, same: bool) -> Data
     return near.select("v1", "v2", "distance")
 
 
-def _pairs_by_context(left: DataFrame, right: DataFrame) -> float:
-    """Pairs of values that share a context."""
-    counts = [side.groupBy("ctx").agg(F.count("*").cast("double").alias(n)) for side, n in ((left, "l"), (right, "r"))]
-    return counts[0].join(counts[1], "ctx").agg(F.sum(F.col("l") * F.col("r"))).first()[0] or 0.0
-
-
-def _spread(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides with a salt, so that the pairs of one context are dealt to many tasks."""
-    n = 4 * left.sparkSession.sparkContext.defaultParallelism
-    salted = left.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(n)).cast("int"))
-    return salted, right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+def _stars(index: DataFrame, probe: DataFrame, keys: DataFrame, d: int) -> DataFrame:
+    """Links between the sides of buckets that cannot be cut: all their values are near, so each is linked to the first of the other side."""
+    a, b = (side.join(keys, "key", "left_semi") for side in (index, probe))
+    links = [
+        one.select("key", F.col("value").alias("v1")).join(other.groupBy("key").agg(F.min("value").alias("v2")), "key")
+        for one, other in ((a, b), (b, a))
+    ]
+    near = links[0].unionAll(links[1]).where("v1 <> v2").withColumn("distance", F.levenshtein("v1", "v2", d)).where("distance >= 0")
+    return near.select("v1", "v2", "distance")
 
 
-def _large_buckets(
-    left: DataFrame, right: DataFrame, index: DataFrame, probe: DataFrame, bucket_limit: int
-) -> DataFrame | None:
-    """Keys of buckets that must be cut further; None when there are none."""
-    if min(side.count() for side in (left, right)) <= bucket_limit:
-        return None
+def _bucket_sizes(index: DataFrame, probe: DataFrame, bucket_limit: int, groups: bool) -> DataFrame | None:
+    """Buckets that must be cut further, with ``groups`` all of several groups; None when the buckets may be joined as they are."""
     sizes = (
-        index.select("key", "can_split", F.lit(1).alias("l"), F.lit(0).alias("r"))
-        .unionAll(probe.select("key", "can_split", F.lit(0).alias("l"), F.lit(1).alias("r")))
-        .groupBy("key").agg(F.sum("l").alias("l"), F.sum("r").alias("r"), F.min("can_split").alias("can_split"))
+        index.select("key", "grp", "can_split", F.lit(1).alias("l"), F.lit(0).alias("r"))
+        .unionAll(probe.select("key", "grp", "can_split", F.lit(0).alias("l"), F.lit(1).alias("r")))
+        .groupBy("key").agg(
+            F.sum("l").alias("l"), F.sum("r").alias("r"), F.min("can_split").alias("can_split"), (F.min("grp") < F.max("grp")).alias("several")
+        )
     )
-    large = written(sizes.where(F.col("can_split") & (F.least("l", "r") > bucket_limit)).select("key"), "large")
-    return None if large.isEmpty() else large
+    large = (F.least("l", "r") > bucket_limit).alias("large")
+    if groups:
+        return written(sizes.where("several and l > 0 and r > 0").select("key", "can_split", large), "buckets")
+    found = written(sizes.where(F.col("can_split") & large).select("key"), "large")
+    return None if found.isEmpty() else found
+
+
+def _without_one(state: DataFrame) -> DataFrame:
+    """Each value without each of its characters: ``value``, the place ``at`` and what is ``left``."""
+    value = F.col("value")
+    cut = F.transform(F.sequence(F.lit(1), F.length(value)), lambda p: F.struct(
+        p.alias("at"), F.concat(F.substring(value, F.lit(1), p - 1), F.substring(value, p + 1, F.length(value))).alias("left")
+    ))
+    return state.where(F.length(value) > 0).select("value", F.inline(cut))
+
+
+def _one_edit(left: DataFrame, right: DataFrame, same: bool) -> DataFrame:
+    """Pairs (v1, v2, distance) with at most one edit between them; each is there once."""
+
+    def keyed(side: DataFrame, name: str, *of: Column | str) -> DataFrame:
+        return side.select(F.xxhash64(*of).alias("key"), F.col("value").alias(name))
+
+    def shorter(side: DataFrame, name: str) -> DataFrame:
+        return keyed(_without_one(side).select("value", "left").distinct(), name, "left")
+
+    replaced = keyed(_without_one(left), "v1", "at", "left").join(keyed(_without_one(right), "v2", "at", "left"), "key")
+    pairs = [replaced.where("v1 < v2" if same else "v1 <> v2"), shorter(left, "v1").join(keyed(right, "v2", "value"), "key")]
+    if not same:
+        pairs += [keyed(left, "v1", "value").join(shorter(right, "v2"), "key"), keyed(left, "v1", "value").join(keyed(right, "v2", "value"), "key")]
+    near = reduce(DataFrame.unionAll, [p.select("v1", "v2") for p in pairs]).withColumn("distance", F.levenshtein("v1", "v2", 1)).where("distance >= 0")
+    if same:
+        near = near.select(F.least("v1", "v2").alias("v1"), F.greatest("v1", "v2").alias("v2"), "distance")
+    return near
+
+
+def _one_edit_links(values: DataFrame) -> DataFrame:
+    """Links (v1, v2) that join the same values as all pairs with one edit do: no more than twice the characters of the values."""
+    replaced = _without_one(values).groupBy(F.xxhash64("at", "left").alias("key")).agg(F.collect_list("value").alias("members"))
+    stars = replaced.where(F.size("members") > 1).select(F.array_min("members").alias("v1"), F.explode("members").alias("v2"))
+    cut = _without_one(values).select("value", F.xxhash64("left").alias("key")).distinct()
+    inserted = cut.join(values.select(F.col("value").alias("v2"), F.xxhash64("value").alias("key")), "key").select(F.col("value").alias("v1"), "v2")
+    return stars.unionAll(inserted).where("v1 <> v2").where(F.levenshtein("v1", "v2", 1) == 1)
+
+
+def _pairs(left: DataFrame, right: DataFrame, d: int, same: bool, bucket_limit: int) -> DataFrame:
+    if d != 1:
+        return _candidates(left, right, d, same, bucket_limit).distinct()
+    length = F.length("value")
+    short = _one_edit(left.where(length <= LONG), right.where(length <= LONG), same)
+    # Of two values with one edit between them none is long, or both have LONG characters at least.
+    long = [side.where(length >= LONG) for side in (left, right)]
+    if any(side.isEmpty() for side in long):
+        return short
+    pairs = _candidates(*long, d, same, bucket_limit).where(F.greatest(F.length("v1"), F.length("v2")) > LONG)
+    return short.unionAll(pairs.distinct())
 
 
 def _letters(text: Column) -> Column:
@@ -190,21 +274,21 @@ def _letters(text: Column) -> Column:
 def _start(df: DataFrame, col: str) -> DataFrame:
     values = df.select(F.col(col).cast("string").alias("value")).where("value is not null").distinct()
     value = F.col("value")
-    state = values.select(value, _letters(value).alias("letters"), value.alias("rest"), F.lit(0).cast("bigint").alias("ctx"))
+    zero = F.lit(0).cast("bigint")
+    state = values.select(value, _letters(value).alias("letters"), zero.alias("grp"), value.alias("rest"), zero.alias("ctx"))
     return written(state, "values")
 
 
 def near_pairs(
-    df: DataFrame, col: str, max_dist: int = 3, bucket_limit: int = BUCKET_LIMIT, max_pairs: int | None = None,
-    direct_pairs: int = DIRECT_PAIRS,
+    df: DataFrame, col: str, max_dist: int = 3, bucket_limit: int = BUCKET_LIMIT, max_pairs: int | None = None
 ) -> DataFrame:
     """All pairs ``v1 < v2`` of distinct values that 1 to ``max_dist`` edits turn into each other.
 
-    Their number can be quadratic; more than ``max_pairs``, if given, raise. ``bucket_limit`` and
-    ``direct_pairs`` decide whether values are cut or compared at once, not what is found.
+    Their number can be quadratic; more than ``max_pairs``, if given, raise. ``bucket_limit`` decides how
+    far values are cut, not what is found.
     """
     values = _start(df, col)
-    pairs = _candidates(values, values, max_dist, True, bucket_limit, direct_pairs).distinct()
+    pairs = _pairs(values, values, max_dist, True, bucket_limit)
     if max_pairs is None:
         return pairs
     pairs = written(pairs, "pairs")
@@ -214,11 +298,10 @@ def near_pairs(
 
 
 def near_match(
-    df: DataFrame, col: str, ref: DataFrame, ref_col: str, max_dist: int = 1, bucket_limit: int = BUCKET_LIMIT,
-    direct_pairs: int = DIRECT_PAIRS,
+    df: DataFrame, col: str, ref: DataFrame, ref_col: str, max_dist: int = 1, bucket_limit: int = BUCKET_LIMIT
 ) -> DataFrame:
     """Pairs (``v1`` from ``df``, ``v2`` from ``ref``) with at most ``max_dist`` edits between them."""
-    pairs = _candidates(_start(ref, ref_col), _start(df, col), max_dist, False, bucket_limit, direct_pairs).distinct()
+    pairs = _pairs(_start(ref, ref_col), _start(df, col), max_dist, False, bucket_limit)
     return pairs.select(F.col("v2").alias("v1"), F.col("v1").alias("v2"), "distance")
 
 
@@ -267,32 +350,29 @@ def _digest(edges: DataFrame) -> tuple:
     return tuple(oriented.agg(F.count("*"), F.bit_xor(mixed), F.sum(mixed.cast("decimal(38,0)"))).first())
 
 
-def near_clusters(
-    df: DataFrame, col: str, max_dist: int = 3, bucket_limit: int = BUCKET_LIMIT, direct_pairs: int = DIRECT_PAIRS
-) -> DataFrame:
+def near_clusters(df: DataFrame, col: str, max_dist: int = 3, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """Groups of values linked by near pairs: ``value`` and ``canonical`` (smallest member).
 
-    Boruvka's rounds: each value keeps its smallest neighbour outside its group, at most one edge a value, and the
-    groups along these edges are merged, until no value has such a neighbour.
+    First the groups along single edits, from links in proportion to the values. Then, where values are long or more edits
+    are allowed, links between different groups; they and the groups' own are merged.
     """
     values = _start(df, col)
-    near = _candidates(values, values, max_dist, True, bucket_limit, direct_pairs).select("v1", "v2")
-    edges, groups = None, None
-    while True:
-        open_pairs = near if groups is None else _between_groups(near, groups)
-        both = open_pairs.unionAll(open_pairs.select(F.col("v2").alias("v1"), F.col("v1").alias("v2")))
-        # Combined within each task before the shuffle: a row for each value, whatever the number of pairs.
-        chosen = written(both.groupBy("v1").agg(F.min("v2").alias("v2")), "edges")
-        if chosen.isEmpty():
-            return groups if groups is not None else chosen.select(F.col("v1").alias("value"), F.col("v2").alias("canonical"))
-        edges = chosen if edges is None else edges.unionAll(chosen)
-        groups = written(connected(edges), "groups")
-
-
-def _between_groups(near: DataFrame, groups: DataFrame) -> DataFrame:
-    one = groups.select(F.col("value").alias("v1"), F.col("canonical").alias("c1"))
-    two = groups.select(F.col("value").alias("v2"), F.col("canonical").alias("c2"))
-    return near.join(one, "v1").join(two, "v2").where("c1 <> c2").select("v1", "v2")
+    length = F.length("value")
+    groups = connected(_one_edit_links(values.where(length <= LONG)))
+    more = values if max_dist > 1 else values.where(length >= LONG)
+    if max_dist == 1 and more.isEmpty():
+        return groups
+    groups = written(groups, "groups")
+    group = F.xxhash64(F.coalesce("canonical", "value"))
+    state = more.drop("grp").join(groups, "value", "left").select("value", "letters", group.alias("grp"), "rest", "ctx")
+    state = written(state, "values")
+    if state.select("grp").distinct().limit(2).count() < 2:
+        return groups
+    between = written(_candidates(state, state, max_dist, True, bucket_limit, groups=True).select("v1", "v2").distinct(), "edges")
+    if between.isEmpty():
+        return groups
+    own = groups.where("value <> canonical").select(F.col("value").alias("v1"), F.col("canonical").alias("v2"))
+    return connected(own.unionAll(between))
 
 
 def fingerprint_clusters(df: DataFrame, col: str) -> DataFrame:

@@ -3,6 +3,9 @@ import random
 import pytest
 
 import tableprep as tp
+from pyspark.sql import functions as F
+
+from tableprep.operators import fuzzy
 from tableprep.operators.fuzzy import connected
 
 
@@ -43,9 +46,48 @@ def test_pairs_equal_brute_force(spark, d, bucket_limit):
     expected = {(min(a, b), max(a, b), n) for a, b, n in expected}
     found = [tuple(r) for r in tp.near_pairs(words(spark, values), "v", d, bucket_limit).collect()]
     assert len(found) == len(set(found)) and set(found) == expected
-    # The same when no pairs are compared at once.
-    cut = tp.near_pairs(words(spark, values), "v", d, bucket_limit, direct_pairs=0).collect() if d < 3 else expected
-    assert {tuple(r) for r in cut} == expected and len(cut) == len(expected)
+
+
+@pytest.mark.parametrize("d, bucket_limit", [(1, 100), (2, 100), (2, 4), (3, 3)])
+def test_clusters_equal_components_of_brute_force(spark, d, bucket_limit):
+    values = mixture(20 + d)
+    root = {v: v for v in values}
+
+    def top(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    linked = set()
+    for i, a in enumerate(values):
+        for b in values[i + 1 :]:
+            if distance(a, b) <= d:
+                linked |= {a, b}
+                root[max(top(a), top(b))] = min(top(a), top(b))
+    found = {r["value"]: r["canonical"] for r in tp.near_clusters(words(spark, values), "v", d, bucket_limit).collect()}
+    assert found == {v: top(v) for v in linked}
+
+
+def test_values_around_the_long_ones(spark):
+    rng = random.Random(5)
+    start = "".join(rng.choice("abc") for _ in range(60))
+    values = sorted({start + "".join(rng.choice("xy") for _ in range(n)) for n in (3, 4, 4, 4, 5, 5, 5, 6, 6) for _ in range(3)} | {"", "a", "b", "ab"})
+    expected = {(a, b, 1) for a in values for b in values if a < b and distance(a, b) == 1}
+    found = [tuple(r) for r in tp.near_pairs(words(spark, values), "v", 1, 2).collect()]
+    assert len(found) == len(set(found)) and set(found) == expected
+    grouped = tp.near_clusters(words(spark, values), "v", 1, 2).collect()
+    assert {r["value"] for r in grouped} == {v for p in expected for v in p[:2]}
+
+
+def test_dense_names_take_candidates_in_proportion(spark):
+    """Values like 'Customer#000000001': what is joined and linked grows with the values, not with their square."""
+    def links(n):
+        values = spark.range(n).select(F.format_string("Customer#%09d", "id").alias("v"))
+        return fuzzy._one_edit_links(fuzzy._start(values, "v")).count(), tp.near_pairs(values, "v", 1).count()
+
+    (few, pairs), (many, more) = links(1_000), links(10_000)
+    assert pairs == 1_000 * 27 // 2 and more == 10_000 * 36 // 2  # nine other digits at each of three and four places
+    assert few <= 2 * 1_000 * 18 and many <= 13.5 * few
 
 
 @pytest.mark.parametrize("d, bucket_limit", [(1, 100), (2, 6)])
