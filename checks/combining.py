@@ -130,6 +130,38 @@ def zone_overwrite(spark, sf):
     return tp.to_zone(meetings(spark, sf), "local", "place", zones(spark, sf), target="UTC", overwrite=True)
 
 
+# Users write places in many ways: other word order, several edits, words left out.
+USER_PLACES = """CASE user_id % 9 WHEN 0 THEN 'York New' WHEN 1 THEN 'Nwe Yrok City' WHEN 2 THEN 'St Petersburg' WHEN 3 THEN 'Rio Janeiro' WHEN 4 THEN 'Sao Paulo'
+    WHEN 5 THEN 'Atlantis' WHEN 6 THEN 'los angelas' WHEN 7 THEN 'Buenos-Ayres' ELSE 'Tokio' END"""
+MORE_CITIES = [
+    *CITIES, ("Saint Petersburg", "Europe/Moscow"), ("Rio de Janeiro", "America/Sao_Paulo"), ("Sao Paulo", "America/Sao_Paulo"),
+    ("Los Angeles", "America/Los_Angeles"), ("Buenos Aires", "America/Argentina/Buenos_Aires"), ("Los Alamos", "America/Denver"),
+]
+_GRAMS = "list_distinct(list_transform(range(1, length({v}) + 2), lambda i: substr(' ' || lower({v}) || ' ', i, 2)))"
+
+
+@check("zone_similar", f"""
+    WITH cities(city, zone) AS (VALUES {", ".join(f"('{c.lower()}', '{z}')" for c, z in MORE_CITIES)}),
+      places AS (SELECT DISTINCT {USER_PLACES} AS place FROM events),
+      r AS (SELECT city, unnest({_GRAMS.format(v="city")}) AS gram FROM cities),
+      w AS (SELECT gram, ln(1 + (SELECT count(*) FROM cities)::DOUBLE / count(*)) AS weight FROM r GROUP BY gram),
+      q AS (SELECT place, gram, coalesce(weight, ln(1 + (SELECT count(*) FROM cities)::DOUBLE)) AS weight
+            FROM (SELECT place, unnest({_GRAMS.format(v="place")}) AS gram FROM places) LEFT JOIN w USING (gram)),
+      rn AS (SELECT city, sum(weight * weight) AS norm FROM r JOIN w USING (gram) GROUP BY city),
+      qn AS (SELECT place, sum(weight * weight) AS norm FROM q GROUP BY place),
+      s AS (SELECT place, city, round(sum(q.weight * q.weight) / sqrt(any_value(qn.norm) * any_value(rn.norm)), 9) AS score
+            FROM q JOIN r USING (gram) JOIN qn USING (place) JOIN rn USING (city) GROUP BY place, city),
+      best AS (SELECT place, first(city ORDER BY score DESC, city) AS city, max(score) AS score FROM s WHERE score >= 0.5 GROUP BY place),
+      near AS (SELECT place, first(city ORDER BY levenshtein(lower(place), city), city) AS city, min(levenshtein(lower(place), city)) AS edits
+               FROM places, cities WHERE levenshtein(lower(place), city) <= 1 GROUP BY place)
+    SELECT place, zone, CASE WHEN edits = 0 THEN 'exact' WHEN edits = 1 THEN 'near' WHEN best.city IS NOT NULL THEN 'similar' ELSE 'unresolved' END AS how,
+      CASE WHEN edits IS NULL THEN score END AS score
+    FROM places LEFT JOIN near USING (place) LEFT JOIN best USING (place) LEFT JOIN cities ON cities.city = coalesce(near.city, best.city)""")
+def zone_similar(spark, sf):
+    cities = spark.createDataFrame(MORE_CITIES, "city string, zone string")
+    return tp.resolve_zones(table(spark, sf, "events").select(F.expr(USER_PLACES).alias("place")), "place", cities, least_score=0.5)
+
+
 def ordered_copies(spark, sf):
     orders = table(spark, sf, "orders").select("o_custkey", "o_orderstatus", "o_orderpriority")
     return orders.unionByName(orders.where("o_orderstatus = 'F'"))

@@ -27,9 +27,11 @@ from tableprep.operators.parse import (
 )
 from tableprep.operators.profile import (
     column_stats, default_measures, distinct_counts, guard_row_loss, health_columns, health_issues, health_score,
-    mainframe_errors, mainframe_report, schema_listing, sensitive_columns, top_values,
+    mainframe_errors, mainframe_report, schema_listing, sensitive_columns,
+    sensitive_values, top_values,
 )
 from tableprep.operators.reshape import grouped, pivot, unpivot
+from tableprep.operators.similar import best_matches, similar_clusters, similar_pairs
 from tableprep.operators.times import calendar, date_bounds, resolve_zones, to_zone
 from tableprep.plans.recipe import Recipe
 from tableprep.scratch import written

@@ -27,6 +27,17 @@ PATTERN_SHARE = 0.7
 
 # Parts of a column name that mark sensitive content.
 SENSITIVE_WORDS = ("password", "secret", "token", "api_key", "apikey")
+# Published forms of keys and tokens, and of card numbers.
+SECRET_FORMATS = {
+    "AWS_KEY": r"\b(AKIA|ASIA)[0-9A-Z]{16}\b",
+    "GITHUB_TOKEN": r"\bgh[pousr]_[A-Za-z0-9]{36}\b",
+    "SLACK_TOKEN": r"\bxox[abprs]-[A-Za-z0-9-]{10,}",
+    "GOOGLE_KEY": r"\bAIza[0-9A-Za-z_-]{35}\b",
+    "JWT": r"\beyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]*",
+    "PRIVATE_KEY": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    "CARD": r"\b[0-9]{4}([ -]?[0-9]{4}){3}\b",
+}
+TOKEN = "[A-Za-z0-9+/_=-]{20,}"
 
 
 def is_numeric(dtype: T.DataType) -> bool:
@@ -244,6 +255,40 @@ def sensitive_columns(df: DataFrame) -> DataFrame:
     return _long(df, hits, lambda f: {"filled": F.count(F.col(f.name))})
 
 
+def _entropy(text: Column) -> Column:
+    """Bits a character: how evenly the characters of a text are used."""
+    n = F.length(text)
+    part = lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n
+    letters = F.array_distinct(F.filter(F.split(text, ""), lambda c: c != ""))
+    return -F.aggregate(letters, F.lit(0.0), lambda total, c: total + part(c) * F.log2(part(c)))
+
+
+def sensitive_values(df: DataFrame, cols: Sequence[str] | None = None, least_entropy: float = 3.0) -> DataFrame:
+    """What the values of text columns hold: ``column``, ``kind``, ``count`` of values and ``share`` of the filled ones.
+
+    ``kind`` is a format of ``SECRET_FORMATS``, ``CARD`` (16 digits, parted or not) or ``RANDOM``: the value's first run of 20 or more
+    letters, digits and ``+/_=-`` mixes letters with digits and has ``least_entropy`` bits a character, as keys have and words do not. One
+    aggregation over all columns and rows; kinds that no value holds are left out.
+    """
+    fields = [f for f in _fields(df, cols) if isinstance(f.dataType, T.StringType)]
+    if not fields:
+        return df.sparkSession.createDataFrame([], "column string, kind string, count bigint, share double")
+
+    def tests(name: str) -> dict[str, Column]:
+        text = F.col(f"`{name}`")
+        run = F.regexp_extract(text, TOKEN, 0)
+        mixed = run.rlike("[0-9]") & run.rlike("[A-Za-z]")
+        random = F.when(mixed, _entropy(run) >= least_entropy).otherwise(F.lit(False))
+        return {**{kind: text.rlike(pattern) for kind, pattern in SECRET_FORMATS.items()}, "RANDOM": random}
+
+    counts = [
+        F.struct(F.lit(f.name).alias("column"), F.lit(kind).alias("kind"), F.count_if(test).alias("count"), F.count_if(F.col(f"`{f.name}`") != "").alias("filled"))
+        for f in fields for kind, test in tests(f.name).items()
+    ]
+    found = df.agg(F.array(*counts).alias("rows")).select(F.inline("rows")).where("count > 0")
+    return found.select("column", "kind", "count", (F.col("count") / F.col("filled")).alias("share"))
+
+
 def _broken(column: Column) -> Column:
     return F.contains(column, F.lit("\n")) | F.contains(column, F.lit("\r")) | F.contains(column, F.lit("\t"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tableprep.functions.dates import calendar_parts, local_time_in
 from tableprep.operators.fuzzy import near_match
 from tableprep.operators.joins import map_values, mapping_frame
+from tableprep.operators.similar import best_matches
 from tableprep.scratch import written
 
 
@@ -33,12 +34,14 @@ def resolve_zones(
     gazetteer: DataFrame,
     overrides: Mapping[str, str] | None = None,
     max_dist: int = 1,
+    least_score: float | None = None,
 ) -> DataFrame:
     """The time zone of each distinct place: columns ``place``, ``zone``, ``how``.
 
     ``gazetteer`` has columns ``city`` and ``zone``. ``how`` is ``manual`` (from ``overrides``),
     ``exact`` (same name, case ignored), ``near`` (at most ``max_dist`` edits; nearest, then first by
-    name) or ``unresolved`` with a NULL zone.
+    name) or ``unresolved`` with a NULL zone. With ``least_score`` what is left takes the zone of the most ``similar`` city
+    (:func:`best_matches`: other word order, missing words, several edits), and a column ``score`` tells how similar.
     """
     norm = lambda c: F.trim(F.lower(c))
     # One pass over the table; all that follows works on its distinct places.
@@ -60,7 +63,16 @@ def resolve_zones(
         .when(F.col("near_zone").isNotNull(), "near").otherwise("unresolved")
     )
     zones = full.select("place", F.coalesce("manual_zone", "zone", "near_zone").alias("zone"), how.alias("how"))
-    return written(zones, "zones")
+    zones = written(zones, "zones")
+    if least_score is None:
+        return zones
+    asked = zones.where("how = 'unresolved'").select(norm(F.col("place")).alias("value"))
+    best = best_matches(asked, "value", cities, "city", least_score)
+    best = best.join(cities.select(F.col("city").alias("match"), F.col("zone").alias("similar_zone")), "match").select("value", "similar_zone", "score")
+    joined = zones.join(best, (norm(F.col("place")) == F.col("value")) & (F.col("how") == "unresolved"), "left")
+    return written(joined.select(
+        "place", F.coalesce("zone", "similar_zone").alias("zone"), F.when(F.col("score").isNotNull(), "similar").otherwise(F.col("how")).alias("how"), "score"
+    ), "zones")
 
 
 def to_zone(
