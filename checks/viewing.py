@@ -1,9 +1,11 @@
 """Search, rules, sorting, paging, places, SQL and recipes."""
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 import tableprep as tp
 from checks import check, table
+from tableprep.scratch import new_path
 
 CUSTOMER_NULLS = "SELECT * REPLACE (nullif(c_mktsegment, 'BUILDING') AS c_mktsegment) FROM customer"
 
@@ -214,3 +216,39 @@ def enrich_merge(spark, sf):
         table(spark, sf, "customer"), fn, "c_custkey bigint, c_mktsegment string, name_length bigint",
         hidden=["c_acctbal"], key="c_custkey",
     )
+
+
+@check("enrich_resumed", """
+    SELECT c_custkey, c_name, c_nationkey, c_acctbal, upper(c_mktsegment) AS c_mktsegment, CAST(length(c_name) AS BIGINT) AS name_length FROM customer""")
+def enrich_resumed(spark, sf):
+    """The function fails at one customer; the same call with the same ledger goes on where it stopped."""
+    def asking(fails):
+        def fn(rows):
+            if fails and (rows["c_custkey"] == 700).any():
+                raise RuntimeError("the service is away")
+            return rows[["c_custkey"]].assign(c_mktsegment=rows["c_mktsegment"].str.upper(), name_length=rows["c_name"].str.len())
+
+        return fn
+
+    ledger = new_path(spark, "ledger")
+    customers, schema = table(spark, sf, "customer"), "c_custkey bigint, c_mktsegment string, name_length bigint"
+    options = {"key": "c_custkey", "hidden": ["c_acctbal"], "batch_size": 200, "ledger": ledger, "batches_at_once": 4}
+    try:
+        tp.enrich(customers, asking(True), schema, **options)
+    except StreamingQueryException:
+        pass
+    return tp.enrich(customers, asking(False), schema, **options)
+
+
+@check("stream_arrivals", """
+    SELECT event_id, upper(event_type) AS event_type, user_id, value FROM events WHERE value > 10""")
+def stream_arrivals(spark, sf):
+    """Row-wise steps on files as they arrive: two runs, the second goes on after the files that the first one took."""
+    source, out, progress = (new_path(spark, name) for name in ("arriving", "cleaned", "progress"))
+    events = table(spark, sf, "events").select("event_id", "event_type", "user_id", "value")
+    recipe = tp.Recipe().add("apply_rules", rules=[{"column": "value", "operator": "greater_than", "value": "10"}])
+    recipe = recipe.add("change_case", col="event_type", kind="upper")
+    for which in ("event_id % 3 = 0", "event_id % 3 <> 0"):
+        events.where(which).repartition(4).write.mode("append").parquet(source)
+        tp.clean_arrivals(spark, source, events.schema, recipe, out, progress).awaitTermination()
+    return spark.read.schema(events.schema).parquet(out)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from tableprep.operators.columns import add_row_id, hide_columns
 from tableprep.operators.joins import update_by_key
-from tableprep.scratch import written
+from tableprep.scratch import exists, written
 
 
 def enrich(
@@ -19,6 +19,8 @@ def enrich(
     hidden: Sequence[str] = (),
     key: str | None = None,
     batch_size: int = 500,
+    ledger: str | None = None,
+    batches_at_once: int | None = None,
 ) -> DataFrame:
     """Run ``fn`` on batches of at most ``batch_size`` rows and merge what it returns by key.
 
@@ -26,6 +28,10 @@ def enrich(
     adds, as in ``schema``; rows it leaves out keep their values. Without ``key`` a row id
     named ``row_id`` is used and removed at the end; a table with a column of that name must give a key. The batches
     run on the executors.
+
+    ``ledger`` is a folder in shared storage, one for each table, that outlives the job: the rows are written there in files of a batch each, and a
+    stream takes ``batches_at_once`` of them at a time (by default as many as there are cores) and records what ``fn`` returned. When the job is lost or
+    ``fn`` raises, the same call goes on after the last recorded batches; none of those is asked for again.
     """
     own_key = key is None
     if own_key:
@@ -40,7 +46,28 @@ def enrich(
             for start in range(0, len(frame), batch_size):
                 yield fn(frame.iloc[start : start + batch_size].reset_index(drop=True))
 
-    # Written once: the merge reads it twice, and a paid service must not be called twice.
-    returned = written(hide_columns(df, hidden).mapInPandas(in_batches, schema), "returned")
+    if ledger:
+        df, returned = _recorded(df, hidden, in_batches, schema, ledger.rstrip("/"), batch_size, batches_at_once)
+    else:
+        # Written once: the merge reads it twice, and a paid service must not be called twice.
+        returned = written(hide_columns(df, hidden).mapInPandas(in_batches, schema), "returned")
     merged = update_by_key(df, returned, key)
     return merged.drop(key) if own_key else merged
+
+
+def _recorded(
+    df: DataFrame, hidden: Sequence[str], in_batches: Callable, schema: str, ledger: str, batch_size: int, at_once: int | None
+) -> tuple[DataFrame, DataFrame]:
+    """The table as it was when the ledger was begun, and what its batches returned."""
+    spark = df.sparkSession
+    rows, returned = f"{ledger}/rows", f"{ledger}/returned"
+    if not exists(spark, f"{rows}/_SUCCESS"):
+        df.write.mode("overwrite").option("maxRecordsPerFile", batch_size).parquet(rows)
+    begun = spark.read.parquet(rows)
+    if [(f.name, f.dataType) for f in begun.schema] != [(f.name, f.dataType) for f in df.schema]:
+        raise ValueError(f"the ledger {ledger} belongs to another table")
+    at_once = at_once or spark.sparkContext.defaultParallelism
+    stream = spark.readStream.schema(begun.schema).option("maxFilesPerTrigger", at_once).parquet(rows)
+    asked = hide_columns(stream, hidden).mapInPandas(in_batches, schema).writeStream.format("parquet").outputMode("append")
+    asked.option("path", returned).option("checkpointLocation", f"{ledger}/progress").trigger(availableNow=True).start().awaitTermination()
+    return begun, spark.read.schema(schema).parquet(returned)

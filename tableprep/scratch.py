@@ -44,6 +44,12 @@ def written(df: DataFrame, label: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on whatever file system ``path`` names."""
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(name)
+
+
 def remove(*tables: DataFrame) -> None:
     """Delete tables that :func:`written` returned and that nothing will read again."""
     for df in tables:

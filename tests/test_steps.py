@@ -2,6 +2,7 @@
 
 import pandas as pd
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 import tableprep as tp
@@ -60,6 +61,39 @@ def test_enrich_keeps_rows_left_out(spark, sales, rows):
     assert rows(done, "id", "who") == sorted([(1, "found"), (2, "BOB"), (3, None)], key=repr)
 
 
+def test_enrich_goes_on_after_a_failure(spark, tmp_path, rows):
+    calls, away, ledger = tmp_path / "calls", tmp_path / "away", str(tmp_path / "ledger")
+    calls.mkdir()
+    away.touch()
+    table = spark.range(0, 100, 1, 4).selectExpr("id", "cast(null as string) as v", "id * 2 as secret")
+
+    def ask(frame: pd.DataFrame) -> pd.DataFrame:
+        assert len(frame) <= 5 and "secret" not in frame.columns
+        if away.exists() and (frame["id"] == 99).any():
+            raise RuntimeError("away")
+        with open(calls / f"{frame['id'].iloc[0]}", "a") as log:
+            log.write("x")
+        return frame[["row_id"]].assign(v="v" + frame["id"].astype(str))
+
+    options = {"hidden": ["secret"], "batch_size": 5, "ledger": ledger, "batches_at_once": 3}
+    with pytest.raises(StreamingQueryException):
+        tp.enrich(table, ask, "row_id long, v string", **options)
+    before = {p.name: p.read_text() for p in calls.iterdir()}
+    assert 0 < len(before) < 20
+    away.unlink()
+    done = tp.enrich(table, ask, "row_id long, v string", **options)
+    assert rows(done) == sorted([(k, f"v{k}", 2 * k) for k in range(100)], key=repr)
+    after = {p.name: len(p.read_text()) for p in calls.iterdir()}
+    # Only batches of the group that failed are asked for again.
+    assert len(after) == 20 and sum(after.values()) <= 20 + 2
+    again = tp.enrich(table, ask, "row_id long, v string", **options)
+    assert again.count() == 100 and {p.name: len(p.read_text()) for p in calls.iterdir()} == after
+    with pytest.raises(ValueError, match="another table"):
+        tp.enrich(table.drop("v"), ask, "row_id long, v string", **options)
+    empty = tp.enrich(table.limit(0), ask, "row_id long, v string", **{**options, "ledger": str(tmp_path / "empty")})
+    assert empty.collect() == []
+
+
 def test_stream(spark, sales, rows, tmp_path):
     source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
     recipe = tp.Recipe().add("apply_rules", rules=[{"column": "amount", "operator": "greater_than", "value": "1"}]).add(
