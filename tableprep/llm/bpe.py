@@ -42,37 +42,92 @@ class PrefixEncoder:
         self.ranks, self.remembered_pairs = ranks, remembered_pairs
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
+        #: How long a token can be that ends in these three bytes.
+        self.tails: dict[bytes, int] = {}
+        for token in ranks:
+            if len(token) > 2 and len(token) > self.tails.get(token[-3:], 0):
+                self.tails[token[-3:]] = len(token)
         #: Whether the merges leave a token as it is after another; by both ranks, -1 for nothing before.
         self.pairs: dict[int, bool] = {}
+        #: The two tokens that a token's last merge joins; None for single bytes. Only of tokens that ``_halves_of`` was asked for.
+        self.halves: dict[int, tuple[int, int] | None] = {}
 
-    def merges(self, data: bytes) -> list[bytes]:
-        """The definition: merge the adjacent pair of lowest rank until none is left."""
+    def merges(self, data: bytes, below: int = 1 << 62) -> list[bytes]:
+        """The definition: merge the adjacent pair of lowest rank until none (of a rank lower than ``below``) is left."""
         parts = [data[i : i + 1] for i in range(len(data))]
         while len(parts) > 1:
             ranked = [(self.ranks.get(a + b, 1 << 62), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))]
             rank, at = min(ranked)
-            if rank == 1 << 62:
+            if rank >= below:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def _halves_of(self, token: int) -> tuple[int, int] | None:
+        """What the last merge of a token joins. Raises ``KeyError`` if merges do not make the token, or not from tokens of lower rank."""
+        if token not in self.halves:
+            data, found = self.tokens[token], None
+            if len(data) > 1:
+                # Without its own rank the merges stop one step short.
+                parts = self.merges(data, below=token)
+                ranks = [self.ranks[p] for p in parts]
+                if len(parts) != 2 or max(ranks) > token or not all(map(self._whole, ranks)):
+                    raise KeyError(token)
+                found = ranks[0], ranks[1]
+            self.halves[token] = found
+        return self.halves[token]
+
+    def _whole(self, token: int) -> bool:
+        """Whether the merges of a token's bytes give the token."""
+        known = self.pairs.get(-1 << 32 | token)
+        return self.stays(-1, token) if known is None else known
+
     def stays(self, before: int, token: int) -> bool:
         """Whether the merges of both tokens' bytes give exactly these two (or one, if nothing comes before)."""
         if len(self.pairs) > self.remembered_pairs:
             self.pairs.clear()
-        second = self.tokens[token]
-        first = [self.tokens[before]] if before >= 0 else []
-        known = self.pairs[before << 32 | token] = self.merges(b"".join(first) + second) == [*first, second]
+        try:
+            known = self._apart(before, token) if before >= 0 and self._whole(before) and self._whole(token) else None
+        except KeyError:
+            known = None
+        if known is None:
+            second = self.tokens[token]
+            first = [self.tokens[before]] if before >= 0 else []
+            known = self.merges(b"".join(first) + second) == [*first, second]
+        self.pairs[before << 32 | token] = known
         return known
 
+    def _apart(self, left: int, right: int) -> bool:
+        """Whether no merge joins what stands at the border of two tokens, from the end of their merges back to the beginning.
+
+        ``left`` and ``right`` always are the tokens at the border. Of the two the one that was made later is taken
+        apart: the one of higher rank, of one rank the right one, since the merges go from left to right. A merge over the border
+        would come first if its rank is below that of the merge that ended each of the two.
+        """
+        rank_of, tokens, halves = self.ranks.get, self.tokens, self.halves
+        end_left = end_right = 1 << 62
+        while True:
+            across = rank_of(tokens[left] + tokens[right])
+            if across is not None and across < end_left and across <= end_right:
+                return False
+            parts = halves[left] if left in halves else self._halves_of(left)
+            others = halves[right] if right in halves else self._halves_of(right)
+            if parts is not None and (others is None or left > right):
+                end_left, left = left, parts[1]
+            elif others is not None:
+                end_right, right = right, others[0]
+            else:
+                return True
+
     def extend(self, data: bytes, last: list[int], until=None) -> None:
         """Fill in ``last``, the rank of the last token of each prefix, up to the length of ``data``.
 
         ``last`` begins with -1 for the empty prefix. ``until(end)`` may end it early.
         """
-        rank_of, pairs, longest = self.ranks.get, self.pairs, self.longest
+        rank_of, pairs, tail = self.ranks.get, self.pairs, self.tails.get
         for end in range(len(last), len(data) + 1):
-            for begin in range(max(0, end - longest), end):
+            most = tail(data[end - 3 : end], 2) if end > 2 else end
+            for begin in range(end - most if end > most else 0, end):
                 token = rank_of(data[begin:end])
                 if token is None:
                     continue
@@ -198,12 +253,13 @@ class Decoder:
 
 def encode(
     docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", remembered: int = REMEMBERED,
-    remembered_pairs: int = REMEMBERED_PAIRS, verify: bool = False,
+    remembered_pairs: int = REMEMBERED_PAIRS, verify: bool = False, with_decoded: bool = False,
 ) -> DataFrame:
     """``docs`` with ``token_ids`` (little-endian unsigned 32-bit integers, packed) and ``n_tokens``.
 
     Each match of ``pattern`` is encoded by itself. The ranks are sent to each executor once: their
-    size is that of the vocabulary. ``verify`` adds ``round_trip``, whether the decoded ids are the text's bytes. What a worker
+    size is that of the vocabulary. ``verify`` adds ``round_trip``, whether the decoded ids are the text's bytes; ``with_decoded`` adds
+    these bytes as ``decoded``, as :func:`decode` does in a pass of its own. What a worker
     remembers costs it about 250 bytes a piece and 150 a pair.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
@@ -214,19 +270,21 @@ def encode(
             _LEARNT.clear()
             _LEARNT[key] = Pieces(PrefixEncoder(shared.value, remembered_pairs), remembered)
         pieces, split = _LEARNT[key], regex.compile(pattern).findall
-        decoder = Decoder(shared.value) if verify else None
+        decoder = Decoder(shared.value) if verify or with_decoded else None
 
         def work(part: pa.RecordBatch):
             texts = part.column(0).to_pylist()
             ids = pieces.encode_all([split(text) if text else [] for text in texts])
             made = {"token_ids": packed(ids), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64())}
-            if decoder:
+            if with_decoded:
+                made["decoded"] = packed([decoder.decode(x) for x in ids])
+            if verify:
                 made["round_trip"] = pa.array([decoder.decode(x) == (t or "").encode("utf-8") for x, t in zip(ids, texts)], pa.bool_())
             return made
 
         return work
 
-    return add_columns(docs, text_col, "token_ids binary, n_tokens bigint" + ", round_trip boolean" * verify, start)
+    return add_columns(docs, text_col, "token_ids binary, n_tokens bigint" + ", round_trip boolean" * verify + ", decoded binary" * with_decoded, start)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "token_ids") -> DataFrame:

@@ -115,12 +115,12 @@ def bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every document encoded and decoded, as digests."""
     import public_tokenizers
 
-    from tableprep.llm.bpe import decode, encode, load_ranks
+    from tableprep.llm.bpe import encode, load_ranks
 
     ranks = load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    encoded = encode(docs, ranks, public_tokenizers.PATTERN).select("doc_id", "n_tokens", "token_ids")
-    return decode(encoded, ranks).select(
+    # One worker encodes and decodes, so the ids go between Spark and Python once.
+    return encode(docs, ranks, public_tokenizers.PATTERN, with_decoded=True).select(
         "doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 

@@ -452,3 +452,31 @@ def test_quality_shrinks_sparse_sites_more(spark):
     assert 0.5 < scored[1000].site < 0.75 and scored[1001].site > 0.8  # the first: the global rate
 
 
+
+
+def test_pairs_by_halves_equal_the_merges(ranks):
+    encoder = bpe.PrefixEncoder(ranks[0])
+    rng = random.Random(11)
+    ids, short = list(encoder.tokens), [i for i, t in encoder.tokens.items() if len(t) < 5]
+    alike = [i for i, t in encoder.tokens.items() if len(set(t)) == 1]
+    for pool in (ids, short, alike):
+        for _ in range(1000):
+            a, b = rng.choice(pool), rng.choice(pool)
+            both = [encoder.tokens[a], encoder.tokens[b]]
+            assert encoder.stays(a, b) == (encoder.merges(b"".join(both)) == both)
+    # Vocabularies that no training made: tokens that merges never reach, or whose parts have higher ranks.
+    for seed in range(12):
+        rng = random.Random(seed)
+        tokens = {bytes(rng.choice(b"abc") for _ in range(rng.randint(2, 5))) for _ in range(20)} | {b"a", b"b", b"c"}
+        odd = bpe.PrefixEncoder({t: i for i, t in enumerate(sorted(tokens, key=lambda t: (seed % 2 and len(t) > 1, rng.random())))})
+        for a in odd.tokens:
+            for b in odd.tokens:
+                both = [odd.tokens[a], odd.tokens[b]]
+                assert odd.stays(a, b) == (odd.merges(b"".join(both)) == both)
+
+
+def test_decoded_in_one_pass_or_two(spark, ranks):
+    docs = odd_docs(spark)
+    one = bpe.encode(docs, *ranks, with_decoded=True).select("doc_id", "token_ids", "decoded")
+    two = bpe.decode(bpe.encode(docs, *ranks), ranks[0]).select("doc_id", "token_ids", "decoded")
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))
