@@ -252,6 +252,6 @@ def test_run_gives_the_last_stage(spark, stages):
 def test_entry_registers_everything():
     entry = importlib.import_module("__spark_entry__")
     names = set(entry.queries())
-    assert set(QUERIES) | {"pipeline"} <= names and {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert set(QUERIES) | {"pipeline"} <= names and {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 14)}
 
 
