@@ -10,7 +10,9 @@ coordinates, then on all. Pairs that survive are verified on the sets.
 
 So that groups of many alike texts take few steps, equal sets are joined beforehand, each text is first compared (by
 points, then by sets) with the first one under its root, and trees are only built where a root still has texts of several components.
-Trees are made of blocks of bounded size.
+Roots with one first text are one tree, made of blocks of bounded size. A tree of points tells which texts have a partner at all;
+the sets of those are brought together and verified inside the block, and only links between texts that were still
+apart are put out: fewer than the block has texts.
 
 Cases: null, empty and blank texts have an empty set and link with nothing, not with each other; a text with fewer words than
 a shingle has its whole sequence as its only one; texts are read whole; repeated rows are linked as equal texts
@@ -20,7 +22,8 @@ an empty table gives an empty one; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tableprep.llm.arrow import bounded_batches, packed, release, rows_of, text_bytes, tidy
 from tableprep.llm.meeting import parts_for, shared_names
-from tableprep.llm.words import distinct, mix, shingles, word_hashes
+from tableprep.llm.words import LOWER, chained_hashes, distinct, mix, shingles, word_places
 from tableprep.operators.fuzzy import connected
 from tableprep.scratch import written
 
@@ -40,6 +43,8 @@ LEAST_GROUPS, MOST_GROUPS = 32, 1 << 14
 MANY = 1 << 40
 #: Points in a leaf, in a block of points that one tree is built of, and in the trees of one task's call, about.
 LEAF, BLOCK, BUNDLE = 32, 2048, 4096
+#: Shingles of the sets in a block, and in the blocks of one task's call, about (8 bytes each).
+BLOCK_SHINGLES, BUNDLE_SHINGLES = 1 << 20, 1 << 21
 #: So many ids (8 bytes each) are sent to all tasks; more are joined by a shuffle of the texts.
 BROADCAST_IDS = 1_000_000
 
@@ -57,18 +62,24 @@ class Threshold:
         return -(-self.least * total // (100 + self.least))
 
     @cached_property
-    def schemes(self) -> tuple[np.ndarray, np.ndarray]:
-        """The least size of each size class, and the groups that sets of that class and the one below are dealt into.
+    def schemes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The least size of each size class, the groups that sets of that class and the one below are dealt into, and spare groups.
 
-        Linked sets are in the same class or in adjacent ones, and differ in fewer elements than there are groups.
+        Linked sets are in the same class or in adjacent ones, and differ in fewer elements than there are groups but the spare ones.
         """
-        lows, groups, low = [0], [1], 1
+        lows, groups, spare, low = [0], [1], [0], 1
         while low < 1 << 40:
             high = max(low, 100 * low // self.least)
+            needed = 2 * high * (100 - self.least) // (100 + self.least) + 1
+            more = 0
+            for _ in range(3):  # about as many as the smallest of these sets leave empty
+                empty = (needed + more) * math.exp(-max(lows[-1], 1) / (needed + more))
+                more = min(math.ceil(empty + 2 * math.sqrt(empty)), needed // 4) if needed > 1 else 0
             lows.append(low)
-            groups.append(2 * high * (100 - self.least) // (100 + self.least) + 1)
+            groups.append(needed + more)
+            spare.append(more)
             low = high + 1
-        return np.array(lows), np.array(groups)
+        return np.array(lows), np.array(groups), np.array(spare)
 
 
 def roots(hashes: np.ndarray, offsets: np.ndarray, threshold: Threshold) -> tuple[np.ndarray, np.ndarray]:
@@ -76,10 +87,11 @@ def roots(hashes: np.ndarray, offsets: np.ndarray, threshold: Threshold) -> tupl
 
     ``hashes`` are sorted within each set, so a group is a run of neighbours. A set takes part as a member of its
     class and of the lower class of the next one. Equal sets, whose groups are all equal, are left to an own step: where a
-    scheme allows no difference it has no keys.
+    scheme allows no difference it has no keys. Linked sets have one group more in common than there are spare ones,
+    so where no more than that are empty, they have one in common that is not.
     """
     sizes = np.diff(offsets)
-    lows, groups = threshold.schemes
+    lows, groups, spare = threshold.schemes
     number = np.searchsorted(lows, sizes, "right") - 1
     owner = np.repeat(np.arange(len(sizes)), sizes)
     keys, owners = [], []
@@ -93,13 +105,16 @@ def roots(hashes: np.ndarray, offsets: np.ndarray, threshold: Threshold) -> tupl
         cell = (ends - n)[owner[taking]] + member.astype(np.int64)
         # Contents: the sum of mixed hashes of each run; empty groups keep 0 and are a content too.
         sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(hashes[taking] + np.uint64(17)), dtype=np.uint64)])
-        counts = np.concatenate([[0], np.cumsum(np.bincount(cell, minlength=total))]).astype(np.int64)
+        held = np.bincount(cell, minlength=total)
+        counts = np.concatenate([[0], np.cumsum(held)]).astype(np.int64)
         content = sums[counts[1:]] - sums[counts[:-1]]
         of = np.repeat(np.arange(len(sizes)), n)
         place = np.arange(total) - np.repeat(ends - n, n)
         name = (scheme[of].astype(np.uint64) << np.uint64(32)) + place.astype(np.uint64)
-        keys.append(mix(content + mix(name + np.uint64(1))))
-        owners.append(of)
+        empty = np.bincount(of[held == 0], minlength=len(sizes))
+        goes = (held > 0) | (empty > spare[scheme])[of]
+        keys.append(mix(content + mix(name + np.uint64(1)))[goes])
+        owners.append(of[goes])
     of = np.concatenate(owners)
     order = np.argsort(of, kind="stable")
     return np.concatenate(keys)[order], np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(sizes)))])
@@ -133,7 +148,8 @@ def may_link(x: bytes, y: bytes, n_x: int, n_y: int, threshold: Threshold) -> bo
 
 def sets_of(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = text_bytes(texts)
-    found, owner = shingles(*word_hashes(data, offsets), len(texts), size)
+    starts, ends, owner = word_places(data, offsets)
+    found, owner = shingles(chained_hashes(LOWER[data], starts, ends), owner, len(texts), size)
     return distinct(found, owner, len(texts))
 
 
@@ -216,16 +232,19 @@ def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     return rows_of(docs.join(ids, "id", "left_semi"), "text", ["id"], "node bigint, hashes binary", start)
 
 
-def _tree_pairs(members: DataFrame, n_members: int, threshold: Threshold) -> DataFrame:
-    """Pairs (a, b) of nodes of different components below a common root that the count vectors allow.
+def _cells(members: DataFrame) -> DataFrame:
+    """``members`` (key, node, component, major, n) dealt to the pairs of blocks, called cells, in which they meet.
 
-    ``members``: key, node, component, major, n, point. Texts of the component ``major`` need no pairs
-    with one another. The others and they are cut into blocks, and each pair of blocks is a group of its own.
+    Texts of the component ``major`` need no pairs with one another; the others meet them and each other.
     """
-    root = Window.partitionBy("key")
-    major = F.col("component") == F.coalesce("major", F.lit(-1))
-    blocks = lambda which: F.greatest(F.ceil(F.sum(which.cast("int")).over(root) / BLOCK).cast("int"), F.lit(1))
-    cut = members.withColumn("is_major", major).withColumn("majors", blocks(major)).withColumn("minors", blocks(~major))
+    members = members.withColumn("is_major", F.col("component") == F.coalesce("major", F.lit(-1)))
+
+    def blocks(which):
+        rows, shingles_of = F.count(F.when(which, 1)), F.sum(F.when(which, F.col("n")))
+        return F.greatest(F.ceil(rows / BLOCK), F.ceil(F.coalesce(shingles_of, F.lit(0)) / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+    counted = members.groupBy("key").agg(blocks(F.col("is_major")).alias("majors"), blocks(~F.col("is_major")).alias("minors"))
+    cut = members.join(counted, "key")
     cut = cut.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("is_major"), F.col("majors")).otherwise(F.col("minors"))).cast("int"))
     up_to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     pair = lambda kind, low, high: F.struct(F.lit(kind).alias("kind"), low.alias("low"), high.alias("high"))
@@ -233,50 +252,104 @@ def _tree_pairs(members: DataFrame, n_members: int, threshold: Threshold) -> Dat
     with_majors = F.transform(up_to("majors"), lambda i: pair(0, i, F.col("block")))
     among_minors = F.transform(up_to("minors"), lambda j: pair(1, F.least(F.col("block"), j), F.greatest(F.col("block"), j)))
     cells = F.when(F.col("is_major"), with_minors).otherwise(F.concat(with_majors, among_minors))
-    dealt = cut.select("key", "node", "component", "n", "point", "is_major", "block", F.explode(cells).alias("cell"))
-    dealt = dealt.select("key", "cell.*", "node", "component", "n", "point", "is_major", "block")
+    dealt = cut.select("key", "node", "component", "n", "is_major", "block", F.explode(cells).alias("cell"))
+    return dealt.select("key", "cell.*", "node", "component", "n", "is_major", "block")
 
+
+def _by_cell(dealt: DataFrame, bundles: int, work: Callable[[pa.Table], pa.Table | None], out: pa.Schema, made: str) -> DataFrame:
+    """``work`` on each cell; several cells share a call."""
     cell = F.xxhash64("key", "kind", "low", "high")
-    bundles = max(1, n_members // BUNDLE)
-    bundled = dealt.withColumn("cell", cell).withColumn("bundle", F.pmod("cell", F.lit(bundles)))
+    bundled = dealt.withColumn("cell", cell).withColumn("bundle", F.pmod("cell", F.lit(max(1, bundles))))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("key", "ascending"), ("cell", "ascending")])
         key, cell = table["key"].to_numpy(), table["cell"].to_numpy()
         starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])]))
-        found = [p for a, b in zip(starts, [*starts[1:], len(key)]) if (p := _cell_pairs(table.slice(a, b - a), threshold)) is not None]
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+        found = [t for a, b in zip(starts, [*starts[1:], len(key)]) if (t := work(table.slice(a, b - a))) is not None]
         release()
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+        return pa.concat_tables(found) if found else out.empty_table()
 
-    return bundled.groupBy("bundle").applyInArrow(run, "a bigint, b bigint").distinct()
+    return bundled.groupBy("bundle").applyInArrow(run, made)
 
 
-def _cell_pairs(table: pa.Table, threshold: Threshold) -> np.ndarray | None:
-    """Pairs of nodes of one pair of blocks that trees on their points leave."""
-    node, component, sizes, block = (table[c].to_numpy() for c in ("node", "component", "n", "block"))
-    is_major = table["is_major"].to_numpy()
+def _tree_pairs(table: pa.Table, at: np.ndarray, threshold: Threshold) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of pairs in a cell that trees on their points ``at`` leave."""
+    sizes, block, is_major = (table[c].to_numpy() for c in ("n", "block", "is_major"))
     kind, low, high = (table[c][0].as_py() for c in ("kind", "low", "high"))
-    same = kind == 1 and low == high
     first = np.flatnonzero(is_major if kind == 0 else block == low)
     second = np.flatnonzero(~is_major if kind == 0 else block == high)
-    if not len(first) or not len(second) or (component == component[0]).all():
-        return None
-    stored = [np.frombuffer(v.as_buffer(), np.uint8) for v in table["point"]]
-    groups = min(map(len, stored))
-    at = np.stack([folded(p, groups) for p in stored])
+    if not len(first) or not len(second):
+        return
     coarse = at.reshape(len(at), -1, LEAST_GROUPS).sum(axis=1)
     one = RTree(coarse[first], sizes[first])
-    two = one if same else RTree(coarse[second], sizes[second])
-    found = []
+    two = one if kind == 1 and low == high else RTree(coarse[second], sizes[second])
     for a, b in one.pairs(two, threshold):
-        a, b = first[a], second[b]
-        apart = component[a] != component[b]
+        yield first[a], second[b]
+
+
+def _points_of(stored: list[np.ndarray]) -> np.ndarray:
+    groups = min(map(len, stored))
+    return np.stack([folded(p, groups) for p in stored])
+
+
+def _with_partners(dealt: DataFrame, vectors: DataFrame, n_rows: int, threshold: Threshold) -> DataFrame:
+    """The rows of ``dealt`` whose points allow a link with a text of another component in their cell."""
+    kept = ["key", "kind", "low", "high", "node", "component", "n", "is_major", "block"]
+    out = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("node", pa.int64()),
+                     ("component", pa.int64()), ("n", pa.int64()), ("is_major", pa.bool_()), ("block", pa.int32())])
+    made = "key bigint, kind int, low int, high int, node bigint, component bigint, n bigint, is_major boolean, block int"
+
+    def work(table: pa.Table) -> pa.Table | None:
+        component, sizes = table["component"].to_numpy(), table["n"].to_numpy()
+        if (component == component[0]).all():
+            return None
+        at = _points_of([np.frombuffer(v.as_buffer(), np.uint8) for v in table["point"]])
+        met = np.zeros(len(at), bool)
+        for a, b in _tree_pairs(table, at, threshold):
+            open_ = (component[a] != component[b]) & ~(met[a] & met[b])
+            a, b = a[open_], b[open_]
+            fits = np.minimum(at[a], at[b]).sum(axis=1) >= threshold.overlap(sizes[a] + sizes[b])
+            met[a[fits]] = met[b[fits]] = True
+        return table.select(kept).filter(pa.array(met)).cast(out) if met.any() else None
+
+    points_too = dealt.join(vectors.select("node", "point"), "node").select(*kept, "point")
+    return _by_cell(points_too, n_rows // BUNDLE, work, out, made)
+
+
+def _cell_links(table: pa.Table, threshold: Threshold) -> pa.Table | None:
+    """Links (v1, v2) between texts of a cell that join components, each verified on the sets: fewer than texts."""
+    node, label, sizes = table["node"].to_numpy(), table["component"].to_numpy().copy(), table["n"].to_numpy()
+    sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in table["hashes"]]
+    flat, ends = points(np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)]))
+    at = _points_of([flat[a:b] for a, b in zip(ends[:-1], ends[1:])])
+    found = []
+    for a, b in _tree_pairs(table, at, threshold):
+        apart = label[a] != label[b]
         a, b = a[apart], b[apart]
         fits = np.minimum(at[a], at[b]).sum(axis=1) >= threshold.overlap(sizes[a] + sizes[b])
         a, b = a[fits], b[fits]
-        found.append(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], axis=1))
-    return np.concatenate(found) if found else None
+        while len(a):
+            both = np.concatenate([sets[a[0]], sets[b[0]]])
+            both.sort(kind="stable")
+            if int((both[1:] == both[:-1]).sum()) >= threshold.overlap(len(both)):
+                found.append((node[a[0]], node[b[0]]))
+                label[label == label[b[0]]] = label[a[0]]
+                apart = label[a] != label[b]
+                a, b = a[apart], b[apart]
+            else:
+                a, b = a[1:], b[1:]
+    return pa.table({"v1": pa.array([x for x, _ in found], pa.int64()), "v2": pa.array([y for _, y in found], pa.int64())}) if found else None
+
+
+def _links_below(members: DataFrame, vectors: DataFrame, docs: DataFrame, shingle: int, threshold: Threshold) -> DataFrame:
+    """Links (v1, v2) that join texts of different components below one ``key``; ``members``: key, node, component, major, n."""
+    dealt = written(_cells(members), "dealt")
+    near = written(_with_partners(dealt, vectors, dealt.count(), threshold), "near")
+    sets = _sets(docs, near.select("node").distinct(), shingle)
+    held = near.agg(F.count("*"), F.sum("n")).first()
+    bundles = max(held[0] // BUNDLE, (held[1] or 0) // BUNDLE_SHINGLES)
+    out = pa.schema([("v1", pa.int64()), ("v2", pa.int64())])
+    return _by_cell(near.join(sets, "node"), bundles, lambda table: _cell_links(table, threshold), out, "v1 bigint, v2 bigint")
 
 
 def _bounded(pairs: DataFrame, vectors: DataFrame, threshold: Threshold) -> DataFrame:
@@ -350,21 +423,16 @@ def link_components(
     links = checked.where("linked").select(F.col("a").alias("v1"), F.col("b").alias("v2"))
     groups = _components(links)
 
-    # Roots whose texts, but for the first one, are still of several components; of roots with the same texts one will do.
-    placed = shared.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rest = written(placed.where("first < node").select("key", "node", "component", "first"), "rest")
-    held = rest.groupBy("key").agg(
-        F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("first").alias("first"), F.count("*").alias("n"),
-        F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2"),
-    ).where("c1 < c2").groupBy("n", "x1", "x2").agg(F.min(F.struct("key", "first")).alias("root")).select("root.*")
-    majors = held.join(groups.select(F.col("node").alias("first"), F.col("component").alias("major")), "first", "left")
-    members = rest.drop("first").join(majors.select("key", "major"), "key")
-    more = written(
-        _tree_pairs(members.join(vectors, "node"), rest.count(), threshold).join(tried, ["a", "b"], "left_anti"), "more"
-    )
+    # Texts that still are of several components, but for the first one that they share a root with.
+    placed = shared.select("first", "node").distinct().join(groups, "node", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "node"))
+    rest = written(placed.where("first < node").select(F.col("first").alias("key"), "node", "component"), "rest")
+    several = rest.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2")
+    majors = groups.select(F.col("node").alias("key"), F.col("component").alias("major"))
+    members = rest.join(several.select("key").join(majors, "key", "left"), "key").join(vectors.select("node", "n"), "node")
+    more = written(_links_below(members, vectors, docs, shingle, threshold), "more")
     if not more.isEmpty():
-        more = written(_verify(more, _sets(docs, _ends(more), shingle), threshold), "checked")
-        links = links.unionAll(more.where("linked").select(F.col("a").alias("v1"), F.col("b").alias("v2")))
+        links = links.unionAll(more)
         groups = _components(links)
 
     component = classes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -5,10 +5,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tableprep.llm import bpe, decontaminate, jaccard, licenses, pii, quality, suffixes, toxicity
+from tableprep.llm.words import chained_hashes
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 LONG = "word " * 60_000 + "\n" + "x" * 300_000
@@ -220,6 +222,56 @@ def test_jaccard_links_below_roots_that_hold_copies(spark, copies):
     assert found == plain_components(texts, 80, 1) and {c for _, c in found.values()} == {0, 1, 3}
 
 
+def test_jaccard_words_whose_polynomial_sums_agree(spark):
+    """Words of a and b by the Thue-Morse rule and its complement have one polynomial hash modulo 2**64."""
+    signs = [bin(k).count("1") % 2 for k in range(1024)]
+    words = ["".join("ab"[s ^ flip] for s in signs) for flip in (0, 1)]
+    texts = {1: words[0], 2: words[1], 3: words[0], 4: words[0] * 1500, 5: words[1] * 1500}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.link_components(docs, 90, 3).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+
+
+def test_chained_hashes_depend_on_the_bytes_of_the_word_alone():
+    draw = random.Random(5)
+    words = [bytes(draw.choice(b"ab\x00") for _ in range(draw.choice([0, 1, 7, 8, 9, 16, 30, 1024, 1025, 2000]))) for _ in range(400)]
+    data = np.frombuffer(b"x".join(words), np.uint8)
+    starts = np.cumsum([0, *(len(w) + 1 for w in words[:-1])])
+    got = chained_hashes(data, starts, starts + np.array([len(w) for w in words]))
+    assert len(set(got.tolist())) == len(set(words)) == len({(w, int(h)) for w, h in zip(words, got)})
+
+
+def test_cell_puts_out_fewer_links_than_texts():
+    """A group of 60 texts of which all link: a forest, not the pairs; one more text stays apart."""
+    draw = np.random.default_rng(2)
+    base = draw.integers(0, 1 << 63, 200, dtype=np.uint64)
+    sets = [np.sort(np.concatenate([base[5:], draw.integers(0, 1 << 63, 5, dtype=np.uint64)])) for _ in range(60)]
+    sets.append(np.sort(draw.integers(0, 1 << 63, 200, dtype=np.uint64)))
+    n = len(sets)
+    whole = pa.array([0] * n, pa.int32())
+    cell = pa.table({
+        "kind": pa.array([1] * n, pa.int32()), "low": whole, "high": whole, "block": whole, "node": list(range(n)), "component": list(range(n)),
+        "n": [200] * n, "is_major": [False] * n, "hashes": [s.tobytes() for s in sets],
+    })
+    links = jaccard._cell_links(cell, jaccard.Threshold(80)).to_pylist()
+    assert len(links) == 59 and all(n - 1 not in r.values() for r in links)
+
+
+def test_empty_groups_are_left_out_only_where_others_must_agree():
+    """Linked sets have a root in common whatever is left out; most unlike ones have none."""
+    draw = np.random.default_rng(4)
+    for least in (60, 80, 90):
+        threshold, alike, unlike = jaccard.Threshold(least), 0, 0
+        for size in draw.integers(3, 400, 150):
+            x = draw.integers(0, 1 << 64, size, dtype=np.uint64)
+            lost = int(size * (100 - least) // 100)
+            y, z = x[lost:], draw.integers(0, 1 << 64, size, dtype=np.uint64)
+            keys = [set(jaccard.roots(np.sort(v), np.array([0, len(v)]), threshold)[0].tolist()) for v in (x, y, z)]
+            alike += bool(keys[0] & keys[1]) or not lost
+            unlike += bool(keys[0] & keys[2])
+        assert alike == 150
+        assert least < 80 or unlike < 60
+
+
 def test_rtree_prunes_no_pair_that_may_link():
     draw = np.random.default_rng(3)
     base = draw.integers(0, 6, (8, 32))
