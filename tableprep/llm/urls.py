@@ -52,13 +52,18 @@ def _rule_fits(rule: str, host: Column, path: Column) -> Column:
 def ngrams(host: Column, path: Column) -> Column:
     """Character n-grams of ``^host$`` and of the path, marked by where they are from."""
 
-    def of(text: Column, mark: str, size: int) -> Column:
-        starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - (size - 1)))
-        grams = F.transform(starts, lambda i: F.concat(F.lit(mark), F.substring(text, i, F.lit(size))))
-        return F.coalesce(grams, F.array().cast("array<string>"))
+    def of(text: Column, mark: str) -> list[Column]:
+        # Neighbours are zipped, so the work grows with the length; a substring by place would count from the start each time.
+        chars = F.split(text, "")
+        tail = lambda k: F.slice(chars, k + 1, F.size(chars))
+        grams, made = F.transform(chars, lambda c: F.concat(F.lit(mark), c)), []
+        for k in range(1, max(SIZES)):
+            grams = F.array_compact(F.zip_with(grams, tail(k), lambda left, right: F.concat(left, right)))
+            made += [grams] if k + 1 in SIZES else []
+        return made
 
     bounded = F.when(host != "", F.concat(F.lit("^"), host, F.lit("$"))).otherwise("")
-    return F.concat(*(of(text, mark, n) for text, mark in ((bounded, "h"), (path, "p")) for n in SIZES))
+    return F.concat(*of(bounded, "h"), *of(path, "p"))
 
 
 def example_urls(spark: SparkSession) -> DataFrame:

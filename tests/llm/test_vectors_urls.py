@@ -3,10 +3,12 @@
 import hashlib
 import importlib
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tableprep.llm import neighbours, urls
@@ -39,6 +41,21 @@ def test_urls_hosts_paths_and_rules(spark):
     assert "Python" not in urls.judge(pages, URL_RULES, None)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_url_ngrams_are_those_of_the_plain_way(spark):
+    rows = [("example.com", "/en/a"), ("", ""), ("a", "/"), ("x\U0001f600y", "/é\U0001f600zz/q"), ("h", "/ab"), ("h.b", "")]
+    grams = spark.createDataFrame(rows, "host string, path string").withColumn("g", urls.ngrams(F.col("host"), F.col("path")))
+    for row in grams.collect():
+        texts = ((f"^{row.host}$" if row.host else "", "h"), (row.path, "p"))
+        assert sorted(row.g) == sorted(m + t[i : i + n] for t, m in texts for n in urls.SIZES for i in range(len(t) - n + 1))
+
+
+def test_a_very_long_url_takes_linear_time(spark):
+    page = spark.createDataFrame([(1, "http://a.b/" + "éx" * 150_000)], "page_id bigint, url string")
+    begun = time.monotonic()
+    assert urls.judge(page, [], urls.fit(urls.example_urls(spark))).first().verdict in ("allow", "block")
+    assert time.monotonic() - begun < 60  # by substrings from the start it was 55 s for a quarter of it
+
+
 def test_url_model_and_its_edges(spark, plan_of):
     model = urls.fit(urls.example_urls(spark))
     seen = ["https://www.mega-casino.example.org/en/4", "http://cheap-meds.example.net/x", "http://library-news.example.org/de/3", "http://", None, "http://a/" + "x" * 200_000]
