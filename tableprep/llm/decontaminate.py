@@ -6,10 +6,12 @@ found as it is (pigeonhole). The same holds for halves: some piece has all large
 it within their share of the budget, so hits are verified from the smallest part upwards and most end at once. Myers'
 bit-parallel recurrence gives the distance.
 
-Cases: null or blank texts match nothing, null or blank items are not looked for; items shorter than ``min_chars``
-count only where they are the whole text; texts are searched whole; a repeated item is looked for once under its
-smallest id, repeated texts are judged each; of equal distances the first place is told; an empty table
-gives an empty one; columns named like the new one are replaced.
+Cases: null or blank texts match nothing, null or blank items are not looked for; an item shorter than ``min_chars``
+counts where it stands as it is between word borders, and one that is a mere phrase (under :data:`PHRASE_WORDS` words and
+:data:`PHRASE_CHARS` characters, such as "yes") where it is the whole text; texts are searched whole; items that are equal
+when normalised are looked for once under their smallest id, an item without id under null; repeated texts are judged
+each; of equal distances the first place is told; an empty table gives an empty one; columns named like the new one are
+replaced.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from tableprep.llm.arrow import add_columns
 
 #: Characters of items whose pieces one automaton holds; more items take more passes over the texts.
 BLOCK_CHARS = 1 << 20
+#: Shorter items in both respects are no passage: they stand in countless texts that quote nothing.
+PHRASE_WORDS, PHRASE_CHARS = 3, 16
 MATCH = "struct<item_id:bigint,distance:int,budget:int,begin:int,end:int>"
 
 FIELDS = ("item_id", "distance", "budget", "begin", "end")
@@ -72,19 +76,20 @@ def best_end(pattern: str, text: str, limit: int) -> tuple[int, int]:
 class Items:
     """Items with their pieces in one automaton."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float, min_chars: int):
-        self.whole: dict[str, int] = {}
-        self.items: list[tuple[int, str, int]] = []
+    def __init__(self, items: list[tuple[int | None, str]], error_rate: float, min_chars: int):
+        self.whole: dict[str, int | None] = {}
+        self.items: list[tuple[int | None, str, int, bool]] = []
         pieces: dict[str, list[tuple[int, list]]] = defaultdict(list)
         for item_id, text in items:
-            if len(text) < min_chars:
+            if len(text) < min(min_chars, PHRASE_CHARS) and text.count(" ") + 1 < PHRASE_WORDS:
                 self.whole.setdefault(text, item_id)
                 continue
-            budget = int(len(text) * error_rate)
+            short = len(text) < min_chars
+            budget = 0 if short else int(len(text) * error_rate)
             cuts = [round(k * len(text) / (budget + 1)) for k in range(budget + 2)]
             for k in range(budget + 1):
                 pieces[text[cuts[k] : cuts[k + 1]]].append((len(self.items), self._parts(cuts, k)))
-            self.items.append((item_id, text, budget))
+            self.items.append((item_id, text, budget, short))
         self.automaton = ahocorasick.Automaton()
         for piece, owners in pieces.items():
             self.automaton.add_word(piece, (len(piece), owners))
@@ -111,7 +116,11 @@ class Items:
             for number, parts in owners:
                 if found.get(number, (1, 0))[0] == 0:
                     continue
-                _, item, budget = self.items[number]
+                _, item, budget, short = self.items[number]
+                if short:
+                    if self._bordered(text, last - size + 1, last + 1):
+                        found[number] = 0, last + 1
+                    continue
                 begin = last - size + 1 - parts[0][0]  # where the item would begin without edits before the piece
                 low, high = looked.get(number, (1, 0))
                 if low <= begin <= high:
@@ -128,11 +137,18 @@ class Items:
                         found[number] = min(found.get(number, (distance, start + end)), (distance, start + end))
         rows = []
         for number, (distance, end) in found.items():
-            item_id, item, budget = self.items[number]
+            item_id, item, budget, _ = self.items[number]
             rows.append((item_id, distance, budget, self._begin(item, text, end, distance), end))
         if text in self.whole:
             rows.append((self.whole[text], 0, 0, 0, len(text)))
-        return [dict(zip(FIELDS, row)) for row in sorted(rows)]
+        rows.sort(key=lambda row: (row[0] is None, row[0] or 0, *row[1:]))
+        return [dict(zip(FIELDS, row)) for row in rows]
+
+    @staticmethod
+    def _bordered(text: str, begin: int, end: int) -> bool:
+        """Whether no word goes over either end of that stretch."""
+        joined = lambda at: 0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum()
+        return not joined(begin) and not joined(end)
 
     @staticmethod
     def _begin(item: str, text: str, end: int, distance: int) -> int:
@@ -153,21 +169,24 @@ class Items:
         return end - size if not distance else max(0, end - len(back))
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
+def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int | None, str]]]:
     """Distinct normalised items in blocks of at most :data:`BLOCK_CHARS` (one longer item alone)."""
+
+    def start():
+        return lambda part: {"normal": pa.array([normal(text) for text in part.column(0).to_pylist()], pa.string())}
+
     rows = items.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    seen = rows.where("trim(text) <> '' and id is not null").groupBy("text").agg(F.min("id").alias("id")).orderBy("id", "text")
-    block, size = {}, 0
+    rows = add_columns(rows, "text", "normal string", start).where("normal <> ''")
+    seen = rows.groupBy("normal").agg(F.min("id").alias("id")).orderBy(F.col("id").asc_nulls_last(), "normal")
+    block, size = [], 0
     for row in seen.toLocalIterator():
-        text = normal(row.text)
-        if block and size + len(text) > BLOCK_CHARS:
-            yield [(i, t) for t, i in block.items()]
-            block, size = {}, 0
-        if text:
-            block.setdefault(text, row.id)
-            size += len(text)
+        if block and size + len(row.normal) > BLOCK_CHARS:
+            yield block
+            block, size = [], 0
+        block.append((row.id, row.normal))
+        size += len(row.normal)
     if block:
-        yield [(i, t) for t, i in block.items()]
+        yield block
 
 
 _BUILT: dict[str, Items] = {}
