@@ -453,18 +453,28 @@ def _components(links: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each component: that of its smallest id, the first by its columns if the id is repeated.
+    """``docs`` with one row of each component, that of its smallest id. Rows without id stay.
 
-    Rows without id stay. Only the ids of rows that go are sent around.
+    Rows of one id and one text count as one, the first by its columns. Different texts under one id are documents
+    of their own, told apart by 64 bits of id and text. Only the keys of rows that go are sent around.
     """
-    placed = written(link_components(docs, id_col=id_col, text_col=text_col, **options), "placed")
-    going = placed.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    several = written(placed.groupBy(id_col).count().where("count > 1").select(id_col), "several")
-    kept = docs.join(_small(going), id_col, "left_anti").select(*docs.columns)
+    one, own_columns = F.col(f"`{id_col}`"), [F.col(f"`{n}`") for n in docs.columns]
+    counts = docs.groupBy(one.alias("id")).count().where("count > 1 and id is not null")
+    several = written(counts.select(F.col("id").alias("__id"), F.lit(True).alias("__several")), "several")
+    keyed = docs.withColumn("__key", one.cast("bigint"))
+    if not several.isEmpty():
+        own = F.xxhash64(F.col("__key"), F.col(f"`{text_col}`").cast("string"))
+        keyed = docs.join(_small(several), one == F.col("__id"), "left").withColumn("__key", one.cast("bigint"))
+        keyed = keyed.withColumn("__key", F.when(F.col("__several"), own).otherwise(F.col("__key"))).drop("__id")
+    placed = written(link_components(keyed, id_col="__key", text_col=text_col, **options), "placed").select("__key", "component_id")
     if several.isEmpty():
-        return kept
-    first = Window.partitionBy(id_col).orderBy(*(F.col(f"`{n}`") for n in docs.columns))
-    repeated = kept.join(_small(several), id_col, "left_semi").withColumn("__row", F.row_number().over(first))
-    return kept.join(_small(several), id_col, "left_anti").select(*docs.columns).unionAll(
-        repeated.where("__row = 1").select(*docs.columns)
-    )
+        going = placed.where("__key <> component_id").select("__key")
+        return keyed.join(_small(written(going, "going")), "__key", "left_anti").select(*own_columns)
+    named = written(placed.distinct().join(keyed.select("__key", one.alias("id")).distinct(), "__key"), "named")
+    stays = named.groupBy("component_id").agg(F.min(F.struct("id", "__key")).getField("__key").alias("stays"))
+    going = written(named.join(stays, "component_id").where("__key <> stays").select("__key"), "going")
+    kept = keyed.join(_small(going), "__key", "left_anti")
+    # An aggregation, so that one row repeated very often is combined before the shuffle.
+    whole = F.struct(*own_columns)
+    repeated = kept.where("__several").groupBy("__key").agg(F.min(whole).alias("row")).select("row.*")
+    return kept.where("__several is null").select(*own_columns).unionAll(repeated)

@@ -412,6 +412,47 @@ def test_decontamination_places_and_blocks(spark, monkeypatch):
     assert [normal[b:e] for i, _, b, e in found[1] if i == 3] == ["the quick brwn fox jumps over the lazy dog again"]
 
 
+def test_short_items_count_between_word_borders(spark, monkeypatch):
+    wanted = spark.createDataFrame(
+        [(1, "The capital of France is Paris"), (2, "yes"), (None, "what is the boiling point of water"), (None, "Yes")],
+        "item_id bigint, text string")
+    texts = ["Q: the capital  of france is paris ok", "xthe capital of france is paris", "the capital of france is parisian", "oh yes sir",
+             "YES", "so what is the boiling point of watr", "the capitol of france is paris"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for block in (1 << 20, 1):
+        monkeypatch.setattr(decontaminate, "BLOCK_CHARS", block)
+        found = {r.doc_id: [(m.item_id, m.distance) for m in r.leaks] for r in decontaminate.find_items(docs, wanted).collect()}
+        assert found == {0: [(1, 0)], 1: [], 2: [], 3: [], 4: [(2, 0)], 5: [(None, 1)], 6: []}
+    assert {r.doc_id for r in decontaminate.without_leaks(docs, wanted).collect()} == {1, 2, 3, 6}
+
+
+def test_equal_items_of_different_blocks_are_told_once(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 10)
+    passage = "a passage that two items hold in different case and spacing"
+    wanted = spark.createDataFrame(
+        [(3, passage.upper()), (2, "some other item that is long enough to count"), (1, passage.replace(" ", "  "))], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, f"so {passage} ends")], "doc_id bigint, text string")
+    assert [m.item_id for m in decontaminate.find_items(docs, wanted).first().leaks] == [1]
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """Unlike texts under one id are documents of their own; a repeated row counts once."""
+    first, second, third = (" ".join(f"{p}{i}" for i in range(30)) for p in "abc")
+    rows = [(2, first, "x"), (2, second, "x"), (2, second, "w"), (3, first, "x"), (1, second + " tail", "x"), (4, third, "x"), (5, third, "x"),
+            (None, first, "x"), (None, first, "x"), (6, None, "x"), (6, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, `a.b` string")
+    kept = {(r.doc_id, r.text) for r in jaccard.keep_one(docs).collect()}
+    assert kept == {(2, first), (1, second + " tail"), (4, third), (None, first), (6, None), (6, "")}
+    alone = docs.where("doc_id = 2")
+    assert sorted(tuple(r) for r in jaccard.keep_one(alone).collect()) == [(2, first, "x"), (2, second, "w")]
+
+
+def test_proposals_depend_on_the_passage_alone():
+    alone = "write to maria at firma.com today"
+    spans = {s for s in pii.proposals(alone) if s[0] == "email"}
+    assert spans and spans <= set(pii.proposals(alone + ". " + "word " * 50 + "x@"))
+
+
 def test_base_spans_against_the_patterns():
     patterns = {
         "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
