@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 import tableprep as tp
 from checks import check, table
+from tableprep.functions import phones
 from tableprep.operators.parse import EMAIL, EMAIL_DOMAIN
 
 
@@ -306,6 +307,39 @@ def phone_fr(spark, sf):
     return tp.standardize_phone(table(spark, sf, "customer").select("c_custkey", phone.alias("phone")), "phone", "FR", flag=True)
 
 
+def _phone_texts(country):
+    """An expression for national numbers of the country's lengths, in all ranges, and one for how they are written."""
+    code, prefix, trunk, _ = phones.COUNTRIES[country]
+    size = {"GB": "9 + c_custkey % 2", "DE": "10 + c_custkey % 2", "US": "10"}.get(country, "9")
+    number = f"substring(CAST(100000000000 + (c_custkey * 7919 * 10007) % 900000000000 AS VARCHAR(20)), 1, CAST({size} AS INT))"
+    text = f"""CASE c_custkey % 3 WHEN 0 THEN concat('{trunk}', {number}) WHEN 1 THEN concat('+{code} ', {number})
+        ELSE concat('{prefix}', '{code}', {number}) END"""
+    return number, text
+
+
+def _phone_query(country):
+    number, text = _phone_texts(country)
+    plan = ", ".join(f"('{p}', '{kind}', {least}, {most})" for p, kind, least, most in phones.plan_rows(country))
+    shape = "AND substring(number, 4, 1) BETWEEN '2' AND '9'" if country == "US" else ""
+
+    @check(f"phone_plan_{country.lower()}", f"""
+        WITH plan(prefix, kind, least, most) AS (VALUES {plan}),
+        numbers AS (SELECT c_custkey, {number} AS number, {text} AS phone FROM customer),
+        longest AS (SELECT c_custkey, max_by(kind, length(prefix)) AS kind, max_by(least, length(prefix)) AS least,
+          max_by(most, length(prefix)) AS most FROM numbers JOIN plan ON starts_with(number, prefix) GROUP BY c_custkey),
+        valid AS (SELECT c_custkey, kind AS phone_kind FROM longest JOIN numbers USING (c_custkey)
+          WHERE kind <> '' AND length(number) BETWEEN least AND most {shape})
+        SELECT c_custkey, CASE WHEN phone_kind IS NULL THEN phone ELSE '+{phones.COUNTRIES[country][0]}' || number END AS phone,
+          phone_kind IS NOT NULL AS phone_is_valid, phone_kind FROM numbers LEFT JOIN valid USING (c_custkey)""")
+    def phone_plan(spark, sf):
+        texts = table(spark, sf, "customer").select("c_custkey", F.expr(text).alias("phone"))
+        return tp.standardize_phone(texts, "phone", country, flag=True, kind=True)
+
+
+for _country in phones.COUNTRIES:
+    _phone_query(_country)
+
+
 @check("text_repair", "SELECT doc_id, md5(text) AS digest, length(text) AS n FROM documents")
 def text_repair(spark, sf):
     damaged = F.col("text")

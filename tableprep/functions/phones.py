@@ -1,7 +1,7 @@
-"""Phone numbers in E.164 form, by numbering rules of six countries.
+"""Phone numbers in E.164 form, by the numbering plans of six countries.
 
-This is an approximation: it checks calling codes, trunk prefixes and lengths, not every range that a
-numbering authority has handed out.
+A number is valid when the longest prefix of its national part in the country's plan is in use and allows its length.
+The plans tell ranges apart as far as the regulators' overviews do, not every block that was handed out.
 """
 
 from __future__ import annotations
@@ -9,37 +9,96 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Calling code, international prefix, trunk prefix, national number.
+# Calling code, international prefix, trunk prefix, shape of the national number.
 COUNTRIES = {
     "FR": ("33", "00", "0", "[1-9][0-9]{8}"),
     "US": ("1", "011", "1", "[2-9][0-9]{2}[2-9][0-9]{6}"),
-    "GB": ("44", "00", "0", "[1-9][0-9]{8,9}"),
-    "DE": ("49", "00", "0", "1[5-7][0-9]{8,9}|[2-9][0-9]{5,10}"),
-    "CH": ("41", "00", "0", "[2-9][0-9]{8}"),
+    "GB": ("44", "00", "0", "[1-9][0-9]{6,9}"),
+    "DE": ("49", "00", "0", "[1-9][0-9]{4,13}"),
+    "CH": ("41", "00", "0", "[1-9][0-9]{8}"),
     "ES": ("34", "00", "", "[5-9][0-9]{8}"),
 }
 
+# Kind, digits of the national number (least, most), prefixes. The longest prefix counts; kind "" is not in use.
+PLANS = {
+    "FR": [
+        ("fixed", 9, 9, "1 2 3 4 5"), ("", 9, 9, "262 40 590 594"), ("mobile", 9, 9, "6 73 74 75 76 77 78 79"), ("", 9, 9, "639 690 691 692 693 694 696 697"),
+        ("free", 9, 9, "80"), ("shared", 9, 9, "81 82 84 88"), ("premium", 9, 9, "83 85 86 89"), ("voip", 9, 9, "9"),
+    ],
+    "US": [
+        ("fixed or mobile", 10, 10, "2 3 4 5 6 7 8 9"), ("", 10, 10, "211 311 411 511 611 711 811 911"), ("", 10, 10, "29 37 39 49 59 69 79 89 96 99"),
+        ("free", 10, 10, "800 833 844 855 866 877 888"), ("premium", 10, 10, "900"), ("personal", 10, 10, "500 521 522 533 544 566 577 588"),
+        ("", 10, 10, "822 880 881 882 883 884 885 886 887"),
+    ],
+    "GB": [
+        ("fixed", 9, 10, "1"), ("", 9, 10, "10 110 111 112 119"), ("fixed", 10, 10, "20 23 24 28 29"), ("company", 10, 10, "30 33 34 37"),
+        ("free", 9, 9, "500"), ("voip", 10, 10, "55 56"), ("personal", 10, 10, "70"), ("mobile", 10, 10, "71 72 73 74 75 77 78 79 7624"),
+        ("pager", 10, 10, "76"), ("free", 9, 10, "800"), ("free", 7, 7, "8001111"), ("free", 10, 10, "808"), ("shared", 10, 10, "84 87"),
+        ("premium", 10, 10, "90 91 98"),
+    ],
+    "DE": [
+        ("fixed", 6, 11, "2 3 4 5 6 7 8 9"), ("fixed", 5, 11, "30 40 69 89"), ("", 6, 11, "310 311"), ("mobile", 11, 11, "15"),
+        ("mobile", 10, 10, "160 162 163 170 171 172 173 174 175 177 178"), ("mobile", 10, 11, "176 179"), ("pager", 9, 14, "164 168 169"),
+        ("shared", 7, 14, "180"), ("voip", 9, 12, "32"), ("personal", 11, 11, "700"), ("free", 10, 14, "800"), ("premium", 10, 10, "900"),
+    ],
+    "CH": [
+        ("fixed", 9, 9, "21 22 24 26 27 31 32 33 34 41 43 44 52 55 56 61 62 71 81 91"), ("company", 9, 9, "51 58"), ("pager", 9, 9, "74"),
+        ("mobile", 9, 9, "75 76 77 78 79"), ("free", 9, 9, "800"), ("shared", 9, 9, "840 842 844 848"), ("personal", 9, 9, "878"),
+        ("premium", 9, 9, "900 901 906"),
+    ],
+    "ES": [
+        ("fixed", 9, 9, "81 82 83 84 85 86 87 88 91 92 93 94 95 96 97 98"), ("mobile", 9, 9, "6 71 72 73 74 78 79"), ("voip", 9, 9, "51"),
+        ("personal", 9, 9, "70"), ("free", 9, 9, "800 900"), ("shared", 9, 9, "901 902"), ("premium", 9, 9, "803 806 807 905"),
+    ],
+}
 
-def _international() -> str:
-    forms = [f"{code}(?:{number})" for code, _, _, number in COUNTRIES.values()]
-    return "^\\+(?:" + "|".join(forms) + ")\\z"
 
+def plan_rows(country: str) -> list[tuple[str, str, int, int]]:
+    """The country's plan: prefix, kind, least and most digits of the national number."""
+    return [(prefix, kind, least, most) for kind, least, most, prefixes in PLANS[country] for prefix in prefixes.split()]
 
-def phone_e164(column: Column, country: str = "FR") -> Column:
-    """The E.164 form, or NULL when the text is not a valid number."""
+
+def _form(country: str, kinds: set[str]) -> str:
+    """A pattern of the national numbers whose longest prefix is of one of the kinds."""
+    rows, forms = plan_rows(country), []
+    for prefix, kind, least, most in rows:
+        if kind in kinds:
+            longer = [other[len(prefix) :] for other, *_ in rows if other.startswith(prefix) and other != prefix]
+            ahead = f"(?!{'|'.join(longer)})" if longer else ""
+            forms.append(f"{prefix}{ahead}[0-9]{{{least - len(prefix)},{most - len(prefix)}}}")
+    return f"^(?={COUNTRIES[country][3]}\\z)(?:{'|'.join(forms)})\\z"
+
+
+def _kinds(country: str) -> list[str]:
+    return sorted({kind for kind, *_ in PLANS[country] if kind})
+
+
+def national_kind(number: Column, country: str) -> Column:
+    """What a national number (digits, without trunk prefix) is for, or NULL when the plan has no such number."""
+    return F.coalesce(*(F.when(number.rlike(_form(country, {kind})), kind) for kind in _kinds(country)))
+
+
+def _parts(column: Column, country: str) -> list[tuple[str, Column]]:
+    """The readings of a text as a calling code's country and a national number, the likeliest first."""
     if country not in COUNTRIES:
         raise ValueError(f"country must be one of {', '.join(COUNTRIES)}")
-    code, prefix, trunk, number = COUNTRIES[country]
+    code, prefix, trunk, _ = COUNTRIES[country]
     compact = F.regexp_replace(column.cast("string"), "[\\s().\\-/ ]", "")
-    digits = F.regexp_extract(compact, f"^{trunk}({number})\\z", 1) if trunk else F.lit("")
-    bare = F.regexp_extract(compact, f"^({number})\\z", 1)
-    with_code = F.regexp_extract(compact, f"^{code}({number})\\z", 1)
-    national = F.coalesce(F.nullif(digits, F.lit("")), F.nullif(bare, F.lit("")), F.nullif(with_code, F.lit("")))
     # "+33 (0)6..." keeps a trunk zero that must go.
-    plus = F.regexp_replace(
-        F.regexp_replace(compact, f"^{prefix}", "+"), "^\\+(33|44|49|41)0", "+$1"
-    )
-    return (
-        F.when(plus.rlike(_international()), plus)
-        .when(national.isNotNull(), F.concat(F.lit("+" + code), national))
-    )
+    plus = F.regexp_replace(F.regexp_replace(compact, f"^{prefix}", "+"), "^\\+(33|44|49|41)0", "+$1")
+    after = lambda text, start: F.regexp_extract(text, f"^{start}([0-9]+)\\z", 1)
+    parts = [(other, after(plus, f"\\+{COUNTRIES[other][0]}")) for other in COUNTRIES]
+    return parts + [(country, after(compact, start)) for start in dict.fromkeys([trunk, "", code])]
+
+
+def phone_e164(column: Column, country: str = "FR") -> Column:
+    """The E.164 form, or NULL when the text is not a valid number."""
+    return F.coalesce(*(
+        F.when(number.rlike(_form(where, set(_kinds(where)))), F.concat(F.lit("+" + COUNTRIES[where][0]), number))
+        for where, number in _parts(column, country)
+    ))
+
+
+def phone_kind(column: Column, country: str = "FR") -> Column:
+    """What a valid number is for (fixed, mobile, free, shared, premium, voip, ...), else NULL."""
+    return F.coalesce(*(national_kind(number, where) for where, number in _parts(column, country)))

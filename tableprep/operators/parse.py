@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableprep.functions.dates import DATE_FORMATS, iso_date, matches_format
-from tableprep.functions.phones import phone_e164
+from tableprep.functions.phones import phone_e164, phone_kind
 from tableprep.functions.text import parse_amount, repair_damage
 
 # What counts as an email address, and the part after the "@".
@@ -75,12 +75,17 @@ def parse_currency(df: DataFrame, col: str, decimal: str = ".") -> DataFrame:
     return df.withColumn(f"{col}_num", parse_amount(df[col], decimal))
 
 
-def standardize_phone(df: DataFrame, col: str, country: str = "FR", flag: bool = False) -> DataFrame:
-    """Valid numbers in E.164 form, others unchanged; ``flag`` adds ``<col>_is_valid``."""
+def standardize_phone(df: DataFrame, col: str, country: str = "FR", flag: bool = False, kind: bool = False) -> DataFrame:
+    """Valid numbers in E.164 form, others unchanged.
+
+    ``flag`` adds ``<col>_is_valid``, ``kind`` adds ``<col>_kind`` (fixed, mobile, free, ..., NULL when not valid).
+    """
     number = phone_e164(df[col], country)
     result = {col: F.coalesce(number, df[col].cast("string"))}
     if flag:
         result[f"{col}_is_valid"] = number.isNotNull()
+    if kind:
+        result[f"{col}_kind"] = phone_kind(df[col], country)
     return df.withColumns(result)
 
 

@@ -79,6 +79,18 @@ def test_phone_countries(spark, country, value, expected):
         tp.standardize_phone(column(spark, [value]), "v", "XX")
 
 
+@pytest.mark.parametrize("country, value, kind", [
+    ("FR", "01 42 68 53 00", "fixed"), ("FR", "0262 12 34 56", None), ("FR", "0800 123 456", "free"), ("FR", "0712345678", None),
+    ("US", "911-555-0123", None), ("US", "800-555-0123", "free"), ("US", "297 555 0123", None), ("US", "202-155-0123", None),
+    ("GB", "0800 1111", "free"), ("GB", "07624 123456", "mobile"), ("GB", "07600 123456", "pager"), ("GB", "020 7946 095", None),
+    ("DE", "0170 1234567", "mobile"), ("DE", "0170 12345678", None), ("DE", "0190 123456", None), ("CH", "079 123 45 67", "mobile"),
+    ("CH", "023 123 45 67", None), ("ES", "900 123 456", "free"), ("ES", "99 123 45 67", None), ("ES", "+33 6 12 34 56 78", "mobile"),
+])
+def test_phone_plans(spark, country, value, kind):
+    done = tp.standardize_phone(column(spark, [value]), "v", country, flag=True, kind=True).first()
+    assert (done.v_kind, done.v_is_valid) == (kind, kind is not None)
+
+
 def test_repair(spark):
     good = ["é à è ù â ê î ô û ë ï ü ç É Ê °", "10 €", "l'été – fin — fin", "clean 😀", None]
     damaged = [
