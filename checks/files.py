@@ -116,12 +116,12 @@ def quoted_breaks(spark, sf):
 
 @check("json_array", "SELECT event_id, event_type, value, props FROM events")
 def json_array(spark, sf):
-    """An array of objects in a file, cut into blocks of a fraction of its size."""
+    """Arrays of objects in files, cut into blocks of a fraction of their size."""
     path = new_path(spark, "array")
     events = table(spark, sf, "events").select("event_id", "event_type", "value", "props")
-    # One file for each hundred thousand events, each an array on one line.
-    file = F.floor(F.col("event_id") / 100_000).alias("file")
-    arrays = events.groupBy(file).agg(F.to_json(F.collect_list(F.struct(*events.columns))).alias("value"))
+    # One array on a line for each hundred thousand events; a file may hold several.
+    part = F.floor(F.col("event_id") / 100_000).alias("part")
+    arrays = events.groupBy(part).agg(F.to_json(F.collect_list(F.struct(*events.columns))).alias("value"))
     arrays.select("value").write.text(path)
     with small_blocks(spark):
         return tp.read_json(spark, path, multiline=True, schema=events.schema)

@@ -127,7 +127,7 @@ def _read_files(spark, files, options, schema, order, normalize, bad_rows) -> Da
 
 
 def read_json(spark: SparkSession, path: str, multiline: bool = False, schema: T.StructType | None = None) -> DataFrame:
-    """One object per line, or with ``multiline`` an array of objects per file.
+    """One object per line, or with ``multiline`` arrays of objects, one or several in a file.
 
     All tasks look for the objects of an array (see :mod:`tableprep.sources.records`): the files are read twice and written once to
     the shared folder as lines. Other multi-line files, with one object each, are read by one task each.

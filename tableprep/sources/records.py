@@ -325,13 +325,12 @@ class _Elements:
     def close(self) -> list[tuple]:
         row = self._row(0 if self.head else 1, b"".join(self.open))
         # What follows the last object is the end of the array, and a brace that stands for the end of the file.
-        return [row] if row[-1].strip(b" \t\r\n,]}") else []
+        return [row] if row[-1].strip(b" \t\r\n,[]}") else []
 
     def _row(self, part: int | None, text: bytes) -> tuple:
         if part != 0:
-            text = text.lstrip(b"\xef\xbb\xbf \t\r\n,")
-            if self.key[1] == 0 and text.startswith(b"["):
-                text = text[1:].lstrip()
+            # Before an object there may be a comma, the start of its array, and the end of an array before that one.
+            text = text.lstrip(b"\xef\xbb\xbf \t\r\n,[]")
         return (*self.key, part, False, text.replace(b"\n", b" ").replace(b"\r", b" "))
 
 
@@ -351,7 +350,7 @@ def _cut_objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def split_array(spark: SparkSession, path: str) -> str | None:
-    """Rewrite files that each hold an array of JSON objects as one object a line; returns the folder, or None if some file is no array.
+    """Rewrite files that hold an array of JSON objects, or several in a row, as one object a line; returns the folder, or None if some file is no array.
 
     Files are cut at closing braces, so one without line breaks is split too. An array that is not closed raises.
     """

@@ -134,6 +134,20 @@ def test_arrays_equal_their_objects(small_blocks, tmp_path, indent):
     assert one.count() == 20
 
 
+def test_several_arrays_in_a_file(small_blocks, tmp_path):
+    """Whatever bytes a block ends with: spaces move the cuts through the ends of the arrays."""
+    folder, expected = tmp_path / "in", []
+    folder.mkdir()
+    for shift in range(24):
+        parts = [objects(100 * shift + k, 6) for k in range(4)]
+        expected += [row for part in parts for row in part]
+        text = "\n".join(" " * shift + json.dumps(part) + ("" if k % 2 else "\n[]") for k, part in enumerate(parts))
+        put(folder / f"{shift}.json", text)
+    df = tp.read_json(small_blocks, str(folder), multiline=True)
+    found = [json.loads(r.j) for r in df.select(F.to_json(F.struct(*df.columns)).alias("j")).collect()]
+    assert sorted(map(json.dumps, found)) == sorted(map(json.dumps, [dict(sorted(row.items())) for row in expected]))
+
+
 def test_other_json_files(small_blocks, tmp_path):
     assert tp.read_json(small_blocks, put(tmp_path / "o.json", '{"a": 1,\n "b": [1]}'), multiline=True).collect() == [(1, [1])]
     for text in ('[{"a": 1}, {"a": 2', '[{"a": 1}, {"a": "x}]'):
