@@ -13,6 +13,9 @@ apart into smaller ones, until none is large. What all rests of a bucket begin o
 One edit needs no pieces: two values that differ in one character are equal without it. An equi-join on the place and the value
 without that character finds just these pairs, however dense the values are (up to ``LONG`` characters).
 
+Where one pair in a hundred is near, as a sample tells, keys save nothing: most buckets are large and each pair is found under many
+of them. Then all pairs are compared, once each, block by block. That is at most a hundred comparisons for each pair found.
+
 The number of pairs can be quadratic in the number of values when they really are all close, so ``near_pairs`` can be
 given a limit above which it raises. ``near_clusters`` needs no pairs: values that are equal without a character are linked to the first of
 them, and where more edits are allowed, only buckets that hold more than one of these groups are looked at.
@@ -34,6 +37,10 @@ from tableprep.scratch import remove, written
 BUCKET_LIMIT = 100
 # Up to so many characters, values are compared without one of them; longer ones would make too many copies.
 LONG = 64
+# All pairs are compared where at least this share of them is near, estimated from so many values of each side.
+DENSE, SAMPLED = 0.01, 1000
+# Blocks of this many values are compared with each other, but of a side there are no more than so many blocks.
+BLOCK, MAX_BLOCKS = 1000, 64
 
 
 def _array(rows: list[str]) -> Column:
@@ -114,16 +121,19 @@ def _probe_keys(state: DataFrame, d: int, longer_only: bool) -> DataFrame:
     return _piece_keys(state, moves, d).unionAll(_kept_keys(state, short))
 
 
-def _candidates(left: DataFrame, right: DataFrame, d: int, same: bool, bucket_limit: int, groups: bool = False) -> DataFrame:
+def _candidates(
+    left: DataFrame, right: DataFrame, d: int, same: bool, bucket_limit: int, groups: bool = False, stripped: bool = False
+) -> DataFrame:
     """Pairs (v1, v2, distance) with distance at most d; ``left`` is cut, ``right`` is searched for. Pairs may repeat.
 
     Both have columns ``value``, ``letters``, ``grp``, ``rest`` and ``ctx``. With ``groups`` only pairs between different groups (``grp``) are
-    wanted, and of these just so many that the same values hang together.
+    wanted, and of these just so many that the same values hang together. ``stripped``: :func:`_stripped` made the sides.
     """
     found = []
     while True:
         small = not groups and min(side.count() for side in ((left,) if left is right else (left, right))) <= bucket_limit
-        left, right = (left, right) if small else _stripped(left, right)
+        left, right = (left, right) if small or stripped else _stripped(left, right)
+        stripped = False
         index, probe = _index_keys(left, d), _probe_keys(right, d, same)
         sizes = None if small else _bucket_sizes(index, probe, bucket_limit, groups)
         if sizes is None:
@@ -251,9 +261,41 @@ def _one_edit_links(values: DataFrame) -> DataFrame:
     return stars.unionAll(inserted).where("v1 <> v2").where(F.levenshtein("v1", "v2", 1) == 1)
 
 
+def _is_dense(left: DataFrame, right: DataFrame, d: int, same: bool) -> bool:
+    """Whether a bounded sample of both sides has many near pairs; this decides how pairs are looked for, not which are found."""
+    first, other = (side.orderBy(F.xxhash64("value")).select("rest").limit(SAMPLED) for side in (left, right))
+    pairs = first.select(F.col("rest").alias("r1")).join(F.broadcast(other.select(F.col("rest").alias("r2"))), how="cross")
+    seen, near = pairs.where("r1 <> r2" if same else "true").agg(F.count("*"), F.count_if(F.levenshtein("r1", "r2", d) >= 0)).first()
+    return near > 0 and near >= DENSE * seen
+
+
+def _all_near(left: DataFrame, right: DataFrame, d: int, same: bool) -> DataFrame:
+    """Pairs (v1, v2, distance) with at most d edits between the rests, each once, from comparing all of them.
+
+    A value meets the others in pairs of blocks: its copies are bounded by the number of blocks, a task's rows by their size.
+    """
+    blocks = min(MAX_BLOCKS, max(side.count() for side in ((left,) if same else (left, right))) // BLOCK + 1)
+    block, meeting = F.pmod(F.xxhash64("value"), F.lit(blocks)), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    met = (
+        left.select(F.col("value").alias("v1"), F.col("rest").alias("r1"), block.alias("i"), meeting.alias("j")),
+        right.select(F.col("value").alias("v2"), F.col("rest").alias("r2"), meeting.alias("i"), block.alias("j")),
+    )
+    # A number of partitions that is given stays: by their bytes alone Spark would merge them.
+    first, other = (side.where("i <= j" if same else "true").repartition(blocks * blocks, "i", "j") for side in met)
+    pairs = first.join(other.hint("shuffle_hash"), ["i", "j"])
+    near = (pairs.where("i < j or v1 < v2") if same else pairs).withColumn("distance", F.levenshtein("r1", "r2", d)).where("distance >= 0")
+    if same:
+        near = near.select(F.least("v1", "v2").alias("v1"), F.greatest("v1", "v2").alias("v2"), "distance")
+    return near.select("v1", "v2", "distance")
+
+
 def _pairs(left: DataFrame, right: DataFrame, d: int, same: bool, bucket_limit: int) -> DataFrame:
     if d != 1:
-        return _candidates(left, right, d, same, bucket_limit).distinct()
+        # All values are in one context here, so what is cut off changes no distance.
+        sides = _stripped(left, right)
+        if _is_dense(*sides, d, same):
+            return _all_near(*sides, d, same)
+        return _candidates(*sides, d, same, bucket_limit, stripped=True).distinct()
     length = F.length("value")
     short = _one_edit(left.where(length <= LONG), right.where(length <= LONG), same)
     # Of two values with one edit between them none is long, or both have LONG characters at least.

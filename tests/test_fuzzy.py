@@ -48,6 +48,24 @@ def test_pairs_equal_brute_force(spark, d, bucket_limit):
     assert len(found) == len(set(found)) and set(found) == expected
 
 
+@pytest.mark.parametrize("dense, unused", [(0, "_candidates"), (2, "_all_near")])
+def test_dense_values_are_compared_once(spark, monkeypatch, dense, unused):
+    """All pairs in several blocks, or by keys: the same pairs; names that count up need no keys."""
+    values = mixture(7)
+    expected = {(min(a, b), max(a, b), distance(a, b)) for i, a in enumerate(values) for b in values[i + 1 :] if distance(a, b) <= 2}
+    monkeypatch.setattr(fuzzy, "BLOCK", 30)
+    with monkeypatch.context() as context:
+        context.setattr(fuzzy, "DENSE", dense)
+        context.setattr(fuzzy, unused, None)
+        found = [tuple(r) for r in tp.near_pairs(words(spark, values), "v", 2, 10).collect()]
+        assert len(found) == len(set(found)) and set(found) == expected
+        both = {tuple(r) for r in tp.near_match(words(spark, values[:50]), "v", words(spark, values[30:]), "v", 2, 10).collect()}
+        assert both == {(a, b, distance(a, b)) for a in values[:50] for b in values[30:] if distance(a, b) <= 2}
+    names = [f"Customer#{k:09}" for k in range(300)]
+    monkeypatch.setattr(fuzzy, "_candidates", None)
+    assert tp.near_pairs(words(spark, names), "v", 3).count() == 300 * 299 // 2
+
+
 @pytest.mark.parametrize("d, bucket_limit", [(1, 100), (2, 100), (2, 4), (3, 3)])
 def test_clusters_equal_components_of_brute_force(spark, d, bucket_limit):
     values = mixture(20 + d)
