@@ -58,47 +58,38 @@ def plan_rows(country: str) -> list[tuple[str, str, int, int]]:
     return [(prefix, kind, least, most) for kind, least, most, prefixes in PLANS[country] for prefix in prefixes.split()]
 
 
-def _form(country: str, kinds: set[str]) -> str:
-    """A pattern of the national numbers whose longest prefix is of one of the kinds."""
-    rows, forms = plan_rows(country), []
-    for prefix, kind, least, most in rows:
-        if kind in kinds:
-            longer = [other[len(prefix) :] for other, *_ in rows if other.startswith(prefix) and other != prefix]
-            ahead = f"(?!{'|'.join(longer)})" if longer else ""
-            forms.append(f"{prefix}{ahead}[0-9]{{{least - len(prefix)},{most - len(prefix)}}}")
-    return f"^(?={COUNTRIES[country][3]}\\z)(?:{'|'.join(forms)})\\z"
-
-
-def _kinds(country: str) -> list[str]:
-    return sorted({kind for kind, *_ in PLANS[country] if kind})
-
-
-def national_kind(number: Column, country: str) -> Column:
-    """What a national number (digits, without trunk prefix) is for, or NULL when the plan has no such number."""
-    return F.coalesce(*(F.when(number.rlike(_form(country, {kind})), kind) for kind in _kinds(country)))
-
-
-def _parts(column: Column, country: str) -> list[tuple[str, Column]]:
-    """The readings of a text as a calling code's country and a national number, the likeliest first."""
+def _kind_sql(digits: str, country: str) -> str:
+    """What a national number (digits, without trunk prefix) is for, as SQL text; NULL when the plan has no such number."""
+    by_size: dict[int, dict[tuple[str, int, int], list[str]]] = {}
+    for prefix, kind, least, most in plan_rows(country):
+        by_size.setdefault(len(prefix), {}).setdefault((kind, least, most), []).append(prefix)
+    # The longest prefix comes first and decides, whether it is in use or not.
+    cases = " ".join(
+        f"WHEN substring({digits}, 1, {size}) IN ('{"', '".join(prefixes)}') THEN "
+        + (f"if(length({digits}) BETWEEN {least} AND {most}, '{kind}', NULL)" if kind else "CAST(NULL AS STRING)")
+        for size in sorted(by_size, reverse=True) for (kind, least, most), prefixes in by_size[size].items()
+    )
+    return f"if({digits} RLIKE '^{COUNTRIES[country][3]}$', CASE {cases} END, NULL)"
+
+
+def readings(column: Column, country: str = "FR") -> Column:
+    """The readings of a text as a calling code and a national number, the likeliest first; digits are empty where it has no such reading."""
     if country not in COUNTRIES:
         raise ValueError(f"country must be one of {', '.join(COUNTRIES)}")
     code, prefix, trunk, _ = COUNTRIES[country]
-    compact = F.regexp_replace(column.cast("string"), "[\\s().\\-/ ]", "")
+    # Spaces and the signs that numbers are grouped with.
+    compact = F.translate(column.cast("string"), " \t\n\x0b\f\r().-/\xa0", "")
     # "+33 (0)6..." keeps a trunk zero that must go.
     plus = F.regexp_replace(F.regexp_replace(compact, f"^{prefix}", "+"), "^\\+(33|44|49|41)0", "+$1")
-    after = lambda text, start: F.regexp_extract(text, f"^{start}([0-9]+)\\z", 1)
-    parts = [(other, after(plus, f"\\+{COUNTRIES[other][0]}")) for other in COUNTRIES]
-    return parts + [(country, after(compact, start)) for start in dict.fromkeys([trunk, "", code])]
-
-
-def phone_e164(column: Column, country: str = "FR") -> Column:
-    """The E.164 form, or NULL when the text is not a valid number."""
-    return F.coalesce(*(
-        F.when(number.rlike(_form(where, set(_kinds(where)))), F.concat(F.lit("+" + COUNTRIES[where][0]), number))
-        for where, number in _parts(column, country)
-    ))
-
-
-def phone_kind(column: Column, country: str = "FR") -> Column:
-    """What a valid number is for (fixed, mobile, free, shared, premium, voip, ...), else NULL."""
-    return F.coalesce(*(national_kind(number, where) for where, number in _parts(column, country)))
+    # No calling code begins another, so a text has one reading at most as an international number.
+    codes = "|".join(digits for digits, *_ in COUNTRIES.values())
+    abroad = [F.regexp_extract(plus, f"^\\+({codes})([0-9]+)\\z", k) for k in (1, 2)]
+    home = [(F.lit(code), F.regexp_extract(compact, f"^{start}([0-9]+)\\z", 1)) for start in dict.fromkeys([trunk, "", code])]
+    return F.array(*(F.struct(c.alias("code"), digits.alias("digits")) for c, digits in (abroad, *home)))
+
+
+def first_valid(name: str) -> Column:
+    """The ``e164`` form and the ``kind`` (fixed, mobile, free, ...) of the first valid one of the :func:`readings` in a column, else NULL."""
+    kinds = " ".join(f"WHEN '{code}' THEN {_kind_sql('r.digits', where)}" for where, (code, *_) in COUNTRIES.items())
+    judged = f"r -> named_struct('e164', concat('+', r.code, r.digits), 'kind', CASE r.code {kinds} END)"
+    return F.expr(f"get(filter(transform(filter({name}, r -> r.digits <> ''), {judged}), r -> r.kind IS NOT NULL), 0)")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableprep.functions.dates import DATE_FORMATS, iso_date, matches_format
-from tableprep.functions.phones import phone_e164, phone_kind
+from tableprep.functions.phones import first_valid, readings
 from tableprep.functions.text import parse_amount, repair_damage
 
 # What counts as an email address, and the part after the "@".
@@ -80,13 +80,15 @@ def standardize_phone(df: DataFrame, col: str, country: str = "FR", flag: bool =
 
     ``flag`` adds ``<col>_is_valid``, ``kind`` adds ``<col>_kind`` (fixed, mobile, free, ..., NULL when not valid).
     """
-    number = phone_e164(df[col], country)
-    result = {col: F.coalesce(number, df[col].cast("string"))}
+    # A column of its own, so that each text is read once for all that is told about it.
+    read = df.withColumn("__phone", readings(df[col], country)).withColumn("__phone", first_valid("__phone"))
+    number = F.col("__phone.e164")
+    result = {col: F.coalesce(number, read[col].cast("string"))}
     if flag:
         result[f"{col}_is_valid"] = number.isNotNull()
     if kind:
-        result[f"{col}_kind"] = phone_kind(df[col], country)
-    return df.withColumns(result)
+        result[f"{col}_kind"] = F.col("__phone.kind")
+    return read.withColumns(result).drop("__phone")
 
 
 def repair_text(df: DataFrame, col: str, aggressive: bool = False) -> DataFrame:

@@ -79,6 +79,12 @@ def test_phone_countries(spark, country, value, expected):
         tp.standardize_phone(column(spark, [value]), "v", "XX")
 
 
+def test_a_phone_is_read_once(spark, plan_of):
+    """One test of the shape for each plan, whatever is told about the number, and no search by kind."""
+    df = tp.standardize_phone(spark.range(1).selectExpr("cast(id as string) as v"), "v", "CH", flag=True, kind=True)
+    assert 0 < plan_of(df).upper().count("RLIKE") <= 6
+
+
 @pytest.mark.parametrize("country, value, kind", [
     ("FR", "01 42 68 53 00", "fixed"), ("FR", "0262 12 34 56", None), ("FR", "0800 123 456", "free"), ("FR", "0712345678", None),
     ("US", "911-555-0123", None), ("US", "800-555-0123", "free"), ("US", "297 555 0123", None), ("US", "202-155-0123", None),
