@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 AGGREGATES = {"COUNT": F.count, "SUM": F.sum, "AVG": F.avg, "MIN": F.min, "MAX": F.max}
+# Up to so many pivot columns are aggregated side by side.
+FEW_VALUES = 20
 
 
-def _aggregate(agg: str, value: str) -> Column:
+def _aggregate(agg: str, value: Column) -> Column:
     if agg.upper() not in AGGREGATES:
         raise ValueError(f"agg must be one of {', '.join(AGGREGATES)}")
-    return AGGREGATES[agg.upper()](F.col(value))
+    return AGGREGATES[agg.upper()](value)
 
 
 def pivot(
@@ -38,7 +40,10 @@ def pivot(
         values = sorted(r[0] for r in found)
     if not values:
         return df.select(row).distinct()
-    result = df.groupBy(row).pivot(col, list(values)).agg(_aggregate(agg, value))
+    if len(values) <= FEW_VALUES and all(isinstance(v, str) for v in values) and len(set(values)) == len(values):
+        # One exchange of a row for each line. Spark's own pivot groups by line and value first, and then again by line.
+        return df.groupBy(row).agg(*(_aggregate(agg, F.when(F.col(col) == v, F.col(value))).alias(v) for v in values))
+    result = df.groupBy(row).pivot(col, list(values)).agg(_aggregate(agg, F.col(value)))
     if agg.upper() == "COUNT":
         result = result.fillna(0, subset=[c for c in result.columns if c != row])
     return result
@@ -47,7 +52,7 @@ def pivot(
 def grouped(df: DataFrame, row: str, value: str, agg: str = "COUNT") -> DataFrame:
     """One aggregate per row value, in order, as column ``<AGG>_<value>``."""
     name = f"{agg.upper()}_{value}"
-    return df.groupBy(row).agg(_aggregate(agg, value).alias(name)).orderBy(F.asc_nulls_last(row))
+    return df.groupBy(row).agg(_aggregate(agg, F.col(value)).alias(name)).orderBy(F.asc_nulls_last(row))
 
 
 def unpivot(

@@ -1,5 +1,6 @@
 """Registered queries on small tables made to hold what the test tables lack."""
 
+import tableprep as tp
 from checks import QUERIES
 
 
@@ -8,3 +9,10 @@ def test_pivot_sparse_counts_values_above_zero(spark, tmp_path, rows):
     spark.createDataFrame(events, "user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
     found = QUERIES["pivot_sparse"](spark, str(tmp_path))
     assert rows(found, "user_id", "click", "error") == [(1, 1, 0), (2, 0, 0)]
+
+
+def test_few_columns_are_pivoted_in_one_exchange(spark, plan_of, rows):
+    df = spark.createDataFrame([(1, "a", 2.0), (1, "b", None), (2, "c", 1.0), (None, "a", 5.0), (1, "a", 3.0)], "id long, k string, v double")
+    wide = tp.pivot(df, "id", "k", "v", "SUM", values=["a", "b"])
+    assert wide.columns == ["id", "a", "b"] and rows(wide) == [(1, 5.0, None), (2, None, None), (None, 5.0, None)]
+    assert plan_of(wide).split("Initial Plan")[-1].count("Exchange") == 1
