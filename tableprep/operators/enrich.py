@@ -11,6 +11,9 @@ from tableprep.operators.columns import add_row_id, hide_columns
 from tableprep.operators.joins import update_by_key
 from tableprep.scratch import exists, written
 
+# Steps in which a ledger records a large table.
+STEPS = 100
+
 
 def enrich(
     df: DataFrame,
@@ -31,7 +34,8 @@ def enrich(
 
     ``ledger`` is a folder in shared storage, one for each table, that outlives the job: the rows are written there in files of a batch each, and a
     stream takes ``batches_at_once`` of them at a time (by default as many as there are cores) and records what ``fn`` returned. When the job is lost or
-    ``fn`` raises, the same call goes on after the last recorded batches; none of those is asked for again.
+    ``fn`` raises, the same call goes on after the last recorded batches; none of those is asked for again. A table of very many batches has
+    several in a file, one asked for after the other, so that it is recorded in about ``STEPS`` steps: a failure costs one of these.
     """
     own_key = key is None
     if own_key:
@@ -61,12 +65,15 @@ def _recorded(
     """The table as it was when the ledger was begun, and what its batches returned."""
     spark = df.sparkSession
     rows, returned = f"{ledger}/rows", f"{ledger}/returned"
+    at_once = at_once or spark.sparkContext.defaultParallelism
     if not exists(spark, f"{rows}/_SUCCESS"):
-        df.write.mode("overwrite").option("maxRecordsPerFile", batch_size).parquet(rows)
+        # The cost of a step grows with the steps before it, so their number is bounded.
+        batches = -(-df.count() // batch_size)
+        in_file = batch_size * max(1, -(-batches // (at_once * STEPS)))
+        df.write.mode("overwrite").option("maxRecordsPerFile", in_file).parquet(rows)
     begun = spark.read.parquet(rows)
     if [(f.name, f.dataType) for f in begun.schema] != [(f.name, f.dataType) for f in df.schema]:
         raise ValueError(f"the ledger {ledger} belongs to another table")
-    at_once = at_once or spark.sparkContext.defaultParallelism
     stream = spark.readStream.schema(begun.schema).option("maxFilesPerTrigger", at_once).parquet(rows)
     asked = hide_columns(stream, hidden).mapInPandas(in_batches, schema).writeStream.format("parquet").outputMode("append")
     asked.option("path", returned).option("checkpointLocation", f"{ledger}/progress").trigger(availableNow=True).start().awaitTermination()
