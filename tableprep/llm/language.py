@@ -29,6 +29,7 @@ UNKNOWN = "und"
 #: Words: letters, and the marks that belong to them.
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _WORD_SQL = r"\p{L}[\p{L}\p{M}]*"
+_GAPS = {k: " " for k in range(128) if not chr(k).isalpha()}
 #: Words a worker remembers the scores of.
 REMEMBERED = 200_000
 #: Different features that a task counts before it passes them on.
@@ -123,6 +124,7 @@ class Scores(dict):
     def __init__(self, model: Model):
         super().__init__()
         self.model, self.rows, self.table = model, [], np.empty((0, len(model.languages)))
+        self.filled = 0
 
     def __missing__(self, word: str) -> int:
         self[word] = at = len(self.rows)
@@ -131,8 +133,14 @@ class Scores(dict):
 
     def matrix(self) -> np.ndarray:
         if len(self.table) < len(self.rows):
-            self.table = np.concatenate([self.table, np.array(self.rows[len(self.table) :])])
-        return self.table
+            # Twice as many rows as are needed: most texts have new words, and each would copy the whole table.
+            table = np.empty((2 * len(self.rows), self.table.shape[1]))
+            table[: self.filled] = self.table[: self.filled]
+            self.table = table
+        if self.filled < len(self.rows):
+            self.table[self.filled : len(self.rows)] = self.rows[self.filled :]
+            self.filled = len(self.rows)
+        return self.table[: self.filled]
 
 
 def score_word(model: Model, word: str) -> np.ndarray:
@@ -145,14 +153,19 @@ def score_word(model: Model, word: str) -> np.ndarray:
         known = model.known[size]
         found = [at for k in range(len(spaced) - size + 1) if (at := known.get(spaced[k : k + size])) is not None]
         if found:
-            return model.scores[found].mean(axis=0)
+            return np.add.reduce(model.scores.take(found, axis=0), axis=0) / len(found)
     return np.full(len(model.languages), np.nan)
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text in lower case; in ASCII they are what stands between other characters."""
+    return text.lower().translate(_GAPS).split() if text.isascii() else WORD.findall(text.lower())
+
+
 def judge(scores: Scores, text: str | None) -> tuple[str, float]:
     """Language and share of it; a text of whole words is judged by its distinct words and their counts."""
     languages = scores.model.languages
-    found = WORD.findall(text.lower()) if text and languages else []
+    found = words_of(text) if text and languages else []
     if not found:
         return UNKNOWN, 0.0
     rows, counts = np.unique(np.fromiter(map(scores.__getitem__, found), np.int64, len(found)), return_counts=True)

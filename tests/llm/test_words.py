@@ -256,3 +256,16 @@ def test_queries_match_their_sql(spark, rows, name):
     cursor = connection.execute(SQL[name])
     assert [d[0] for d in cursor.description] == found.columns
     assert sorted(map(repr, cursor.fetchall())) == sorted(repr(tuple(r)) for r in found.collect())
+
+
+def test_language_scores_are_not_copied_for_each_text():
+    from tableprep.llm.language import WORD, Model, Scores, judge, words_of
+
+    for text in ("One, two-3 three_FOUR\x00five\x1f", "été x", "", "İ a1b", "12 3"):
+        assert words_of(text) == WORD.findall(text.lower())
+    scores, tables = Scores(Model(["a", "b"], {0: {}, 1: {"x": 0}}, np.array([[-1.0, -2.0]]))), []
+    for k in range(300):
+        assert judge(scores, "x" * (k + 1))[0] == "a"
+        if not tables or tables[-1] is not scores.table:
+            tables.append(scores.table)
+    assert len(tables) < 12 and len(scores.matrix()) == 300
