@@ -29,6 +29,8 @@ from tableprep.sources.detect import MAX_HEADERS, same_splits
 SEPARATORS = ("\x1e", "\x1f", "\x1d", "\x1c", "\x02", "\x03")
 #: Bytes of JSON that are looked at at once.
 CHUNK = 4 << 20
+#: Bytes that a task reads, if blocks are smaller.
+TASK_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -87,6 +89,17 @@ def _pieces(spark: SparkSession, path: str, separator: str) -> DataFrame:
     )
 
 
+def _few_tasks(lines: DataFrame) -> DataFrame:
+    """The same blocks in fewer tasks where blocks are small: a task reads several, one after the other."""
+    spark = lines.sparkSession
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b")
+    blocks = lines.rdd.getNumPartitions()
+    if not size.isdigit():  # set with a unit: blocks are taken as they are
+        return lines
+    wanted = max(4 * spark.sparkContext.defaultParallelism, blocks * int(size) // TASK_BYTES)
+    return lines.coalesce(wanted) if wanted < blocks else lines
+
+
 def _row(names: list[str], columns: list[list], types: list[pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
@@ -209,7 +222,7 @@ def split_delimited(spark: SparkSession, path: str, sep: str, encoding: str, hea
     if encoding.upper().replace("_", "-").startswith(("UTF-16", "UTF-32", "UTF16", "UTF32")):
         return None
     allow_java_charsets(spark)
-    lines, mark = _pieces(spark, path, "\n"), sep.encode("utf-8" if encoding.upper() in ("UTF-8", "UTF8") else encoding)
+    lines, mark = _few_tasks(_pieces(spark, path, "\n")), sep.encode("utf-8" if encoding.upper() in ("UTF-8", "UTF8") else encoding)
     with same_splits(spark):
         run = _per_block(_ends(mark), lambda: (0, 1, 0), ["outside", "inside", "held"])
         ends = lines.mapInArrow(run, "file string, block bigint, outside bigint, inside bigint, held bigint")
@@ -354,7 +367,7 @@ def split_array(spark: SparkSession, path: str) -> str | None:
 
     Files are cut at closing braces, so one without line breaks is split too. An array that is not closed raises.
     """
-    pieces = _pieces(spark, path, "}")
+    pieces = _few_tasks(_pieces(spark, path, "}"))
     with same_splits(spark):
         run = _per_block(_depths, lambda: (0, 0, 0, 0), ["quotes", "depth", "other", "first"])
         ends = pieces.mapInArrow(run, "file string, block bigint, quotes bigint, depth bigint, other bigint, first bigint")

@@ -153,3 +153,16 @@ def test_other_json_files(small_blocks, tmp_path):
     for text in ('[{"a": 1}, {"a": 2', '[{"a": 1}, {"a": "x}]'):
         with pytest.raises(ValueError, match="not closed"):
             tp.read_json(small_blocks, put(tmp_path / "broken.json", text), multiline=True)
+
+
+def test_small_blocks_share_tasks(spark, tmp_path):
+    from tableprep.sources.records import _few_tasks, _pieces
+
+    path = put(tmp_path / "in.csv", 'a,"b\nc"\n' * 200_000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(8 << 10))
+    try:
+        lines = _pieces(spark, path, "\n")
+        assert lines.rdd.getNumPartitions() > 100
+        assert _few_tasks(lines).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
