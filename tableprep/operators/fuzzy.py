@@ -33,6 +33,8 @@ from tableprep.functions.text import fingerprint
 from tableprep.operators.joins import map_values
 from tableprep.scratch import remove, written
 
+# Up to so many keys that both sides hold are sent to all tasks, so that the rows of other keys are not shuffled.
+SENT = 1_000_000
 # A bucket is cut further when both of its sides hold more values than this.
 BUCKET_LIMIT = 100
 # Up to so many characters, values are compared without one of them; longer ones would make too many copies.
@@ -135,18 +137,18 @@ def _candidates(
         left, right = (left, right) if small or stripped else _stripped(left, right)
         stripped = False
         index, probe = _index_keys(left, d), _probe_keys(right, d, same)
-        sizes = None if small else _bucket_sizes(index, probe, bucket_limit, groups)
-        if sizes is None:
+        if small:
             found.append(_near(index, probe, ["key"], d, same, groups))
             return reduce(DataFrame.unionAll, found)
-        if groups:  # only buckets that hold several groups are among the sizes
-            live = sizes.where("not large").select("key")
-            found.append(_near(*(side.join(live, "key", "left_semi") for side in (index, probe)), ["key"], d, same, True))
+        sizes = _bucket_sizes(index, probe, bucket_limit, same, groups)  # with groups, only of buckets that hold several
+        live = _sent(sizes.where("not large").select("key"))
+        found.append(_near(*(side.join(live, "key", "left_semi") for side in (index, probe)), ["key"], d, same, groups))
+        if groups:
             found.append(_stars(index, probe, sizes.where("large and not can_split").select("key"), d))
-            cut_further = sizes.where("large and can_split").select("key")
-        else:
-            cut_further = sizes.select("key")
-            found.append(_near(*(side.join(cut_further, "key", "left_anti") for side in (index, probe)), ["key"], d, same))
+        cut_further = sizes.where("large and can_split").select("key")
+        if cut_further.isEmpty():
+            return reduce(DataFrame.unionAll, found)
+        cut_further = _sent(cut_further)
         inside = [side.join(cut_further, "key", "left_semi") for side in (index, probe)]
         left, right = (
             written(side.select("value", "letters", "grp", "rest", F.col("key").alias("ctx")).distinct(), "values") for side in inside
@@ -184,16 +186,19 @@ def _stripped(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _near(a: DataFrame, b: DataFrame, on: list[str], d: int, same: bool, groups: bool = False) -> DataFrame:
     """Rows of both sides that agree in ``on`` and whose values are within d edits."""
-    pairs = a.select(*on, F.col("value").alias("v1"), F.col("letters").alias("l1"), F.col("grp").alias("g1")).join(
-        b.select(*on, F.col("value").alias("v2"), F.col("letters").alias("l2"), F.col("grp").alias("g2")), on
-    )
-    if groups:
-        pairs = pairs.where("g1 <> g2")
-    # An edit adds or removes at most two letters: most candidates end here, at little cost.
-    likely = pairs.where(F.bit_count(F.col("l1").bitwiseXOR(F.col("l2"))) <= 2 * d)
-    near = likely.withColumn("distance", F.levenshtein("v1", "v2", d)).where("distance >= 0")
+
+    def side(rows: DataFrame, n: int) -> DataFrame:
+        sketch = (F.col("letters.one").alias(f"l{n}"), F.col("letters.two").alias(f"t{n}"))
+        return rows.select(*on, F.col("value").alias(f"v{n}"), F.col("rest").alias(f"r{n}"), *sketch, F.col("grp").alias(f"g{n}"))
+
+    # An edit changes at most two letters and four pairs of neighbours: most candidates end here, at little cost. Values that meet under a piece
+    # which no edit touched are within d edits without it as well. One condition keeps this order; of two, Spark would take the second first.
+    tests = ["g1 <> g2"] * groups + ["v1 <> v2"] * same + [
+        f"bit_count(l1 ^ l2) <= {2 * d}", f"bit_count(t1 ^ t2) <= {4 * d}", f"levenshtein(r1, r2, {d}) >= 0", f"levenshtein(v1, v2, {d}) >= 0",
+    ]
+    near = side(a, 1).join(side(b, 2), on).where(" and ".join(tests)).withColumn("distance", F.levenshtein("v1", "v2", d))
     if same:
-        near = near.where("v1 <> v2").select(F.least("v1", "v2").alias("v1"), F.greatest("v1", "v2").alias("v2"), "distance")
+        near = near.select(F.least("v1", "v2").alias("v1"), F.greatest("v1", "v2").alias("v2"), "distance")
     return near.select("v1", "v2", "distance")
 
 
@@ -208,8 +213,13 @@ def _stars(index: DataFrame, probe: DataFrame, keys: DataFrame, d: int) -> DataF
     return near.select("v1", "v2", "distance")
 
 
-def _bucket_sizes(index: DataFrame, probe: DataFrame, bucket_limit: int, groups: bool) -> DataFrame | None:
-    """Buckets that must be cut further, with ``groups`` all of several groups; None when the buckets may be joined as they are."""
+def _sent(keys: DataFrame) -> DataFrame:
+    """The keys, marked to be sent to all tasks unless they are many."""
+    return F.broadcast(keys) if keys.count() <= SENT else keys
+
+
+def _bucket_sizes(index: DataFrame, probe: DataFrame, bucket_limit: int, same: bool, groups: bool) -> DataFrame:
+    """The buckets that hold a pair to compare, with ``groups`` those of several groups: ``key``, ``can_split`` and ``large``, to be cut further."""
     sizes = (
         index.select("key", "grp", "can_split", F.lit(1).alias("l"), F.lit(0).alias("r"))
         .unionAll(probe.select("key", "grp", "can_split", F.lit(0).alias("l"), F.lit(1).alias("r")))
@@ -217,11 +227,13 @@ def _bucket_sizes(index: DataFrame, probe: DataFrame, bucket_limit: int, groups:
             F.sum("l").alias("l"), F.sum("r").alias("r"), F.min("can_split").alias("can_split"), (F.min("grp") < F.max("grp")).alias("several")
         )
     )
-    large = (F.least("l", "r") > bucket_limit).alias("large")
+    large = F.least("l", "r") > bucket_limit
+    met = sizes.where("l > 0 and r > 0")
     if groups:
-        return written(sizes.where("several and l > 0 and r > 0").select("key", "can_split", large), "buckets")
-    found = written(sizes.where(F.col("can_split") & large).select("key"), "large")
-    return None if found.isEmpty() else found
+        return written(met.where("several").select("key", "can_split", large.alias("large")), "buckets")
+    if same:  # A text finds its own pieces: one that only it holds makes no pair.
+        met = met.where("l > 1 or r > 1 or not can_split")
+    return written(met.select("key", "can_split", (F.col("can_split") & large).alias("large")), "buckets")
 
 
 def _without_one(state: DataFrame) -> DataFrame:
@@ -307,10 +319,18 @@ def _pairs(left: DataFrame, right: DataFrame, d: int, same: bool, bucket_limit:
 
 
 def _letters(text: Column) -> Column:
-    """The set of letters as 64 bits, each letter by its code modulo 64."""
+    """Of a text ``one``, the set of its letters, and ``two``, which pairs of neighbours are in it an odd number of times; 64 bits each.
+
+    A letter has the bit of its code modulo 64, a pair (the ends of the text count as neighbours) that of its hash. What two texts share cancels in ``two``.
+    """
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     bit = lambda char: F.when(char == "", none).otherwise(F.call_function("shiftleft", one, F.ascii(char) % 64))
-    return F.aggregate(F.split(text, ""), none, lambda seen, char: seen.bitwiseOR(bit(char)))
+    letters = F.aggregate(F.split(text, ""), none, lambda seen, char: seen.bitwiseOR(bit(char)))
+    chars = F.filter(F.split(text, ""), lambda char: char != "")
+    # The end of the text stands as an empty neighbour.
+    ends = F.zip_with(F.array_prepend(chars, F.lit("")), F.array_append(chars, F.lit("")), lambda x, y: F.pmod(F.xxhash64(x, y), F.lit(64)).cast("int"))
+    pairs = F.aggregate(ends, none, lambda seen, at: seen.bitwiseXOR(F.call_function("shiftleft", one, at)))
+    return F.struct(letters.alias("one"), pairs.alias("two"))
 
 
 def _start(df: DataFrame, col: str) -> DataFrame:

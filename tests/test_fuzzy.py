@@ -66,6 +66,22 @@ def test_dense_values_are_compared_once(spark, monkeypatch, dense, unused):
     assert tp.near_pairs(words(spark, names), "v", 3).count() == 300 * 299 // 2
 
 
+def test_most_candidates_end_before_their_distance(spark, monkeypatch, plan_of):
+    """Urls of one host share almost all letters; only a distance that nothing cheaper rules out is worked out, and no near pair is lost."""
+    rng = random.Random(11)
+    urls = [f"https://tionsh.example.net/en/{rng.randrange(10**6)}/" for _ in range(400)] + ["x😀y", "xzy", "x😁y", "x😀😁y", "xy", "", "é", "éa"]
+    expected = {(min(a, b), max(a, b), n) for i, a in enumerate(urls) for b in urls[i + 1 :] if 0 < (n := distance(a, b)) <= 2}
+    monkeypatch.setattr(fuzzy, "DENSE", 2)
+    found = tp.near_pairs(words(spark, urls), "v", 2, 10)
+    joins = [line for line in plan_of(found).splitlines() if "Join" in line and "levenshtein" in line]
+    assert joins and all(line.index("bit_count") < line.index("levenshtein") for line in joins)
+    assert {tuple(r) for r in found.collect()} == expected and found.count() == len(expected)
+    state = fuzzy._start(words(spark, urls[:400]), "v").select("value", "letters.*")
+    pairs = state.join(state.select(F.col("value").alias("w"), F.col("one").alias("o"), F.col("two").alias("t"))).where("value < w")
+    cheap = pairs.where("bit_count(one ^ o) <= 4 and bit_count(two ^ t) <= 8")
+    assert 5 * cheap.count() < pairs.count() and cheap.where(F.levenshtein("value", "w", 2) >= 0).count() == pairs.where(F.levenshtein("value", "w", 2) >= 0).count()
+
+
 @pytest.mark.parametrize("d, bucket_limit", [(1, 100), (2, 100), (2, 4), (3, 3)])
 def test_clusters_equal_components_of_brute_force(spark, d, bucket_limit):
     values = mixture(20 + d)
