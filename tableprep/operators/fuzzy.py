@@ -43,6 +43,8 @@ LONG = 64
 DENSE, SAMPLED = 0.01, 1000
 # Blocks of this many values are compared with each other, but of a side there are no more than so many blocks.
 BLOCK, MAX_BLOCKS = 1000, 64
+# Values that are compared all with all are folded into one row if only so many last characters differ, but a row has no more than so many values.
+LEVELS, GROUP = 3, 128
 
 
 def _array(rows: list[str]) -> Column:
@@ -281,24 +283,109 @@ def _is_dense(left: DataFrame, right: DataFrame, d: int, same: bool) -> bool:
     return near > 0 and near >= DENSE * seen
 
 
+def _end_code(text: Column) -> Column:
+    """The last character of a text as a number: what its bytes say."""
+    return F.conv(F.hex(F.substring(text, -1, 1)), 16, 10).cast("bigint")
+
+
+def _levels(sides: list[DataFrame]) -> int:
+    """By how many last characters values are folded: each halves the groups at least, and no group has more than ``GROUP`` values."""
+    cuts = F.array(*[F.struct(F.lit(n).alias("n"), F.expr(f"xxhash64(substring(rest, 1, length(rest) - {n}))").alias("start")) for n in range(LEVELS + 1)])
+    fits = LEVELS
+    for side in sides:
+        starts = side.select(F.inline(cuts)).groupBy("n", "start").agg(F.count("*").alias("size"))
+        seen = {n: (groups, most) for n, groups, most in starts.groupBy("n").agg(F.count("*"), F.max("size")).collect()}
+        fits = min(fits, next((n for n in range(fits) if 2 * seen[n + 1][0] > seen[n][0] or seen[n + 1][1] > GROUP), fits))
+    return fits
+
+
+def _folded(side: DataFrame, levels: int) -> DataFrame:
+    """Texts that values begin with, all but the last ``levels`` characters: ``text`` and ``node``.
+
+    A node holds the ``codes`` of the characters that come next and, in the same order, the nodes they lead to as ``kids``; the last are the values.
+    """
+    nodes = side.select(F.col("rest").alias("text"), F.col("value").alias("node"))
+    for _ in range(levels):
+        kid = F.struct(_end_code(F.col("text")).alias("code"), "node").alias("kid")
+        kids = nodes.select(F.expr("substring(text, 1, length(text) - 1)").alias("text"), kid).groupBy("text").agg(F.collect_list("kid").alias("kids"))
+        nodes = kids.select("text", F.struct(F.col("kids.code").alias("codes"), F.col("kids.node").alias("kids")).alias("node"))
+    return written(nodes, "folded")
+
+
+def _longer(pairs: DataFrame, d: int) -> DataFrame:
+    """Pairs of texts with one character more on both sides, of those that stay within d edits.
+
+    This is one step of the table of distances. ``a0`` is the distance of the texts, ``a1`` to ``ad`` that of the left one to the right one without its
+    last characters, ``b1`` to ``bd`` the other way round; ``x1``, ``y1`` and so on are their last characters. Ways farther from the diagonal cost more than d.
+    """
+    some = range(1, d + 1)
+
+    def cells(own: str, new: str, other: str) -> list[Column]:
+        """The new text to the other one without its last characters, from the last of these on."""
+        line: list[Column] = []
+        for r in reversed(some):
+            before = F.col("a0" if r == 1 else f"{own}{r - 1}")
+            line.append(F.least(F.col(f"{own}{r}") + F.when(F.col(new) == F.col(f"{other}{r}"), 0).otherwise(1), before + 1, *[c + 1 for c in line[-1:]]))
+        return line[::-1]
+
+    kept = ["own", "first", "a0", *[f"{c}{r}" for c in "bxy" for r in some]]
+    left = pairs.select(*kept, *[f"a{r}" for r in some], "left", "right", F.posexplode("left.codes").alias("at", "x0"))
+    left = left.select(
+        *kept, "x0", F.get("left.kids", "at").alias("left"), F.col("right.codes").alias("codes"), F.col("right.kids").alias("kids"),
+        *[c.alias(f"a{r}") for r, c in zip(some, cells("a", "x0", "y"))],
+    )
+    # Of the many pairs here, only near ones fetch what their characters lead to.
+    both = left.select(*kept, *[f"a{r}" for r in some], "x0", "left", "kids", F.posexplode("codes").alias("at", "y0"))
+    lines = cells("b", "y0", "x")
+    ways = [F.col("a0") + F.when(F.col("x0") == F.col("y0"), 0).otherwise(1), *[c + 1 for c in [*[F.col("a1")][:d], *lines[:1]]]]
+    both = both.select(
+        "own", "first", "left", F.get("kids", "at").alias("right"), (F.least(*ways) if d else ways[0]).alias("a0"), *[f"a{r}" for r in some], *[c.alias(f"b{r}") for r, c in zip(some, lines)],
+        *[F.col(f"{c}{r - 1}").alias(f"{c}{r}") for c in "xy" for r in some],
+    )
+    return both.where(F.col("a0") <= d)
+
+
 def _all_near(left: DataFrame, right: DataFrame, d: int, same: bool) -> DataFrame:
-    """Pairs (v1, v2, distance) with at most d edits between the rests, each once, from comparing all of them.
+    """Pairs (v1, v2, distance) with at most d edits between the rests, each once, from comparing all beginnings of them.
 
-    A value meets the others in pairs of blocks: its copies are bounded by the number of blocks, a task's rows by their size.
+    Values that differ in their last characters only are one row. Rows are compared all with all, and near ones grow by a character at a time: two
+    texts have no more edits between them than longer ones, so pairs that are farther apart end early. A row meets the others in pairs of blocks:
+    its copies are bounded by the number of blocks, a task's rows by their size.
     """
-    blocks = min(MAX_BLOCKS, max(side.count() for side in ((left,) if same else (left, right))) // BLOCK + 1)
-    block, meeting = F.pmod(F.xxhash64("value"), F.lit(blocks)), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    # What all texts begin with changes no distance; with it, all have characters enough to cut off.
+    padded = [side.select("value", F.concat(F.lit("x" * (LEVELS + d)), "rest").alias("rest")) for side in ((left,) if same else (left, right))]
+    blocks = min(MAX_BLOCKS, max(side.count() for side in padded) // BLOCK + 1)
+    levels = _levels(padded)
+    folded = [_folded(side, levels) for side in padded]
+    # Both of one type: else the rows would be dealt out again, into few tasks.
+    block, meeting = F.pmod(F.xxhash64("text"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    ends = [[_end_code(F.expr(f"substring(text, 1, length(text) - {r})")).alias(f"{c}{r + 1}") for r in range(d)] for c in "xy"]
     met = (
-        left.select(F.col("value").alias("v1"), F.col("rest").alias("r1"), block.alias("i"), meeting.alias("j")),
-        right.select(F.col("value").alias("v2"), F.col("rest").alias("r2"), meeting.alias("i"), block.alias("j")),
+        folded[0].select(F.col("text").alias("r1"), F.col("node").alias("left"), *ends[0], block.alias("i"), meeting.alias("j")),
+        folded[-1].select(F.col("text").alias("r2"), F.col("node").alias("right"), *ends[1], meeting.alias("i"), block.alias("j")),
     )
     # A number of partitions that is given stays: by their bytes alone Spark would merge them.
-    first, other = (side.where("i <= j" if same else "true").repartition(blocks * blocks, "i", "j") for side in met)
-    pairs = first.join(other.hint("shuffle_hash"), ["i", "j"])
-    near = (pairs.where("i < j or v1 < v2") if same else pairs).withColumn("distance", F.levenshtein("r1", "r2", d)).where("distance >= 0")
-    if same:
-        near = near.select(F.least("v1", "v2").alias("v1"), F.greatest("v1", "v2").alias("v2"), "distance")
-    return near.select("v1", "v2", "distance")
+    parts = blocks * (blocks + 1) // 2 if same else blocks * blocks
+    first, other = (side.where("i <= j" if same else "true").repartition(parts, "i", "j") for side in met)
+    pairs = first.join(other.hint("shuffle_hash"), ["i", "j"]).where("i < j or r1 <= r2" if same else "true")
+    shorter = [f"substring({{}}, 1, length({{}}) - {r})" for r in range(1, d + 1)]
+    cell = f"coalesce(nullif(levenshtein({{}}, {{}}, {d}), -1), {d + 1})"
+    pairs = pairs.where(f"levenshtein(r1, r2, {d}) >= 0").select(
+        # Unless one text begins with the other, they put their values in order, so that these need not be compared.
+        "left", "right", F.expr("r1 = r2").alias("own"),
+        F.expr("case when startswith(r1, r2) or startswith(r2, r1) then 0 when r1 < r2 then 1 else -1 end").alias("first"),
+        F.levenshtein("r1", "r2", d).alias("a0"),
+        *[F.expr(cell.format("r1", cut.format("r2", "r2"))).alias(f"a{r}") for r, cut in enumerate(shorter, 1)],
+        *[F.expr(cell.format(cut.format("r1", "r1"), "r2")).alias(f"b{r}") for r, cut in enumerate(shorter, 1)],
+        *[f"{c}{r}" for c in "xy" for r in range(1, d + 1)],
+    )
+    for _ in range(levels):
+        pairs = _longer(pairs, d)
+    if not same:
+        return pairs.select(F.col("left").alias("v1"), F.col("right").alias("v2"), F.col("a0").alias("distance"))
+    ahead = F.expr("first = 1 or first = 0 and left < right")
+    v1, v2 = F.when(ahead, F.col("left")).otherwise(F.col("right")), F.when(ahead, F.col("right")).otherwise(F.col("left"))
+    return pairs.where("not own or left < right").select(v1.alias("v1"), v2.alias("v2"), F.col("a0").alias("distance"))
 
 
 def _pairs(left: DataFrame, right: DataFrame, d: int, same: bool, bucket_limit: int) -> DataFrame:

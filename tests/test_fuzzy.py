@@ -82,6 +82,41 @@ def test_most_candidates_end_before_their_distance(spark, monkeypatch, plan_of):
     assert 5 * cheap.count() < pairs.count() and cheap.where(F.levenshtein("value", "w", 2) >= 0).count() == pairs.where(F.levenshtein("value", "w", 2) >= 0).count()
 
 
+@pytest.mark.parametrize("levels, d", [(0, 3), (1, 3), (2, 2), (3, 4)])
+def test_folded_values_equal_brute_force(spark, monkeypatch, levels, d):
+    """By however many last characters values are folded, and in whatever blocks: the same pairs, once each."""
+    rng = random.Random(levels)
+    values = {"".join(rng.choice("01") for _ in range(rng.randint(0, 7))) + rng.choice(["", "x", "é😀"]) for _ in range(120)} | {"", "😀", "\t"}
+    values = sorted(values)
+    for name, value in (("DENSE", 0), ("BLOCK", 20), ("MAX_BLOCKS", 4), ("_levels", lambda sides: levels)):
+        monkeypatch.setattr(fuzzy, name, value)
+    expected = {(min(a, b), max(a, b), distance(a, b)) for i, a in enumerate(values) for b in values[i + 1 :] if distance(a, b) <= d}
+    found = [tuple(r) for r in tp.near_pairs(words(spark, values), "v", d).collect()]
+    assert len(found) == len(set(found)) and set(found) == expected
+    both = [tuple(r) for r in tp.near_match(words(spark, values[:70]), "v", words(spark, values[40:]), "v", d).collect()]
+    assert len(both) == len(set(both)) and set(both) == {(a, b, distance(a, b)) for a in values[:70] for b in values[40:] if distance(a, b) <= d}
+
+
+def test_dense_names_meet_as_few_rows_in_many_tasks(spark, monkeypatch, plan_of):
+    """Names that count up are folded before they are compared, and rows are dealt out once, to the tasks asked for."""
+    sizes, write = [], fuzzy.written
+
+    def counted(df, label="step"):
+        out = write(df, label)
+        if label == "folded":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(fuzzy, "written", counted)
+    monkeypatch.setattr(fuzzy, "BLOCK", 100)
+    names = [f"Customer#{k:09}" for k in range(1000)]
+    pairs = tp.near_pairs(words(spark, names), "v", 2)
+    plan = plan_of(pairs)
+    assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") == 2
+    assert sizes == [10]
+    assert pairs.count() == sum(distance(a[-3:], b[-3:]) <= 2 for i, a in enumerate(names) for b in names[i + 1 :])
+
+
 @pytest.mark.parametrize("d, bucket_limit", [(1, 100), (2, 100), (2, 4), (3, 3)])
 def test_clusters_equal_components_of_brute_force(spark, d, bucket_limit):
     values = mixture(20 + d)
