@@ -14,7 +14,8 @@ One edit needs no pieces: two values that differ in one character are equal with
 without that character finds just these pairs, however dense the values are (up to ``LONG`` characters).
 
 Where one pair in a hundred is near, as a sample tells, keys save nothing: most buckets are large and each pair is found under many
-of them. Then all pairs are compared, once each, block by block. That is at most a hundred comparisons for each pair found.
+of them. Then values are folded by their last characters, all beginnings are compared, once each, block by block, and near ones grow
+by a character at a time, with their distances (as in a trie join: Wang, Feng, Li: Trie-Join, PVLDB 3(1), 2010).
 
 The number of pairs can be quadratic in the number of values when they really are all close, so ``near_pairs`` can be
 given a limit above which it raises. ``near_clusters`` needs no pairs: values that are equal without a character are linked to the first of
